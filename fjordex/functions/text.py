@@ -25,13 +25,31 @@ _UNSAFE = "[^\\x00-\\x7F\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF\\u00A0\\u0
 _SAFE_WORD = r"[a-z0-9_ß-öø-ÿ]+"
 
 
+# ASCII characters outside words become spaces, capitals small letters
+_ASCII = {i: (chr(i).lower() if chr(i).isalnum() or chr(i) == "_" else " ") for i in range(128)}
+_COMMON = ".,;:()\"-?'!/|=[]"
+
+
 def py_terms(text: str | None) -> list[str]:
-    """The terms of one text, in order; none for a null."""
+    """The terms of one text, in order; none for a null.
+
+    Splitting at spaces is several times faster than a pattern; it is kept
+    wherever what is left consists of word characters only.
+    """
     if not text:
         return []
     if text.isascii():
-        return WORD.findall(text.lower())
-    found = WORD.findall(unicodedata.normalize("NFKC", text))
+        return text.translate(_ASCII).split()
+    text = unicodedata.normalize("NFKC", text)
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    easy = text
+    for c in _COMMON:
+        easy = easy.replace(c, " ")
+    parts = easy.casefold().split()
+    if "".join(parts).isalnum():
+        return parts
+    found = WORD.findall(text)
     return "\0".join(found).casefold().split("\0") if found else []
 
 
