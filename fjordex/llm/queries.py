@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordex.llm import formatting, nearduplicates
+from fjordex.llm import distinctive, formatting, frequencies, lookalikes, nearduplicates
 from fjordex.llm.common import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequencies.count_deliveries(table(spark, sf_dir, "corpus_docs")).marked().where("mark is not null").select("term", "mark")
+
+
+def p2_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequencies.count_deliveries(table(spark, sf_dir, "corpus_docs")).marked()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.disguised(table(spark, sf_dir, "corpus_docs"), table(spark, sf_dir, "headings"), {"body": "part", "meta": "whole"})
+
+
+def p4_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.consistent(table(spark, sf_dir, "corpus_docs"), ["body", "meta"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearduplicates.near_pairs(table(spark, sf_dir, "corpus_docs"), n=3, similarity=0.6, min_words=30)
 
@@ -27,5 +43,13 @@ def p6_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("doc_id = first_id").select("first_id", "copies")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p6_found, p6_copies)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.distinctive_terms(table(spark, sf_dir, "corpus_docs"), by="weight").select("doc_id", "term")
+
+
+def p7_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.distinctive_terms(table(spark, sf_dir, "corpus_docs"), by="z")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p4_found, p4_consistent, p5_found, p5_groups, p6_found, p6_copies, p7_found, p7_log_odds)}
 SQL: dict[str, str] = {}
