@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordex.llm import distinctive, formatting, frequencies, lookalikes, nearduplicates
+from fjordex.llm import distinctive, formatting, frequencies, lookalikes, nearduplicates, subjects
 from fjordex.llm.common import table
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, samples = table(spark, sf_dir, "corpus_docs"), table(spark, sf_dir, "subject_samples")
+    return subjects.subjects(docs, subjects.fit(docs, samples, table(spark, sf_dir, "subject_areas")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "subject_samples").select("doc_id").distinct()
+    return _subjects(spark, sf_dir).join(known, "doc_id", "left_anti").select("doc_id", "area")
+
+
+def p1_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each area and their share of all (record, area) cases."""
+    n = _subjects(spark, sf_dir).groupBy("area").agg(F.count("*").alias("records"), F.round(F.avg("score"), 4).alias("mean_score"))
+    total = n.agg(F.sum("records").alias("total"))
+    return n.crossJoin(F.broadcast(total)).select("area", "records", "mean_score", F.round(F.col("records") / F.col("total"), 6).alias("share"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequencies.count_deliveries(table(spark, sf_dir, "corpus_docs")).marked().where("mark is not null").select("term", "mark")
 
@@ -51,5 +68,5 @@ def p7_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.distinctive_terms(table(spark, sf_dir, "corpus_docs"), by="z")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequencies, p4_found, p4_consistent, p5_found, p5_groups, p6_found, p6_copies, p7_found, p7_log_odds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_frequencies, p4_found, p4_consistent, p5_found, p5_groups, p6_found, p6_copies, p7_found, p7_log_odds)}
 SQL: dict[str, str] = {}
