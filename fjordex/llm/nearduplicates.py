@@ -200,26 +200,33 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", body: str = "body", orde
     reps = written(members.join(wanted, "tid").groupBy("tid").agg(F.min(F.struct("doc_id", "at")).alias("r")).select("tid", "r.doc_id", F.struct("r.at").alias("at")), "texts")
     n_reps = reps.count()
     bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(F.col(order).alias("at")).alias("at"), F.col(body).alias("body"))
-    shingled = sized_join(bodies, reps, ["doc_id", "at"], n_reps).dropDuplicates(["tid"]).select("tid", "body")
+    texts = sized_join(bodies, reps, ["doc_id", "at"], n_reps).dropDuplicates(["tid"]).select("tid", "body")
+    texts = written(texts, "bodies")
+    both = pairs.join(texts.select(F.col("tid").alias("b"), F.col("body").alias("bt")), "b")
+    both = both.join(texts.select(F.col("tid").alias("a"), F.col("body").alias("at")), "a").select("a", "at", "b", "bt")
+    share = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, runs = [], []
-            for text in b.column(1).to_pylist():
-                w = py_terms(text)
-                words.append([_signed(xxhash.xxh3_64_intdigest(x)) for x in set(w)])
-                runs.append([_signed(xxhash.xxh3_64_intdigest(x)) for x in {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(runs, pa.list_(pa.int64()))], ["tid", "words", "runs"])
-
-    sets = written(shingled.mapInArrow(run, "tid long, words array<long>, runs array<long>"), "shingles")
-    left = sets.select(F.col("tid").alias("a"), F.col("words").alias("aw"), F.col("runs").alias("ar"))
-    right = sets.select(F.col("tid").alias("b"), F.col("words").alias("bw"), F.col("runs").alias("br"))
-    both = pairs.join(left, "a").join(right, "b")
-    # the fingerprints differ in no more bits than the shingle sets, of which a (1 - s) / (1 + s) share may
-    apart = F.size("aw") + F.size("bw") - 2 * F.size(F.array_intersect("aw", "bw"))
-    near = both.where(apart <= (F.size("ar") + F.size("br")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
-    shared = F.size(F.array_intersect("ar", "br"))
-    near = near.withColumn("jaccard", shared / (F.size("ar") + F.size("br") - shared)).where(F.col("jaccard") >= similarity - 1e-12).select("a", "b", "jaccard")
+        last, wa, ra = None, set(), set()
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for a, at, b, bt in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if a != last:  # pairs of one text come one after another
+                    w = py_terms(at)
+                    last, wa, ra = a, set(w), {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+                w = py_terms(bt)
+                # the fingerprints differ in no more bits than the sets of runs, of which a (1 - s) / (1 + s) share may
+                if len(wa ^ set(w)) > (len(ra) + len(w)) * share + 1e-9:
+                    continue
+                rb = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+                shared = len(ra & rb)
+                j = shared / (len(ra) + len(rb) - shared)
+                if j >= similarity - 1e-12:
+                    for x, v in zip(out, (a, b, j)):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "jaccard"])
+
+    near = written(both.mapInArrow(run, "a long, b long, jaccard double"), "verified")
     lists = members.where("ikey is not null").select("tid", "ikey").distinct()
     same = near.join(lists.withColumnRenamed("tid", "a"), "a").join(lists.withColumnRenamed("tid", "b"), ["b", "ikey"]).select("a", "b").distinct()
     return near.join(same, ["a", "b"], "left_anti"), members.select("doc_id", "tid")
