@@ -150,32 +150,48 @@ def _segments(docs: DataFrame, body: str, freq: dict[str, int], n_texts: int, mi
 
 def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of equal keys in (key, flipped, tid) order become rows (exact ids, ids), in blocks of bounded size."""
-    block = 512
+    import numpy as np
 
-    def flush(exact: list, rest: list, out: tuple[list, list]) -> None:
-        if not exact or len(exact) + len(rest) < 2:
-            return
-        every = exact + rest
-        for i in range(0, len(exact), block):
-            for k in range(0, len(every), block):
-                out[0].append(exact[i : i + block])
-                out[1].append(every[k : k + block])
+    block = 512
 
-    key, exact, rest = None, [], []
-    for b in rows:
+    def pairs(key: object, flip: object, tid: object) -> pa.RecordBatch:
         out: tuple[list, list] = ([], [])
-        for k, flipped, tid in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if k != key:
-                flush(exact, rest, out)
-                key, exact, rest = k, [], []
-            if flipped:
-                rest.append(tid)
-            elif not exact or exact[-1] != tid:
-                exact.append(tid)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in out], ["a", "b"])
-    out = ([], [])
-    flush(exact, rest, out)
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in out], ["a", "b"])
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        if len(starts):
+            ends = np.r_[starts[1:], len(key)]
+            # a run gives pairs only if it holds different texts, and one of them unflipped
+            keep = ~flip[starts] & (np.minimum.reduceat(tid, starts) != np.maximum.reduceat(tid, starts))
+            for s, e in zip(starts[keep].tolist(), ends[keep].tolist()):
+                f, t = flip[s:e], tid[s:e]
+                exact, every = np.unique(t[~f]), np.unique(t)
+                for i in range(0, len(exact), block):
+                    for k in range(0, len(every), block):
+                        out[0].append(exact[i : i + block])
+                        out[1].append(every[k : k + block])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in out], ["a", "b"])
+
+    kept: list[tuple] = []  # pieces of the last run, which the next batch may go on with
+    for b in rows:
+        if not b.num_rows:
+            continue
+        now = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        changes = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+        if kept and kept[0][0][0] != now[0][0]:
+            cut = 0
+        elif len(changes):
+            cut = changes[0] if kept else 0
+        else:
+            kept.append(now)
+            continue
+        last = changes[-1] if len(changes) else 0
+        if kept:
+            kept.append(tuple(x[:cut] for x in now))
+            yield pairs(*(np.concatenate([k[i] for k in kept]) for i in range(3)))
+        if last > cut:
+            yield pairs(*(x[cut:last] for x in now))
+        kept = [tuple(x[last:] for x in now)]
+    if kept:
+        yield pairs(*(np.concatenate([k[i] for k in kept]) for i in range(3)))
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", body: str = "body", order: str = "loaded_at", n: int = 5, similarity: float = 0.8, min_words: int | None = None, segments: int = SEGMENTS) -> tuple[DataFrame, DataFrame]:
