@@ -72,6 +72,11 @@ def py_nfkc(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
 
+def source_name(c: str) -> Column:
+    """One spelling of a source: trimmed, lower case, words joined by underscores; null stays null."""
+    return F.regexp_replace(F.lower(F.trim(F.col(c))), r"[\s\-]+", "_")
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file; the folder is a parameter (environment FJORDEX_TOKENIZERS)."""
     return os.path.join(os.environ.get("FJORDEX_TOKENIZERS", "/opt/tokenizers"), name)

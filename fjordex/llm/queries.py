@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordex.llm import distinctive, formatting, frequencies, lookalikes, nearduplicates, subjects
-from fjordex.llm.common import table
+from fjordex.llm import abuse, distinctive, formatting, frequencies, lookalikes, nearduplicates, subjects
+from fjordex.llm.common import source_name, table
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +68,27 @@ def p7_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.distinctive_terms(table(spark, sf_dir, "corpus_docs"), by="z")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_frequencies, p4_found, p4_consistent, p5_found, p5_groups, p6_found, p6_copies, p7_found, p7_log_odds)}
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return abuse.scored(docs, abuse.fit(docs, table(spark, sf_dir, "review_labels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "review_labels").select("doc_id").distinct()
+    kinds = F.array(*(F.when(F.col(k), F.lit(k)) for k in abuse.KINDS))
+    found = _abuse(spark, sf_dir).join(known, "doc_id", "left_anti").select("doc_id", F.explode(F.array_compact(kinds)).alias("kind"))
+    return found.distinct()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir)
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source (names brought to one spelling; null is its own row) and the rate of each kind."""
+    rates = [F.round(F.avg(F.col(k).cast("double")), 6).alias(f"{k}_rate") for k in abuse.KINDS]
+    return _abuse(spark, sf_dir).groupBy(source_name("source").alias("source")).agg(F.count("*").alias("documents"), *rates)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_frequencies, p4_found, p4_consistent, p5_found, p5_groups, p6_found, p6_copies, p7_found, p7_log_odds, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
