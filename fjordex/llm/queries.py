@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjordex.llm import abuse, distinctive, formatting, frequencies, lookalikes, nearduplicates, subjects
+from fjordex.llm import abuse, distinctive, formatting, frequencies, lookalikes, mixing, nearduplicates, neighbours, packing, subjects
 from fjordex.llm.common import source_name, table
 
 
@@ -34,6 +34,15 @@ def p2_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequencies.count_deliveries(table(spark, sf_dir, "corpus_docs")).marked()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = neighbours.most_similar(table(spark, sf_dir, "body_vectors"))
+    return n.select(F.least("doc_id", "neighbour_id").alias("left_id"), F.greatest("doc_id", "neighbour_id").alias("right_id")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.most_similar(table(spark, sf_dir, "body_vectors"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.disguised(table(spark, sf_dir, "corpus_docs"), table(spark, sf_dir, "headings"), {"body": "part", "meta": "whole"})
 
@@ -68,6 +77,34 @@ def p7_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.distinctive_terms(table(spark, sf_dir, "corpus_docs"), by="z")
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of each capacity and the share of their room that is used."""
+    packs = F.broadcast(table(spark, sf_dir, "pack_sizes").select("pack_name", "capacity_tokens"))
+    n = _packed(spark, sf_dir).groupBy("pack_name").agg(F.count_distinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
+    return n.join(packs, "pack_name").select("pack_name", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").withColumn("source", source_name("source"))
+    return mixing.plan(packing.token_counts(docs, more=("source",)), table(spark, sf_dir, "source_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_mixed(spark, sf_dir)[0])
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
 def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return abuse.scored(docs, abuse.fit(docs, table(spark, sf_dir, "review_labels")))
@@ -90,5 +127,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _abuse(spark, sf_dir).groupBy(source_name("source").alias("source")).agg(F.count("*").alias("documents"), *rates)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_frequencies, p4_found, p4_consistent, p5_found, p5_groups, p6_found, p6_copies, p7_found, p7_log_odds, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_frequencies, p3_found, p3_neighbours, p4_found, p4_consistent, p5_found, p5_groups, p6_found, p6_copies, p7_found, p7_log_odds, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
