@@ -53,10 +53,10 @@ def _prototypes() -> dict[int, str]:
     return out | {ord(c): "-" for c in _HYPHENS} | {c: "" for c in _HIDDEN}
 
 
-def _odd() -> re.Pattern[str]:
-    """Some character that the skeleton may change: one with a prototype, or a combining mark."""
-    marks = "".join(map(chr, range(0x300, 0x370)))
-    return re.compile("[" + re.escape("".join(map(chr, prototypes()))) + marks + "᪰-᫿᷀-᷿⃐-⃿︠-︯]")
+def _odd() -> frozenset[str]:
+    """Characters that the skeleton may change: those with a prototype, and combining marks."""
+    marks = (*range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100), *range(0xFE20, 0xFE30))
+    return frozenset(map(chr, (*prototypes(), *marks)))
 
 
 def skeleton(text: str) -> str:
@@ -146,7 +146,7 @@ def disguised(docs: DataFrame, entries: DataFrame, fields: dict[str, str], id_co
         if by:
             finder.make_automaton()
         odd = _odd()
-        odd_entries = any(odd.search(e) for _, e in shared.value)
+        odd_entries = any(not odd.isdisjoint(e) for _, e in shared.value)
         for b in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
             ids, when = b.column(0).to_pylist(), b.column(1)
@@ -155,7 +155,7 @@ def disguised(docs: DataFrame, entries: DataFrame, fields: dict[str, str], id_co
                 for i, text in enumerate(b.column(2 + j).to_pylist()):
                     if not text or not by:
                         continue
-                    strange = not text.isascii() and odd.search(text)
+                    strange = not text.isascii() and not odd.isdisjoint(text)
                     if fields[name] == "whole":
                         hits = {ident for ident, e in by.get(skeleton(text), ()) if e != text}
                     elif strange and next(finder.iter(skeleton(text)), None):
