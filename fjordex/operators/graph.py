@@ -34,3 +34,35 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
     ends = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.15, iterations: int = 20, src: str = "src", dst: str = "dst", node: str = "node", start: DataFrame | None = None, checkpoint_every: int = 5) -> DataFrame:
+    """(node, rank) after a fixed number of power iterations from the uniform vector.
+
+    Repeated edges count once; edges of unlisted or null nodes are left out. With
+    probability ``alpha`` the walk jumps anywhere, and from a node without edges
+    always. Shares along the edges are summed partially before the shuffle, so a node with
+    very many links to it does not gather them in one task.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+    v = written(nodes.select(F.col(node).alias("node")).where("node is not null").distinct(), "nodes")
+    n = v.count()
+    if not n:
+        return v.withColumn("rank", F.lit(0.0))
+    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    e = e.join(v, e.src == v.node, "left_semi").join(v, e.dst == v.node, "left_semi")
+    degree = e.groupBy("src").agg(F.count("*").alias("degree"))
+    e = written(e.join(degree, "src"), "links")
+    out = e.select("src", "degree").distinct()
+    x = v.withColumn("rank", F.lit(1.0 / n)) if start is None else start
+    for i in range(iterations):
+        ranked = x.join(out, x.node == out.src, "left").select("node", "rank", "degree")
+        loose = ranked.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"), F.sum(F.when(F.col("degree").isNotNull(), F.col("rank"))).alias("bound"))
+        shares = e.join(x, e.src == x.node).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("share"))
+        new = v.join(shares, v.node == shares.dst, "left").crossJoin(F.broadcast(loose))
+        rank = alpha / n * F.coalesce("bound", F.lit(0.0)) + (1 - alpha) * F.coalesce("share", F.lit(0.0)) + F.col("loose") / n
+        x = new.select("node", rank.alias("rank"))
+        if i % checkpoint_every == checkpoint_every - 1:
+            x = written(x, "ranks")
+    return x
