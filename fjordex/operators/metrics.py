@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_UPTO = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_FROM = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+def _upto() -> WindowSpec:
+    return Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _onward() -> WindowSpec:
+    return Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -23,17 +28,17 @@ def judged(rows: DataFrame) -> DataFrame:
 
 
 def precision(j: DataFrame) -> DataFrame:
-    return j.withColumn("precision", F.sum(F.col("relevant").cast("int")).over(_UPTO) / F.col("rank"))
+    return j.withColumn("precision", F.sum(F.col("relevant").cast("int")).over(_upto()) / F.col("rank"))
 
 
 def interpolated(j: DataFrame) -> DataFrame:
     """Best precision at this rank or below it."""
-    return precision(j).withColumn("interpolated", F.max("precision").over(_FROM))
+    return precision(j).withColumn("interpolated", F.max("precision").over(_onward()))
 
 
 def recall(j: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Recall at each rank; ``totals`` gives (query_id, total) relevant documents, else those in the ranking. Null where there is none."""
-    hits = F.sum(F.col("relevant").cast("int")).over(_UPTO)
+    hits = F.sum(F.col("relevant").cast("int")).over(_upto())
     if totals is None:
         total = F.sum(F.col("relevant").cast("int")).over(Window.partitionBy("query_id"))
     else:

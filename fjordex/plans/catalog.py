@@ -262,7 +262,7 @@ def vocabulary(s: SparkSession, d: str) -> DataFrame:
     return vocab_(s, d).select("term")
 
 
-@query(f"WITH p AS (SELECT doc_id, unnest({TOK}) AS term, generate_subscripts({TOK},1) AS i FROM documents), m AS (SELECT term, min({{'d': doc_id, 'i': i}}) AS at FROM p GROUP BY term) SELECT term, CAST(row_number() OVER (ORDER BY at) - 1 AS BIGINT) AS term_id FROM m")
+@query(f"WITH p AS (SELECT doc_id, unnest({TOK}) AS term, generate_subscripts({TOK},1) AS i FROM documents), m AS (SELECT term, min({{'d': doc_id, 'i': i}}) AS first_at FROM p GROUP BY term) SELECT term, CAST(row_number() OVER (ORDER BY first_at) - 1 AS BIGINT) AS term_id FROM m")
 def term_ids(s: SparkSession, d: str) -> DataFrame:
     return index.term_ids(docs_(s, d), "text").select("term", F.col("term_id").cast("long").alias("term_id"))
 
