@@ -116,18 +116,20 @@ def forward(x: np.ndarray, sizes: np.ndarray, net: dict[str, np.ndarray], keep:
     padded = np.zeros((int((sizes + gap).sum()) + gap, x.shape[1]), np.float32)
     padded[rows] = x
     n = len(padded) - gap
+    # windows that begin at a word of the segment; those that begin behind it would reach into the next
+    cuts = np.stack([starts, starts + sizes], axis=1).ravel()
     best, args = [], []
     for k in WIDTHS:
         r = padded[:n] @ net[f"w{k}"][0]
         for j in range(1, k):
             r += padded[j : n + j] @ net[f"w{k}"][j]
-        m = np.maximum.reduceat(r, starts, axis=0)
+        m = np.maximum.reduceat(r, cuts, axis=0)[::2]
         if keep:
             # position of the maximum within each segment
             seg = np.repeat(np.arange(len(sizes)), sizes + gap)
             hit = r == m[seg]
             at = np.where(hit, np.arange(n)[:, None], n)
-            args.append(np.minimum.reduceat(at, starts, axis=0))
+            args.append(np.minimum.reduceat(at, cuts, axis=0)[::2])
         best.append(m + net[f"b{k}"])
     h = np.concatenate(best, axis=1)
     a = np.maximum(h, 0)
