@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,8 +98,8 @@ def plan(sizes: DataFrame, targets: DataFrame, use: float = USE, seed: int = SEE
     per = drawn.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
     # of a listed source without documents too there is a row
     per = per.join(F.broadcast(t), "source", "full").join(F.broadcast(rates.select("source", "mean_copies")), "source", "left")
-    sum_ = per.agg(F.sum("mixed_tokens").alias("all"))
-    shares = per.crossJoin(F.broadcast(sum_)).select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.round(F.coalesce(F.try_divide("mixed_tokens", "all"), F.lit(0.0)), 6).alias("actual_share"), "max_repeats", "documents", "tokens", "copies", "mixed_tokens", "most_copies", F.round("mean_copies", 6).alias("mean_copies"))
+    per = per.withColumn("all", F.sum("mixed_tokens").over(Window.partitionBy()))  # one row for each source
+    shares = per.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.round(F.coalesce(F.try_divide("mixed_tokens", "all"), F.lit(0.0)), 6).alias("actual_share"), "max_repeats", "documents", "tokens", "copies", "mixed_tokens", "most_copies", F.round("mean_copies", 6).alias("mean_copies"))
     return drawn, shares
 
 

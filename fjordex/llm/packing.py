@@ -105,8 +105,10 @@ def pack(sizes: DataFrame, packs: DataFrame, most_documents: int | None = None,
     """
     sizes = written(sizes.where("n_tokens > 0 and doc_id is not null"), "sizes")
     shards = max(1, math.ceil(sizes.count() / SHARD))
-    packs = packs.select("pack_name", F.col("capacity_tokens").cast("long").alias("cap")).where("cap >= 1")
-    items = sizes.crossJoin(F.broadcast(packs))  # a stated, fixed set of capacities against all rows
+    # a stated, fixed set of capacities; each document becomes an item of each of them
+    caps = packs.select("pack_name", F.col("capacity_tokens").cast("long").alias("cap")).where("cap >= 1").collect()
+    kinds = F.array(*(F.struct(F.lit(r.pack_name).alias("pack_name"), F.lit(r.cap).cast("long").alias("cap")) for r in caps)).cast("array<struct<pack_name:string,cap:bigint>>")
+    items = sizes.withColumn("pack", F.explode(kinds)).select("doc_id", "n_tokens", "pack.*")
     items = items.withColumn("whole", F.floor(F.col("n_tokens") / F.col("cap")).cast("long"))
     own = items.where("whole > 0").select("pack_name", "cap", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("part"), F.monotonically_increasing_id().alias("row"))
     own = own.select("pack_name", F.concat_ws("-", F.lit("d"), "doc_id", "row", "part").alias("container"), "doc_id", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("cap")).alias("first_token"), F.col("cap").alias("tokens"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fjordex.llm import abuse, distinctive, formatting, frequencies, lookalikes, mixing, nearduplicates, neighbours, packing, subjects
@@ -22,8 +22,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of each area and their share of all (record, area) cases."""
     n = _subjects(spark, sf_dir).groupBy("area").agg(F.count("*").alias("records"), F.round(F.avg("score"), 4).alias("mean_score"))
-    total = n.agg(F.sum("records").alias("total"))
-    return n.crossJoin(F.broadcast(total)).select("area", "records", "mean_score", F.round(F.col("records") / F.col("total"), 6).alias("share"))
+    total = F.sum("records").over(Window.partitionBy())  # over one row for each area
+    return n.select("area", "records", "mean_score", F.round(F.col("records") / total, 6).alias("share"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
