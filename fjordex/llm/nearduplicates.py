@@ -1,15 +1,26 @@
-"""Near-duplicate records with small edits: multi-index hashing over word fingerprints.
-
-The fingerprint of a text is a sparse bit vector: each distinct word sets the
-bit at its 64-bit hash. The vector is read as a ring that is cut at fixed
-anchors into segments; a segment begins at its anchor and is just long enough
-to hold a given amount of information (sum of log2(texts / texts with the
-word)), so segments of frequent words are longer and random agreement is as
-unlikely for them as for rare ones. For each segment the Hamming ball of
-radius one is enumerated (the segment itself, and with each set bit flipped
-off), looked up in the table of unflipped segments, and every text met there is
-verified: first by the complete Hamming distance of the fingerprints, which
-can't exceed that of the shingle sets, then by the Jaccard similarity itself.
+"""Near-duplicate records with small edits: an exact prefix filter over runs of words, or multi-index hashing.
+
+The exact way needs no bound on the number of edits. The distinct runs of a
+text are put in one order that all texts share, rare ones first. Two texts of
+the wanted similarity share a run within the first n - ceil(s * n) + 1 of each
+(n runs, similarity s), so texts that meet in no such run can't be near. What
+meets is held against the sizes, the positions of the run and a parity sketch
+of all runs; each of them gives an upper bound of the similarity, so no near
+pair is lost. The order only decides how much meets: it comes from the counts
+of a bounded sample of the records and the frequencies of the words.
+
+Multi-index hashing (``segments`` given) is approximate. Its fingerprint is a
+sparse bit vector: each distinct word sets the bit at its 64-bit hash. The
+vector is read as a ring that is cut at fixed anchors into segments; a segment
+begins at its anchor and is just long enough to hold a given amount of
+information (sum of log2(texts / texts with the word)). For each segment the
+Hamming ball of radius one is enumerated (the segment itself, and with each set
+bit flipped off) and looked up in the table of unflipped segments. A pair with
+two or more changed words in every segment is not met.
+
+Every pair met is verified: first by the Hamming distance of the word sets,
+which can't exceed that of the sets of runs, then by the Jaccard similarity
+itself. Runs and texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,7 +28,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from operator import xor
 
@@ -32,7 +43,8 @@ from fjordex.llm.formatting import py_keys
 from fjordex.operators.graph import connected_components
 from fjordex.session import written
 
-SEGMENTS = 6
+# Texts (expected) whose runs are counted for the order of runs, and the most counts kept: fixed bounds of what is broadcast. No result depends on them.
+ORDER_SAMPLE, ORDER_RUNS = 16_384, 1 << 18
 # Words whose frequency is kept apart; any other word counts as the last of them. A fixed bound of what is broadcast.
 FREQUENT = 4096
 # Bits of information in a segment beyond log2(number of texts).
@@ -41,7 +53,7 @@ _UNIT = 256  # information is summed in whole 1/256 bits, so that every order of
 _ALL = (1 << 64) - 1
 
 
-def segment_keys(words: dict[str, tuple[int, int]] | list[tuple[int, int]], bits: int, segments: int = SEGMENTS) -> tuple[list[int], list[int]]:
+def segment_keys(words: dict[str, tuple[int, int]] | list[tuple[int, int]], bits: int, segments: int) -> tuple[list[int], list[int]]:
     """(exact keys, ball keys) of one text given the (hash, information) of its distinct words."""
     feats = sorted(words)
     n = len(feats)
@@ -194,22 +206,176 @@ def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(*(np.concatenate([k[i] for k in kept]) for i in range(3)))
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", body: str = "body", order: str = "loaded_at", n: int = 5, similarity: float = 0.8, min_words: int | None = None, segments: int = SEGMENTS) -> tuple[DataFrame, DataFrame]:
+def _runs(texts: list[list[str]], n: int) -> tuple:
+    """(text, first, hash, words): place of the text, and of every run of ``n`` words its hash and its words as rows of the fourth; repeated runs too.
+
+    The fourth is the list of distinct words and their number at each place.
+    """
+    import numpy as np
+
+    codes: dict[str, int] = {}
+    flat = np.array([codes.setdefault(w, len(codes)) for words in texts for w in words], np.int64)
+    text = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+    k = max(len(flat) - n + 1, 0)
+    first = np.flatnonzero(text[:k] == text[n - 1 : n - 1 + k])
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, codes), np.uint64, len(codes))[flat]
+    h = np.zeros(len(first), np.uint64)
+    for i in range(n):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + each[first + i]
+    return text[first], first, (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), (list(codes), flat)
+
+
+def _common_runs(docs: DataFrame, id_col: str, body: str, n: int, n_texts: int, min_words: int) -> tuple:
+    """(hashes in order, counts) of runs that a sample of the records holds more than once; used for the order of runs only."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, _, h, _ = _runs([w for w in map(py_terms, b.column(0).to_pylist()) if len(w) >= min_words], n)
+            order = np.lexsort((text, h))
+            text, h = text[order], h[order]
+            own = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)]
+            h, count = np.unique(h[own], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count, pa.int64())], ["h", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(n_texts, 1))) < ORDER_SAMPLE).select(F.col(body).alias("body")).where("body is not null")
+    counts = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    found = counts.orderBy(F.col("n").desc(), "h").limit(ORDER_RUNS).toArrow()
+    h, count = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], count[order]
+
+
+def prefixes(texts: list[list[str]], n: int, similarity: float, info: dict[str, int], rare: int, common: tuple) -> tuple:
+    """(text, key, size, at, sketch, sketch) of the runs in the prefixes of the texts.
+
+    ``info`` has the information of the frequent words, ``common`` the result of
+    _common_runs; size is the number of distinct runs of the text, at the place
+    of the run among them.
+    """
+    import numpy as np
+
+    text, first, h, (words, flat) = _runs(texts, n)
+    each = np.array([info.get(w, rare) for w in words], np.int64)[flat]
+    known = sum((each[first + i] for i in range(n)), np.zeros(len(first), np.int64))
+    rank = -known
+    if len(common[0]):
+        place = np.searchsorted(common[0], h).clip(0, len(common[0]) - 1)
+        rank += np.where(common[0][place] == h, common[1][place], 0) << 32
+    order = np.lexsort((h, rank, text))
+    text, h = text[order], h[order]
+    own = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)]
+    text, h = text[own], h[own]
+    starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]][: len(text)])
+    size = np.diff(np.r_[starts, len(text)])
+    at = np.arange(len(text)) - np.repeat(starts, size)
+    bit = np.uint64(1) << (h & np.uint64(63))
+    low = (h >> np.uint64(6)) & np.uint64(1) == 0
+    sketches = [np.repeat(np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), starts), size) if len(starts) else bit for x in (low, ~low)]
+    size = np.repeat(size, size)
+    keep = at < size - np.ceil(similarity * size - 1e-9) + 1
+    return tuple(x[keep] for x in (text, h, size, at, *sketches))
+
+
+def _prefix_rows(docs: DataFrame, body: str, freq: dict[str, int], n_texts: int, min_words: int, n: int, similarity: float, common: tuple) -> DataFrame:
+    """(key, place, tid, s0, s1) rows of the prefix of every delivery with enough words; place is size * 2^32 + at."""
+    bits = {w: round(math.log2(max(n_texts / c, 1)) * _UNIT) for w, c in freq.items()}
+    rare = round(math.log2(max(n_texts / min(freq.values(), default=1), 1)) * _UNIT)
+    shared = docs.sparkSession.sparkContext.broadcast((bits, common))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        bits, common = shared.value
+        for b in batches:
+            texts = [w for w in map(py_terms, b.column(0).to_pylist()) if len(w) >= min_words]
+            text, h, size, at, s0, s1 = prefixes(texts, n, similarity, bits, rare, common)
+            tid = np.array([text_id(w) for w in texts], np.int64)[text]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), (size << 32) | at, tid, s0.view(np.int64), s1.view(np.int64))], ["key", "place", "tid", "s0", "s1"])
+
+    return docs.select(F.col(body).alias("body")).where("body is not null").mapInArrow(run, "key long, place long, tid long, s0 long, s1 long")
+
+
+def _met_in_prefix(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b), a < b, of texts with a prefix run in common that may be near, from rows in (key, place, tid) order."""
+    most, share = 1 << 18, similarity / (1 + similarity)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def pairs(key: object, place: object, tid: object, s0: object, s1: object) -> Iterator[pa.RecordBatch]:
+            size, at = place >> 32, place & 0xFFFFFFFF
+            ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+            end = np.repeat(ends, np.diff(np.r_[0, ends]))
+            kept: list = []
+            i, step = np.arange(len(key)), 0
+            while len(i):
+                # a run of equal keys goes by size, so that a text too large for i is followed by such only
+                step += 1
+                i = i[i + step < end[i]]
+                i = i[size[i] >= similarity * size[i + step] - 1e-9]
+                for x in (i[k : k + most] for k in range(0, len(i), most)):
+                    y = x + step
+                    need = share * (size[x] + size[y]) - 1e-9
+                    # were this the first run they share, no more than the rest of either could be shared
+                    ok = np.minimum(size[x] - at[x], size[y] - at[y]) >= need
+                    x, y, need = x[ok], y[ok], need[ok]
+                    # a run of one text only changes at most one bit
+                    differ = sum(np.bitwise_count((s[x] ^ s[y]).view(np.uint64)).astype(np.int64) for s in (s0, s1))
+                    ok = (differ <= size[x] + size[y] - 2 * need) & (tid[x] != tid[y])
+                    kept.append((tid[x[ok]], tid[y[ok]]))
+                if sum(len(x) for x, _ in kept) > most:
+                    yield batch(kept)
+                    kept = []
+            yield batch(kept)
+
+        def batch(kept: list) -> pa.RecordBatch:
+            x, y = (np.concatenate([p[k] for p in kept] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        def single(now: tuple) -> tuple:
+            """Equal texts are one text."""
+            same = (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1]) & (now[2][1:] == now[2][:-1])
+            return tuple(x[np.r_[True, ~same]] for x in now)
+
+        kept: tuple | None = None  # the last run of equal keys, which the next batch may go on with
+        for b in rows:
+            if not b.num_rows:
+                continue
+            now = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            now = single(now if kept is None else tuple(np.concatenate(x) for x in zip(kept, now)))
+            last = np.searchsorted(now[0], now[0][-1])
+            if last:
+                yield from pairs(*(x[:last] for x in now))
+            kept = tuple(x[last:] for x in now)
+        if kept is not None:
+            yield from pairs(*kept)
+
+    return run
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", body: str = "body", order: str = "loaded_at", n: int = 5, similarity: float = 0.8, min_words: int | None = None, segments: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs of texts, members): (a, b, jaccard) over text ids a < b, and (doc_id, tid) of the records.
 
     Texts are compared by their distinct runs of ``n`` words; only texts of at
     least ``min_words`` (default n) words take part, so null, blank and short
     bodies do not. Equal texts are one text. Lists that hold the same items in
-    another order are copies and give no pair. All pairs met in a segment are
-    verified; nothing is capped.
+    another order are copies and give no pair. All pairs of at least the
+    (positive) similarity are found, unless ``segments`` asks for multi-index
+    hashing with so many segments, which finds those that meet in a segment.
     """
-    min_words = n if min_words is None else min_words
+    min_words = max(n, n if min_words is None else min_words)
     first = _first_pass(docs, id_col, body, order, min_words)
     freq, n_texts = word_frequencies(first)
-    keys = _segments(docs, body, freq, n_texts, min_words, segments)
-    met = keys.repartition("key").sortWithinPartitions("key", "flipped", "tid").mapInArrow(_meet, "a array<long>, b array<long>")
-    pairs = met.repartition(docs.sparkSession.sparkContext.defaultParallelism).select(F.explode("a").alias("x"), "b").select("x", F.explode("b").alias("y")).where("x <> y")
-    pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    if segments is None:
+        keys = _prefix_rows(docs, body, freq, n_texts, min_words, n, similarity, _common_runs(docs, id_col, body, n, n_texts, min_words))
+        pairs = keys.repartition("key").sortWithinPartitions("key", "place", "tid").mapInArrow(_met_in_prefix(similarity), "a long, b long")
+    else:
+        keys = _segments(docs, body, freq, n_texts, min_words, segments)
+        met = keys.repartition("key").sortWithinPartitions("key", "flipped", "tid").mapInArrow(_meet, "a array<long>, b array<long>")
+        pairs = met.repartition(docs.sparkSession.sparkContext.defaultParallelism).select(F.explode("a").alias("x"), "b").select("x", F.explode("b").alias("y")).where("x <> y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = written(pairs.distinct(), "candidates")
     every = first.where("word is null").select("doc_id", "at", "tid", "ikey")
     members = written(latest(every, "doc_id", "at", "tid", "ikey").where("tid is not null"), "members")
     wanted = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()

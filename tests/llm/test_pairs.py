@@ -158,3 +158,33 @@ def test_traversal_order():
     counts = rng.integers(0, 3, 35)
     order = sorted((d1[i] + d2[j], i * 5 + j) for i in range(7) for j in range(5))
     assert neighbours.traverse(d1, d2, counts, 10**6) == [c for _, c in order if counts[c]]
+
+
+def scattered(step):
+    """Pairs with changed words spread over the whole text, near the least similarity."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        base = [f"v{rng.randrange(300)}" for _ in range(rng.randint(110, 160))]
+        edited = list(base)
+        for p in range(rng.randrange(9), len(base), step):
+            edited[p] = f"v{rng.randrange(300)}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited))]
+    return rows
+
+
+@pytest.mark.parametrize(("n", "step"), [(3, 12), (2, 8)])
+def test_near_duplicates_are_all_found(spark, n, step):
+    rows = scattered(step)
+    want = truth(rows, n, 0.6, 30)
+    options = {"n": n, "similarity": 0.6, "min_words": 30}
+    found = lambda **more: [(r.left_id, r.right_id) for r in nearduplicates.near_pairs(deliveries(spark, rows), **options, **more).collect()]
+    assert len(want) > 50 and sorted(found()) == sorted(want)
+    assert len(found(segments=6)) < len(want)
+
+
+@pytest.mark.parametrize(("n", "similarity", "least"), [(3, 0.6, 30), (5, 0.8, 5), (1, 0.3, 1)])
+def test_near_duplicates_equal_brute_force(spark, n, similarity, least):
+    rows = corpus()
+    got = {(r.left_id, r.right_id) for r in nearduplicates.near_pairs(deliveries(spark, rows), n=n, similarity=similarity, min_words=least).collect()}
+    assert got == truth(rows, n, similarity, least)
