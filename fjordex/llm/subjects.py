@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from fjordex.functions.text import py_terms
 from fjordex.llm.common import latest, py_items, py_nfkc
 
-# At most so many records train the models (a bounded sample, chosen by the hash of the id): the labelled ones first,
-# and where there are fewer, others that the models of the labelled ones label.
+# At most so many labelled records train the models, and however many they are, at most so many others that the models
+# of the labelled ones label (bounded samples, chosen by the hash of the id).
 MAX_SAMPLE = 10_000
+MAX_OTHERS = 10_000
 UNIGRAM_COUNTS, BIGRAM_COUNTS = (0.5, 2.0), 20.0  # the better of the two on held-out records
 # Ratios are at most the number of areas; smaller logarithms than this share of it count as none.
 DEAD_SHARE = 0.385
@@ -209,8 +210,8 @@ def enlarge(model: Models, counts: float, docs: list[list[list[str]]], labels: l
     return new
 
 
-def fit(docs: DataFrame, samples: DataFrame, areas: DataFrame, id_col: str = "doc_id", body: str = "body", order: str = "loaded_at", lang: str = "lang", max_sample: int = MAX_SAMPLE) -> Models:
-    """Models trained on at most ``max_sample`` records, labelled ones first.
+def fit(docs: DataFrame, samples: DataFrame, areas: DataFrame, id_col: str = "doc_id", body: str = "body", order: str = "loaded_at", lang: str = "lang", max_sample: int = MAX_SAMPLE, max_others: int = MAX_OTHERS) -> Models:
+    """Models trained on at most ``max_sample`` labelled records and ``max_others`` others.
 
     Repeated labels count once; labels of unknown areas, null labels and records
     without words are left out; without any sample every record has no area.
@@ -232,11 +233,10 @@ def fit(docs: DataFrame, samples: DataFrame, areas: DataFrame, id_col: str = "do
 
     texts, labels, langs = fetch(ids)
     model, counts = calibrate(texts, labels, langs, names)
-    room = max_sample - len(texts)
-    if room <= 0 or not texts:
+    if not texts:
         return model
     others = docs.select(F.col(id_col).alias("doc_id")).dropna().distinct().join(samples.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_anti")
-    others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(room).withColumn("areas", F.lit(None).cast("array<string>"))
+    others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_others).withColumn("areas", F.lit(None).cast("array<string>"))
     more, _, more_langs = fetch(others)
     return enlarge(model, counts, texts, labels, langs, more, more_langs)
 

@@ -112,6 +112,15 @@ def test_subjects(spark):
     assert subjects.subjects(docs, none).count() == 0 and subjects.subjects(docs.limit(0), model).count() == 0
 
 
+def test_subjects_learn_from_others_whatever_the_labels(spark):
+    docs, labels, areas = subject_corpus(spark)
+    row = docs.where("doc_id = 2").withColumn("body", F.concat("body", F.lit(" Lawb zymurgy lawc lawd.")))
+    docs = docs.where("doc_id <> 2").unionByName(row)
+    known = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, area string")
+    for bound in (60, 10_000):
+        assert "zymurgy" in subjects.fit(docs, known, areas, max_sample=bound).vocabulary
+
+
 def test_abuse(spark):
     rng = np.random.default_rng(6)
     bad = {"abusive": ["you are a complete {}", "shut up you {} nobody wants you", "go away {} you make me sick"], "hateful": ["all {} are vermin and must leave", "never trust the {} they are thieves"], "sexual": ["send me your {} pictures tonight", "free {} videos here click now"]}
