@@ -629,10 +629,19 @@ def _logreg_sql() -> str:
     return f"WITH {', '.join(ctes)} SELECT term, round(w, 6) AS weight FROM t{_EPOCHS}"
 
 
+def _logreg_rows(s: SparkSession, d: str) -> DataFrame:
+    return vectors.normalized(vec_(s, d)).join(labels_(s, d), "doc_id").select("doc_id", "term", F.col("weight").alias("x"), (F.col("label") == "en").cast("int").alias("y"))
+
+
 @query(_logreg_sql())
 def logreg_gd(s: SparkSession, d: str) -> DataFrame:
-    rows = vectors.normalized(vec_(s, d)).join(labels_(s, d), "doc_id").select("doc_id", "term", F.col("weight").alias("x"), (F.col("label") == "en").cast("int").alias("y"))
-    return classify.logistic_regression(rows, epochs=_EPOCHS).select("term", F.round("weight", 6).alias("weight"))
+    return classify.logistic_regression(_logreg_rows(s, d), epochs=_EPOCHS).select("term", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def logreg_trained(s: SparkSession, d: str) -> DataFrame:
+    """The weights after the 100 epochs of the method; logreg_gd checks its step against SQL."""
+    return classify.logistic_regression(_logreg_rows(s, d)).select("term", F.round("weight", 6).alias("weight"))
 
 
 # ---- graph

@@ -224,3 +224,22 @@ def test_extract(spark):
     for root, kind in (("loop", KeyError), ("bad", KeyError), ("no", ValueError), ("none", KeyError)):
         with pytest.raises(kind):
             extract.compose(g, root)
+
+
+def test_logreg_trained(spark, tmp_path):
+    import numpy as np
+
+    from fjordex.plans import catalog
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 400").orderBy("doc_id").limit(12).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog._logreg_rows(spark, str(tmp_path)).collect()
+    docs, terms = sorted({r.doc_id for r in rows}), ["", *sorted({r.term for r in rows})]
+    x, y = np.zeros((len(docs), len(terms))), np.zeros(len(docs))
+    x[:, 0] = 1
+    for r in rows:
+        x[docs.index(r.doc_id), terms.index(r.term)], y[docs.index(r.doc_id)] = r.x, r.y
+    w = np.zeros(len(terms))
+    for _ in range(100):
+        w -= 0.5 * x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(docs)
+    got = {r.term: r.weight for r in catalog.QUERIES["logreg_trained"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(dict(zip(terms, w)), abs=2e-6)
