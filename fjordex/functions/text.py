@@ -140,8 +140,14 @@ def word_shingles(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def term_counts(tokens: Column) -> Column:
-    """Array of (term, tf) of one record, built in the row without a shuffle."""
-    s = F.sort_array(tokens)
-    shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))))
-    return F.when(F.size(tokens) > 0, F.arrays_zip(s.alias("term"), shifted.alias("prev")))
+def run_lengths(ordered: Column) -> Column:
+    """Array of (term, tf) of a sorted array of terms, in the row and in time linear in its size.
+
+    The runs of equal terms are found by their first places; null for null and the
+    empty array. The argument is read several times and should be a column of its own.
+    """
+    n = F.size(ordered)
+    first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+    following = F.concat(F.slice(first, 2, n + 1), F.array(n + 1))
+    runs = F.transform(F.arrays_zip(first.alias("a"), following.alias("b")), lambda x: F.struct(F.get(ordered, x["a"] - 1).alias("term"), (x["b"] - x["a"]).cast("long").alias("tf")))
+    return F.when(n > 0, runs)

@@ -8,8 +8,9 @@ parsed, never evaluated.
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,55 +26,55 @@ MOST_LOOKALIKES = 10
 
 @dataclass
 class Node:
-    kind: str  # AND, OR, ANDNOT, TERMS or one of EXPANDING
+    kind: str  # AND, OR, ANDNOT, TERMS, TABLE or one of EXPANDING
     parts: list[Node] = field(default_factory=list)
     terms: list[str] = field(default_factory=list)
     literal: str = ""
+    table: DataFrame | None = None  # (term): what an expansion stands for
+
+
+_LEAST = {"AND": 1, "OR": 1, "ANDNOT": 2}
+_MOST = {"ANDNOT": 2} | dict.fromkeys(EXPANDING, 1)
 
 
 def parse(expression: str, analyze: Callable[[str], list[str]] = py_terms) -> Node:
     """Expression to nodes; ValueError or SyntaxError with a message for an unsound one."""
 
+    def call(name: str, given: list[ast.AST]) -> Node:
+        least, most = _LEAST.get(name, 1), _MOST.get(name, len(given))
+        if not least <= len(given) <= most:
+            raise ValueError(f"{name} takes {least if least == most else f'{least} or more'} operands, not {len(given)}")
+        if name not in EXPANDING:
+            return Node(name, [walk(g) for g in given])
+        if not isinstance(given[0], (ast.Constant, ast.Name)):
+            raise ValueError(f"{name} takes a word or a quoted text")
+        literal = str(given[0].value if isinstance(given[0], ast.Constant) else given[0].id)
+        if name == "WILDCARD":
+            return Node(name, literal=literal)
+        return Node(name, terms=words(literal, single=True), literal=literal)
+
+    def words(literal: str, single: bool) -> list[str]:
+        found = list(dict.fromkeys(analyze(literal)))
+        if not found or (single and len(found) > 1):
+            raise ValueError(f"{literal!r} has {len(found)} terms where {'one is' if single else 'at least one is'} needed")
+        return found
+
     def walk(t: ast.AST) -> Node:
-        if isinstance(t, ast.Call) and isinstance(t.func, ast.Name):
-            name, n = t.func.id, len(t.args)
-            if name in ("AND", "OR"):
-                if not n:
-                    raise ValueError(f"Operator {name} expects at least one argument.")
-                return Node(name, [walk(a) for a in t.args])
-            if name == "ANDNOT":
-                if n != 2:
-                    raise ValueError("Operator ANDNOT expects exactly two arguments.")
-                return Node(name, [walk(a) for a in t.args])
-            if name in EXPANDING:
-                if n != 1:
-                    raise ValueError(f"Operator {name} expects exactly one argument.")
-                arg = t.args[0]
-                if not isinstance(arg, (ast.Constant, ast.Name)):
-                    raise ValueError(f"Operator {name} expects a string.")
-                literal = str(arg.value if isinstance(arg, ast.Constant) else arg.id)
-                found = [] if name == "WILDCARD" else analyze(literal)
-                if name != "WILDCARD" and len(found) != 1:
-                    raise ValueError(f"Operator {name} expects a single term, got {found}.")
-                return Node(name, terms=found, literal=literal)
-            raise ValueError(f"Unsupported operator {name}.")
+        if isinstance(t, ast.Call) and isinstance(t.func, ast.Name) and not t.keywords:
+            if t.func.id not in (*_LEAST, *EXPANDING):
+                raise ValueError(f"there is no operator {t.func.id}")
+            return call(t.func.id, t.args)
         if isinstance(t, ast.Constant):
-            found = list(dict.fromkeys(analyze(str(t.value))))
-            if not found:
-                raise ValueError(f"Expected '{t.value}' to contain at least one term.")
-            return Node("TERMS", terms=found)
+            return Node("TERMS", terms=words(str(t.value), single=False))
         if isinstance(t, ast.Name):
-            found = analyze(t.id)
-            if len(found) != 1:
-                raise ValueError(f"Expected '{t.id}' to contain a single term, got {found}.")
-            return Node("TERMS", terms=found)
-        raise ValueError(f"Unsupported expression {type(t).__name__}.")
+            return Node("TERMS", terms=words(t.id, single=True))
+        raise ValueError(f"{type(t).__name__} is not part of an expression")
 
     return walk(ast.parse(expression.strip(), mode="eval").body)
 
 
 def expand(node: Node, vocabulary: DataFrame, synonyms: DataFrame | None = None) -> Node:
-    """Expanding operators become an OR of terms of the vocabulary; an expansion without terms matches nothing."""
+    """Expanding operators become tables of terms of the vocabulary, however many those are; an empty one matches nothing."""
     if node.kind == "TERMS":
         return node
     if node.kind not in EXPANDING:
@@ -81,67 +82,85 @@ def expand(node: Node, vocabulary: DataFrame, synonyms: DataFrame | None = None)
     word = node.terms[0] if node.terms else ""
     t = F.col("term")
     if node.kind == "WILDCARD":
-        found = vocabulary.where(wildcard(t, node.literal)).select("term")
-    elif node.kind == "SYNONYM":
-        if synonyms is None:
-            return Node("TERMS", terms=[word])
-        found = synonyms.where(F.col("term") == word).select(F.col("synonym").alias("term"))
-    elif node.kind == "SOUNDSLIKE":
-        found = vocabulary.where(soundex(t) == soundex(F.lit(word))).select("term")
-    else:
-        near = vocabulary.where(may_be_within(t, F.lit(word), 1)).withColumn("d", edit_distance(t, F.lit(word))).where("d <= 1")
-        found = near.orderBy("d", "term").limit(MOST_LOOKALIKES).select("term")
-    terms = [r.term for r in found.distinct().orderBy("term").collect()]
-    if node.kind in ("SYNONYM", "SOUNDSLIKE"):
-        terms = terms or [word]
-    return Node("OR", [Node("TERMS", terms=[x]) for x in terms])
-
-
-def _terms_of(node: Node) -> set[str]:
-    return set(node.terms).union(*(_terms_of(p) for p in node.parts)) if node.parts else set(node.terms)
+        return Node("TABLE", table=vocabulary.where(wildcard(t, node.literal)).select("term"))
+    if node.kind == "SYNONYM":
+        found = None if synonyms is None else synonyms.where(F.col("term") == word).select(F.col("synonym").alias("term")).dropna().distinct()
+        return Node("TERMS", terms=[word]) if found is None or found.isEmpty() else Node("TABLE", table=found)
+    if node.kind == "SOUNDSLIKE":
+        # a word that shares its code with no known term is itself unknown
+        return Node("TABLE", table=vocabulary.where(soundex(t) == soundex(F.lit(word))).select("term"))
+    near = vocabulary.where(may_be_within(t, F.lit(word), 1)).withColumn("d", edit_distance(t, F.lit(word))).where("d <= 1")
+    return Node("TABLE", table=near.orderBy("d", "term").limit(MOST_LOOKALIKES).select("term"))
+
+
+def _leaves(node: Node) -> Iterator[str | Node]:
+    """Each literal term, and each table."""
+    if node.kind == "TABLE":
+        yield node
+    yield from node.terms
+    for p in node.parts:
+        yield from _leaves(p)
 
 
-def _predicate(node: Node, has: Callable[[str], Column], inside: str = "AND") -> Column:
+def _predicate(node: Node, has: Callable[[str | Node], Column], inside: str = "AND") -> Column:
     """A literal of several terms combines them by the operator around it: all of them, or any within an OR or right of ANDNOT."""
-    if node.kind == "TERMS":
-        out = None
-        for t in node.terms:
-            out = has(t) if out is None else (out | has(t) if inside == "OR" else out & has(t))
-        return out if out is not None else F.lit(False)
+    if node.kind == "TABLE":
+        return has(node)
     if node.kind == "ANDNOT":
         return _predicate(node.parts[0], has, "AND") & ~_predicate(node.parts[1], has, "OR")
-    out = None
-    for p in node.parts:
-        c = _predicate(p, has, node.kind)
-        out = c if out is None else (out | c if node.kind == "OR" else out & c)
-    return out if out is not None else F.lit(False)
+    how = inside if node.kind == "TERMS" else node.kind
+    flags = [has(t) for t in node.terms] + [_predicate(p, has, node.kind) for p in node.parts]
+    return reduce(Column.__or__ if how == "OR" else Column.__and__, flags)
+
 
+_BITS = 60  # leaves in one word of flags
 
-def search(post: DataFrame, expression: str, synonyms: DataFrame | None = None, analyze: Callable[[str], list[str]] = py_terms) -> DataFrame:
+
+def search(post: DataFrame, expression: str, synonyms: DataFrame | None = None, analyze: Callable[[str], list[str]] = py_terms, vocabulary: DataFrame | None = None) -> DataFrame:
     """(doc_id, error): matching documents by id, or one row with the error of an unsound expression.
 
-    The postings of all terms are read once; each document's set of found
-    terms is aggregated (partially before the shuffle) and one predicate
-    decides. A document without any of the terms can't match.
+    Every literal term and every expansion is a flag. A posting is joined with
+    the flags of its term (literals alone are a filter, which reaches the
+    scan), a document's flags are combined before the shuffle, and one predicate
+    decides. Expansions are tables from start to end, so a pattern that half
+    the vocabulary fits is a join like any other. A document without any of the terms can't match.
     """
     spark = post.sparkSession
     try:
         node = parse(expression, analyze)
-        node = expand(node, post.select("term").distinct(), synonyms) if _expands(node) else node
-    except (ValueError, SyntaxError) as e:
+        if _expands(node):
+            node = expand(node, post.select("term").distinct() if vocabulary is None else vocabulary.select("term"), synonyms)
+    except (ValueError, SyntaxError, KeyError) as e:
         return spark.createDataFrame([(None, str(e))], "doc_id long, error string")
-    wanted = sorted(_terms_of(node))
-    rows = post.where(F.col("term").isin(wanted)) if wanted else post.limit(0)
-    flags = {t: f"t{i}" for i, t in enumerate(wanted)}
-    if len(wanted) <= 60:
-        # one bit for each term
-        bit = F.coalesce(*(F.when(F.col("term") == t, F.lit(1 << i).cast("long")) for i, t in enumerate(wanted)), F.lit(0).cast("long"))
-        docs = rows.groupBy("doc_id").agg(F.bit_or(bit).alias("bits"))
-        match = _predicate(node, lambda t: F.col("bits").bitwiseAND(F.lit(1 << int(flags[t][1:])).cast("long")) != 0)
+    places: dict[str | int, int] = {}
+    tables: list[DataFrame] = []
+    for leaf in _leaves(node):
+        key = leaf if isinstance(leaf, str) else id(leaf)
+        if key not in places:
+            places[key] = len(places)
+            if not isinstance(leaf, str):
+                tables.append(leaf.table.select("term", F.lit(places[key]).alias("flag")))
+    literals = [(t, i) for t, i in places.items() if isinstance(t, str)]
+    names = [f"f{k}" for k in range(1 + (len(places) - 1) // _BITS)]
+
+    def words(flag: Column) -> list[Column]:
+        return [F.when(F.floor(flag / _BITS) == k, F.call_function("shiftleft", F.lit(1).cast("long"), flag % _BITS)).otherwise(F.lit(0).cast("long")).alias(n) for k, n in enumerate(names)]
+
+    if tables:
+        if literals:
+            tables.append(spark.createDataFrame(literals, "term string, flag int"))
+        flags = reduce(DataFrame.unionByName, tables).select("term", *words(F.col("flag"))).groupBy("term").agg(*(F.bit_or(n).alias(n) for n in names))
+        rows = post.join(flags, "term")
     else:
-        docs = rows.groupBy("doc_id").agg(F.collect_set("term").alias("found"))
-        match = _predicate(node, lambda t: F.array_contains("found", t))
-    return docs.where(match).select("doc_id", F.lit(None).cast("string").alias("error")).orderBy("doc_id")
+        place = F.create_map(*(F.lit(x) for pair in literals for x in pair))[F.col("term")]
+        rows = post.where(F.col("term").isin([t for t, _ in literals])).select("doc_id", place.alias("flag")).select("doc_id", *words(F.col("flag")))
+    docs = rows.groupBy("doc_id").agg(*(F.bit_or(n).alias(n) for n in names))
+
+    def has(leaf: str | Node) -> Column:
+        i = places[leaf if isinstance(leaf, str) else id(leaf)]
+        return F.col(names[i // _BITS]).bitwiseAND(F.lit(1 << i % _BITS).cast("long")) != 0
+
+    return docs.where(_predicate(node, has)).select("doc_id", F.lit(None).cast("string").alias("error")).orderBy("doc_id")
 
 
 def _expands(node: Node) -> bool:
@@ -156,7 +175,7 @@ def merge(post: DataFrame, left: str, right: str, how: str) -> DataFrame:
 
 def check_analyzer(analyze: Callable[[str], list[str]]) -> None:
     """Expansion needs an analyzer that keeps a word one word of its length and is idempotent; ValueError otherwise."""
-    for w in ("Aleksander", "tables", "operationally", "PIZZA"):
+    for w in ("Glacier", "ferries", "wonderfully", "HARBOUR"):
         once = analyze(w)
         if len(once) != 1 or len(once[0]) != len(w) or analyze(once[0]) != once:
             raise ValueError(f"the analyzer changes {w} to {once}")

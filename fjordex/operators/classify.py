@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fjordex.operators import vectors as V
-from fjordex.session import written
+from fjordex.session import forget, written
 
 
 @dataclass
@@ -35,21 +39,44 @@ class NaiveBayes:
         posteriors = counts.join(F.broadcast(denom), "label").select("label", "term", F.log((F.col("n") + 1) / F.col("denom")).alias("posterior"))
         return cls(priors, posteriors, denom.select("label", F.log(1 / F.col("denom")).alias("unseen")), vocabulary)
 
+    def stored(self) -> NaiveBayes:
+        """The model as written tables, trained once."""
+        return NaiveBayes(*(written(x, "bayes") for x in (self.priors, self.posteriors, self.unseen, self.vocabulary)))
+
     def classify(self, post: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """(id, label, score) for every label and every document with a known term.
 
         Instead of every (document, label, term), each document starts from
         the score it had if all its known terms were unseen, and seen terms
-        add their difference.
+        add their difference. The model has one row for each term, with an array
+        over the labels, so that a posting is joined once for all labels.
         """
-        known = post.join(self.vocabulary, "term", "left_semi")
-        size = known.groupBy(id_col).agg(F.sum("tf").alias("size"))
         base = self.priors.join(self.unseen, "label", "left").select("label", "prior", F.coalesce("unseen", F.lit(0.0)).alias("unseen"))
-        start = size.crossJoin(F.broadcast(base)).select(id_col, "label", (F.col("prior") + F.col("size") * F.col("unseen")).alias("start"))
+        known = sorted((r.label, r.prior, r.unseen) for r in base.collect())  # one row for each label
         gain = self.posteriors.join(F.broadcast(self.unseen), "label").select("label", "term", (F.col("posterior") - F.col("unseen")).alias("gain"))
-        gains = known.join(gain, "term").groupBy(id_col, "label").agg(F.sum(F.col("tf") * F.col("gain")).alias("gain"))
-        scores = start.join(gains, [id_col, "label"], "left")
-        return scores.select(id_col, "label", (F.col("start") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+        scores = _summed(post.withColumnRenamed("tf", "_x"), gain, "gain", [x for x, _, _ in known], id_col, F.sum("_x").alias("_size"))
+        total = [F.struct(F.lit(x).alias("label"), (F.lit(p) + F.col("_size") * F.lit(u) + F.col(f"_s{i}")).alias("score")) for i, (x, p, u) in enumerate(known)]
+        if not total:
+            return post.limit(0).select(id_col, F.lit("").alias("label"), F.lit(0.0).alias("score"))
+        return scores.select(id_col, F.inline(F.array(*total)))
+
+
+# A model of at most so many terms (times labels) is sent to the workers; a larger one is joined in a shuffle, where hot terms are split.
+MODEL_CELLS = 4_000_000
+
+
+def _summed(rows: DataFrame, model: DataFrame, value: str, labels: list, id_col: str, *more: Column) -> DataFrame:
+    """(id, _s0, _s1, ...): for each label the sum of ``_x`` times the model's value over a document's terms.
+
+    ``model`` has (label, term, value). It is brought to one row for each term
+    and counted: a small one is broadcast, so that no posting is shuffled by its term;
+    beyond that both meet by term, and the join splits the terms of very many postings.
+    """
+    cells = [F.coalesce(F.max(F.when(F.col("label") == x, F.col(value))), F.lit(0.0)).alias(f"_w{i}") for i, x in enumerate(labels)]
+    wide = written(model.groupBy("term").agg(*cells) if cells else model.select("term").distinct(), "model")
+    small = wide.count() * max(1, len(labels)) <= MODEL_CELLS
+    met = rows.join(F.broadcast(wide) if small else wide, "term")
+    return met.groupBy(id_col).agg(*(F.sum(F.col("_x") * F.col(f"_w{i}")).alias(f"_s{i}") for i in range(len(labels))), *more)
 
 
 def best(scores: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -63,8 +90,15 @@ def rocchio(training: DataFrame, members: DataFrame, unknown: DataFrame, id_col:
 
     ``training`` holds unit vectors of the labelled documents, ``members`` (id, label).
     """
-    c = V.centroids(training, members).withColumnRenamed("label", "_label")
-    return V.cosines(unknown, c, id_col, "_label").where("cosine > 0").select(id_col, F.col("_label").alias("label"), F.col("cosine").alias("score"))
+    c = written(V.normalized(V.centroids(training, members), "label"), "centroids")
+    labels = sorted(r.label for r in c.select("label").distinct().collect())
+    if not labels:
+        return unknown.limit(0).select(id_col, F.lit("").alias("label"), F.lit(0.0).alias("score"))
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm")
+    size = unknown.withColumnRenamed("weight", "_x").groupBy(id_col).agg(norm)
+    scores = _summed(unknown.withColumnRenamed("weight", "_x"), c, "weight", labels, id_col).join(size, id_col)
+    each = [F.struct(F.lit(x).alias("label"), F.try_divide(F.col(f"_s{i}"), F.col("_norm")).alias("score")) for i, x in enumerate(labels)]
+    return scores.select(id_col, F.inline(F.array(*each))).where("score > 0")
 
 
 def neighbours_vote(neighbours: DataFrame, labels: DataFrame, k: int = 3, weighted: bool = False) -> DataFrame:
@@ -81,33 +115,98 @@ def neighbours_vote(neighbours: DataFrame, labels: DataFrame, k: int = 3, weight
     return votes.select("query_id", "label", F.try_divide("votes", total).alias("score"))
 
 
-def logistic_regression(rows: DataFrame, epochs: int = 100, rate: float = 0.5, callback: Callable[[int, float], bool] | None = None, checkpoint_every: int = 5) -> DataFrame:
+def logistic_regression(rows: DataFrame, epochs: int = 100, rate: float = 0.5, callback: Callable[[int, float], bool] | None = None, most_terms: int = MODEL_CELLS) -> DataFrame:
     """(term, weight): full-batch gradient descent from zero weights.
 
     ``rows`` is (doc_id, term, x, y): unit vectors in long form with the target y
-    in {0, 1}. A bias term ``""`` of value 1 is added to every document. Each
-    epoch is one join and two aggregates over the long table; ``callback`` gets
+    in {0, 1}. A bias term ``""`` of value 1 is added to every document; rows of
+    a document without a target are left out. ``callback`` gets
     the epoch and the mean loss and may stop by returning False.
+
+    The terms are counted. Up to ``most_terms`` the weights are one array that
+    is sent to the workers in each epoch, which go through their documents once
+    and return a sum for each term (combined in the task); beyond that an epoch is two
+    joins with a table of weights, written anew in each epoch. Both give the same weights.
     """
+    rows = rows.where("y is not null and doc_id is not null").select("doc_id", "term", F.col("x").cast("double").alias("x"), F.col("y").cast("int").alias("y"))
     bias = rows.select("doc_id", "y").distinct().select("doc_id", F.lit("").alias("term"), F.lit(1.0).alias("x"), "y")
-    data = written(rows.select("doc_id", "term", "x", "y").unionByName(bias), "examples")
+    data = written(rows.unionByName(bias), "examples")
+    names = data.select("term").distinct()
+    descend = _by_arrays if names.count() <= most_terms else _by_joins
+    return descend(data, names, max(1, epochs), rate, callback)
+
+
+def _by_joins(data: DataFrame, names: DataFrame, epochs: int, rate: float, callback: Callable | None) -> DataFrame:
     n = data.select("doc_id").distinct().count()
-    theta = data.select("term").distinct().withColumn("weight", F.lit(0.0))
-    for epoch in range(max(1, epochs)):
+    theta = written(names.withColumn("weight", F.lit(0.0)), "weights")
+    for epoch in range(epochs):
         z = data.join(theta, "term").groupBy("doc_id", "y").agg(F.sum(F.col("x") * F.col("weight")).alias("z"))
-        p = z.select("doc_id", "y", (1 / (1 + F.exp(-F.col("z")))).alias("p"))
+        p = written(z.select("doc_id", "y", (1 / (1 + F.exp(-F.col("z")))).alias("p")), "responses")
         if callback:
             loss = p.agg(F.avg(-F.when(F.col("y") == 1, F.log("p")).otherwise(F.log1p(-F.col("p"))))).first()[0]
             if not callback(epoch, loss):
-                break
+                return theta
         error = p.select("doc_id", (F.col("p") - F.col("y")).alias("e"))
         grad = data.join(error, "doc_id").groupBy("term").agg((F.sum(F.col("x") * F.col("e")) / n).alias("g"))
-        theta = theta.join(grad, "term").select("term", (F.col("weight") - rate * F.col("g")).alias("weight"))
-        if epoch % checkpoint_every == checkpoint_every - 1:
-            theta = written(theta, "weights")
+        new = written(theta.join(grad, "term").select("term", (F.col("weight") - rate * F.col("g")).alias("weight")), "weights")
+        forget(theta, p)
+        theta = new
     return theta
 
 
+def _by_arrays(data: DataFrame, names: DataFrame, epochs: int, rate: float, callback: Callable | None) -> DataFrame:
+    spark = data.sparkSession
+    terms = sorted(r.term for r in names.collect())  # at most most_terms
+    places = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, place int")
+    # the places and values of a document lie in one row; how many those are is bounded by its size
+    docs = data.join(F.broadcast(places), "term").groupBy("doc_id", "y").agg(F.collect_list("place").alias("at"), F.collect_list("x").alias("x"))
+    docs = written(docs.select("y", "at", "x"), "documents")
+    n = docs.count()
+    weights = np.zeros(len(terms))
+    for epoch in range(epochs if n else 0):
+        shared = spark.sparkContext.broadcast(weights)
+
+        def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w = shared.value
+            total, loss = np.zeros(len(w)), 0.0
+            for b in batches:
+                y = b.column(0).to_numpy().astype(float)
+                at, x = (b.column(i).flatten().to_numpy() for i in (1, 2))
+                row = np.repeat(np.arange(len(y)), np.diff(b.column(1).offsets.to_numpy()))
+                p = 1 / (1 + np.exp(-np.bincount(row, x * w[at], minlength=len(y))))
+                total += np.bincount(at, x * (p - y)[row], minlength=len(w))
+                loss -= np.log(np.where(y == 1, p, 1 - p)).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([loss])], ["g", "loss"])
+
+        # the arrays of the tasks are added up pairwise, so that few of them come to the driver
+        sums = docs.select("y", "at", "x").mapInArrow(gradient, "g binary, loss double")
+        parts = _added(sums).collect()
+        if callback and not callback(epoch, sum(r.loss for r in parts) / n):
+            break
+        weights = weights - rate * sum(np.frombuffer(r.g) for r in parts) / n
+        shared.unpersist()
+    return written(spark.createDataFrame(pd.DataFrame({"term": pd.Series(terms, dtype=str), "weight": weights}), "term string, weight double"), "weights")
+
+
+def _added(sums: DataFrame, most: int = 16) -> DataFrame:
+    """Rows of (array in binary, loss), one from each task, added until at most ``most`` are left."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, loss = None, 0.0
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                g = np.frombuffer(x).copy() if g is None else g + np.frombuffer(x)
+                loss += y
+        if g is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([loss])], ["g", "loss"])
+
+    n = sums.rdd.getNumPartitions()
+    while n > most:
+        n = math.ceil(n / most)
+        sums = sums.repartition(n).mapInArrow(add, "g binary, loss double")
+    return sums
+
+
 def logistic_scores(vectors: DataFrame, theta: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, score): the model's response to unit vectors; unknown terms count nothing."""
     bias = theta.where("term = ''").select(F.col("weight").alias("bias"))

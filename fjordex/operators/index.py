@@ -8,20 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fjordex.functions.codecs import vbyte_size
-from fjordex.functions.text import terms
+from fjordex.functions.text import run_lengths, terms
+from fjordex.session import written
 
 Analyzer = Callable[[Column], Column]  # text -> array of tokens
 
 
-def postings(docs: DataFrame, fields: list[str], analyzer: Analyzer = terms, id_col: str = "doc_id") -> DataFrame:
+def postings(docs: DataFrame, fields: list[str], analyzer: Analyzer = terms, id_col: str = "doc_id", unique_ids: bool = False) -> DataFrame:
     """(term, doc_id, tf): how often each term occurs in the named fields of each document.
 
-    A null or missing text holds no term; a null id is no document. Counting is
-    partial in each task before the shuffle.
+    A null or missing text holds no term; a null id is no document. The terms of
+    a document lie in one row, so they are counted there and no occurrence is
+    ever shuffled. Rows of equal ids are one document: what they hold is added
+    up in a shuffle of finished counts, which ``unique_ids`` spares where
+    every id is known to have one row.
     """
     tokens = F.concat(*(analyzer(F.col(f)) for f in fields)) if len(fields) > 1 else analyzer(F.col(fields[0]))
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens")).where("doc_id is not null")
-    return rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(tokens).alias("tokens")).where("doc_id is not null")
+    counted = rows.select("doc_id", F.explode(run_lengths(F.col("tokens"))).alias("x")).select("x.term", "doc_id", "x.tf")
+    return counted if unique_ids else counted.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+
+
+def positions(docs: DataFrame, fields: list[str], analyzer: Analyzer = terms, id_col: str = "doc_id") -> DataFrame:
+    """(term, doc_id, field, pos): where each term stands; ``field`` is the place of its name in ``fields``.
+
+    The index of phrase search. Null texts and ids hold nothing.
+    """
+    out = None
+    for i, f in enumerate(fields):
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.lit(i).alias("field"), F.posexplode(analyzer(F.col(f))).alias("pos", "term")).where("doc_id is not null")
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("term", "doc_id", "field", "pos")
 
 
 def statistics(post: DataFrame) -> DataFrame:
@@ -48,15 +65,19 @@ def term_ids(docs: DataFrame, field: str, analyzer: Analyzer = terms, id_col: st
 def dense_ids(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Ids 0, 1, ... in a global order: ranges are numbered in parallel and shifted by the sizes of those before.
 
-    Only one count for each range comes to one place.
+    The bounds of the ranges come from a sample and differ from one reading to
+    the next, so the ranged and numbered rows are written once, and sizes and ids
+    are taken from that table. Only one count for each range comes to one place.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # adaptive coalescing must not tell two readings of the ranges apart, so the range number is a column
-    parts = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.select("_part", "_shift")), "_part").withColumn(name, F.col("_shift") + F.col("_nth") - 1).drop("_part", "_nth", "_shift")
+    at = F.monotonically_increasing_id()  # range number * 2^33 + place in the range
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", at)
+    local = written(ranged, "ranged")
+    part, nth = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = local.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    # one row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    return local.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_shift") + nth).drop("_part", "_at", "_shift")
 
 
 def gaps(post: DataFrame) -> DataFrame:

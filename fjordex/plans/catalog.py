@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fjordex.functions import codecs, distance, phonetic, stemming
 from fjordex.functions import text as X
 from fjordex.operators import bloom, boolean, classify, extract, graph, index, metrics, ranked, strings, vectors
+from fjordex.session import spread, written
 from fjordex.sources import loaders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], Any] = {}
 
 
 def query(sql: str | None = None) -> Callable:
@@ -32,11 +34,23 @@ def table(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-def kept(s: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries of a session share; it may spill to disk and is recomputed if lost."""
+def kept(s: SparkSession, d: str, name: str, make: Callable[[], DataFrame], order: str | None = None) -> DataFrame:
+    """A table that several queries of a session share: written once below the shared folder, in order of a column by which it is pruned.
+
+    It outlives the loss of executors and goes with the session's other tables.
+    """
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _kept:
+        df = make()
+        _kept[key] = written(df if order is None else df.repartitionByRange(order).sortWithinPartitions(order), name)
+    return _kept[key]
+
+
+def kept_model(s: SparkSession, d: str, name: str, make: Callable[[], Any]) -> Any:
+    """A trained model, whose tables are written, for the session."""
     key = (s.sparkContext.applicationId, d, name)
-    if key not in _kept or not _kept[key].is_cached:
-        _kept[key] = make().persist(StorageLevel.MEMORY_AND_DISK)
+    if key not in _kept:
+        _kept[key] = make()
     return _kept[key]
 
 
@@ -45,11 +59,15 @@ def docs_(s: SparkSession, d: str) -> DataFrame:
 
 
 def post_(s: SparkSession, d: str) -> DataFrame:
-    return kept(s, d, "postings", lambda: index.postings(docs_(s, d), ["text"]))
+    return kept(s, d, "postings", lambda: index.postings(spread(docs_(s, d)), ["text"], unique_ids=True), "term")
+
+
+def places_(s: SparkSession, d: str) -> DataFrame:
+    return kept(s, d, "positions", lambda: index.positions(spread(docs_(s, d)), ["text"]), "term")
 
 
 def vocab_(s: SparkSession, d: str) -> DataFrame:
-    return kept(s, d, "vocabulary", lambda: index.statistics(post_(s, d)))
+    return kept(s, d, "vocabulary", lambda: index.statistics(post_(s, d)), "term")
 
 
 def films_(s: SparkSession, d: str) -> DataFrame:
@@ -118,7 +136,24 @@ def pipeline_filter_derive(s: SparkSession, d: str) -> DataFrame:
 # ---- text functions
 
 
-@query()
+def _nfkc_sql(text: str, table: str, more: str) -> str:
+    """CTE o(r, ..., text) and y(r, canonical): compatibility characters by a table made from the Unicode database, one by one, then canonical composition.
+
+    Texts of printable ASCII, which stay as they are, have no row in y.
+    """
+    pairs = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in (*range(0xA0, 0xD800), *range(0xE000, 0x20000)))
+    rows = ",".join("('{}','{}')".format(a, b.replace("'", "''")) for a, b in pairs if b != unicodedata.normalize("NFC", a))
+    return (
+        f"m(c, k) AS (VALUES {rows}), o AS (SELECT row_number() OVER () AS r, * FROM (SELECT {text}{more} FROM {table})), "
+        f"x AS (SELECT r, unnest(regexp_extract_all({text},'(?s).')) AS c, generate_subscripts(regexp_extract_all({text},'(?s).'),1) AS i FROM o WHERE NOT regexp_full_match({text},'[ -~]*')), "
+        "y AS (SELECT r, nfc_normalize(string_agg(coalesce(k, x.c), '' ORDER BY i)) AS canonical FROM x LEFT JOIN m ON m.c = x.c GROUP BY r)"
+    )
+
+
+_CANON = _nfkc_sql("body", "corpus_docs", ", doc_id, loaded_at")
+
+
+@query(f"WITH {_CANON} SELECT doc_id, loaded_at, coalesce(canonical, body) AS canonical, coalesce(canonical, body) IS DISTINCT FROM body AS changed FROM o LEFT JOIN y USING (r)")
 def canonicalize(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "corpus_docs").select("doc_id", "body", "loaded_at").withColumn("canonical", X.nfkc("body"))
     return rows.select("doc_id", "loaded_at", "canonical", (~F.col("body").eqNullSafe(F.col("canonical"))).alias("changed"))
@@ -309,7 +344,7 @@ def merge_andnot(s: SparkSession, d: str) -> DataFrame:
 
 def _bool(s: SparkSession, d: str, expression: str) -> DataFrame:
     synonyms = s.createDataFrame(SYNONYMS, "term string, synonym string")
-    return boolean.search(post_(s, d), expression, synonyms).select("doc_id")
+    return boolean.search(post_(s, d), expression, synonyms, vocabulary=vocab_(s, d)).select("doc_id")
 
 
 @query(f"WITH {POST} SELECT doc_id FROM {_has('inverted')} INTERSECT SELECT doc_id FROM {_has('index')} INTERSECT SELECT doc_id FROM {_has('query')}")
@@ -407,6 +442,11 @@ def search_porter(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH t AS (SELECT doc_id, {TOK} AS t FROM documents), c AS (SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'inverted' AND starts_with(t[i+1], 'ind'))) AS score FROM t) SELECT doc_id, score FROM c WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def phrase_prefix(s: SparkSession, d: str) -> DataFrame:
+    return strings.phrase_places(places_(s, d), PHRASE)
+
+
+@query(f"WITH t AS (SELECT doc_id, {TOK} AS t FROM documents), c AS (SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'inverted' AND starts_with(t[i+1], 'ind'))) AS score FROM t) SELECT doc_id, score FROM c WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
+def phrase_prefix_scan(s: SparkSession, d: str) -> DataFrame:
     return strings.phrase_prefix(docs_(s, d), ["text"], PHRASE)
 
 
@@ -415,22 +455,44 @@ def phrase_prefix_fields(s: SparkSession, d: str) -> DataFrame:
     return strings.phrase_prefix(films_(s, d), ["title", "description"], "The s")
 
 
-_SCAN = f"k AS (SELECT unnest([{_lower_terms(*PHRASES)}]) AS match), w AS (SELECT doc_id, regexp_extract_all(text,{WORDS}) AS r FROM documents), p AS (SELECT doc_id, r, unnest(range(1, len(r)+1)) AS i FROM w), n AS (SELECT doc_id, array_to_string(r[i:i+m-1],' ') AS surface, i, m FROM p, (SELECT unnest(range(1,6)) AS m) WHERE i + m - 1 <= len(r)), h AS (SELECT doc_id, match, surface, i, m FROM n JOIN k ON {FOLD.format(c='surface')} = match)"
+_PIECES = r"p0 AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all({text},'[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) AS part, generate_subscripts(regexp_extract_all({text},'[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'),1) AS i FROM {table})"
+_TK = (
+    _PIECES.replace("{text}", "text").replace("{table}", "documents") + ", q0 AS (SELECT doc_id, i, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS b FROM p0), "
+    "tk AS MATERIALIZED (SELECT doc_id, part AS tok, replace(lower(part),'ß','ss') AS term, CAST(b AS BIGINT) AS b, CAST(b + length(part) AS BIGINT) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS nth FROM q0 WHERE regexp_matches(part, '^[\\p{L}\\p{N}_]'))"
+)
+# each word of an entry votes for the place where the entry would begin; an entry is found where all its words agree
+_SCAN = f"{_TK}, k AS (SELECT m, unnest(string_split(m,' ')) AS word, generate_subscripts(string_split(m,' '),1) - 1 AS j, len(string_split(m,' ')) AS size FROM (SELECT unnest([{_lower_terms(*PHRASES)}]) AS m)), h AS (SELECT doc_id, m AS match, nth - j AS begin_nth, string_agg(tok, ' ' ORDER BY nth) AS surface, min(b) AS begin_at, max(e) AS end_at FROM tk JOIN k ON term = word GROUP BY doc_id, m, nth - j, size HAVING count(*) = size)"
 
 
 @query(f"WITH {_SCAN} SELECT match, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM h GROUP BY match")
 def dict_scan(s: SparkSession, d: str) -> DataFrame:
     keys = s.createDataFrame([(x,) for x in PHRASES], "key string")
-    return strings.dictionary_scan(docs_(s, d), "text", keys).groupBy("match").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
+    return strings.dictionary_scan(spread(docs_(s, d)), "text", keys).groupBy("match").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query(f"WITH {_SCAN}, q AS (SELECT doc_id, i, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS b FROM (SELECT doc_id, unnest({_PARTS}) AS part, generate_subscripts({_PARTS},1) AS i FROM documents)), tk AS (SELECT doc_id, b, b + length(part) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM q WHERE regexp_matches(part, '^[\\p{{L}}\\p{{N}}_]')) SELECT h.doc_id, match, surface, CAST(x.b AS BIGINT) AS begin_at, CAST(y.e AS BIGINT) AS end_at FROM h JOIN tk x ON x.doc_id = h.doc_id AND x.nth = h.i JOIN tk y ON y.doc_id = h.doc_id AND y.nth = h.i + h.m - 1")
+@query(f"WITH {_SCAN} SELECT doc_id, match, surface, begin_at, end_at FROM h")
 def dict_scan_spans(s: SparkSession, d: str) -> DataFrame:
     keys = s.createDataFrame([(x,) for x in PHRASES], "key string")
-    rows = strings.dictionary_scan(docs_(s, d), "text", keys)
+    rows = strings.dictionary_scan(spread(docs_(s, d)), "text", keys)
     return rows.select("doc_id", "match", "surface", F.col("begin").cast("long").alias("begin_at"), F.col("end").cast("long").alias("end_at"))
 
 
+_TITLES = (
+    f"{_nfkc_sql('title', '(SELECT body AS title FROM headings UNION SELECT title FROM films UNION SELECT title FROM corpus_docs)', '')}, "
+    "k AS (SELECT DISTINCT array_to_string(regexp_extract_all(replace(lower(body),'ß','ss'),'[\\p{L}\\p{N}_]+'),' ') AS match, meta FROM headings), "
+    "t AS (SELECT title, ' ' || array_to_string(regexp_extract_all(replace(lower(coalesce(canonical, title)),'ß','ss'),'[\\p{L}\\p{N}_]+'),' ') || ' ' AS line FROM o LEFT JOIN y USING (r))"
+)
+
+
+@query(f"WITH {_TITLES} SELECT DISTINCT title, match, meta FROM t JOIN k ON contains(line, ' ' || match || ' ') WHERE match <> ''")
+def dict_scan_meta(s: SparkSession, d: str) -> DataFrame:
+    """Subject headings, with their tree numbers, in titles and in each other, by the join that serves dictionaries of any size."""
+    heads = table(s, d, "headings")
+    titles = heads.select(F.col("body").alias("title")).union(table(s, d, "films").select("title")).union(table(s, d, "corpus_docs").select("title")).distinct()
+    rows = strings.dictionary_scan(titles, "title", heads, "body", "meta", "title", as_join=True)
+    return rows.select(F.col("doc_id").alias("title"), "match", "meta").distinct()
+
+
 @query(f"WITH {POST} SELECT DISTINCT term FROM post WHERE starts_with(term,'in') AND ends_with(term,'ed') AND length(term) >= 4")
 def wildcard_prefix(s: SparkSession, d: str) -> DataFrame:
     return vocab_(s, d).where(strings.wildcard(F.col("term"), "in*ed")).select("term")
@@ -456,18 +518,18 @@ def fuzzy_first_n(s: SparkSession, d: str) -> DataFrame:
     return strings.fuzzy(vocab_(s, d), "termes", first_n=2, scoring="normalized", key="term").withColumn("distance", F.col("distance").cast("long"))
 
 
-_WPOS = f"p AS (SELECT doc_id, unnest({TOK}) AS term, generate_subscripts({TOK},1) - 1 AS i FROM documents)"
+_WIN = f"{_TK}, w AS (SELECT x.doc_id, abs(x.nth - y.nth) + 1 AS width, least(x.nth, y.nth) AS first_at, greatest(x.nth, y.nth) AS last_at, least(x.b, y.b) AS begin_at, greatest(x.e, y.e) AS end_at FROM tk x JOIN tk y ON x.doc_id = y.doc_id AND x.term = 'index' AND y.term = 'query'), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY width, first_at) AS rn FROM w)"
 
 
-@query(f"WITH {_WPOS}, w AS (SELECT a.doc_id, abs(a.i - b.i) + 1 AS width, least(a.i, b.i) AS first_at, greatest(a.i, b.i) AS last_at FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'index' AND b.term = 'query'), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY width, first_at) AS rn FROM w) SELECT doc_id, width, first_at, last_at FROM r WHERE rn = 1")
+@query(f"WITH {_WIN} SELECT doc_id, width, first_at, last_at, begin_at, end_at FROM r WHERE rn = 1")
 def min_window(s: SparkSession, d: str) -> DataFrame:
-    rows = docs_(s, d).select("doc_id", strings.min_window(F.col("text"), WINDOW_QUERY).alias("w")).where("w.width is not null")
-    return rows.select("doc_id", *(F.col(f"w.{a}").cast("long").alias(b) for a, b in (("width", "width"), ("first", "first_at"), ("last", "last_at"))))
+    rows = spread(docs_(s, d)).select("doc_id", strings.min_window(F.col("text"), WINDOW_QUERY).alias("w")).where("w.width is not null")
+    return rows.select("doc_id", *(F.col(f"w.{a}").cast("long").alias(b) for a, b in (("width", "width"), ("first", "first_at"), ("last", "last_at"), ("begin", "begin_at"), ("end", "end_at"))))
 
 
-@query()
+@query(f"WITH {_WIN} SELECT r.doc_id, substr(text, greatest(begin_at - 20, 0) + 1, end_at + 20 - greatest(begin_at - 20, 0)) AS snippet FROM r JOIN documents ON documents.doc_id = r.doc_id WHERE rn = 1 AND width <= 75")
 def snippet(s: SparkSession, d: str) -> DataFrame:
-    return docs_(s, d).select("doc_id", strings.snippet(F.col("text"), WINDOW_QUERY).alias("snippet")).where("snippet is not null")
+    return spread(docs_(s, d)).select("doc_id", strings.snippet(F.col("text"), WINDOW_QUERY).alias("snippet")).where("snippet is not null")
 
 
 @query("SELECT airport_id, airport_name FROM (SELECT DISTINCT airport_id, trim(airport_name) AS airport_name FROM airports) WHERE starts_with(airport_name, 'S')")
@@ -486,7 +548,16 @@ def trie_conflicts(s: SparkSession, d: str) -> DataFrame:
     return strings.conflicts(table(s, d, "airports"), "airport_id", "airport_type")
 
 
-@query()
+def _slots_sql(item: str) -> str:
+    """The slots of an item: two digests as little-endian numbers modulo the bits, by Horner's rule."""
+    number = lambda digest: f"list_reduce(list_prepend(0::BIGINT, list_transform(list_reverse(regexp_extract_all({digest}({item}),'..')), lambda h: ('0x' || h)::BIGINT)), lambda a, b: (a * 256 + b) % bits)"
+    return f"list_distinct(list_transform(range(k), lambda i: ({number('sha1')} + i * {number('md5')}) % bits))"
+
+
+_BLOOM = f"i AS (SELECT DISTINCT CAST(dst_id AS VARCHAR) AS item FROM doc_links WHERE dst_id IS NOT NULL), n AS (SELECT greatest(1, count(*)) AS n FROM i), b AS (SELECT n, greatest(1, CAST(floor(-n * ln(0.01::DOUBLE) / (ln(2::DOUBLE) * ln(2::DOUBLE))) AS BIGINT)) AS bits FROM n), p AS (SELECT bits, greatest(1, CAST(round_even(bits::DOUBLE / n * ln(2::DOUBLE), 0) AS BIGINT)) AS k FROM b), f AS (SELECT DISTINCT unnest({_slots_sql('item')}) AS slot FROM i, p), d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS item FROM corpus_docs), s AS (SELECT item, unnest({_slots_sql('item')}) AS slot FROM d, p)"
+
+
+@query(f"WITH {_BLOOM} SELECT item, bool_and(f.slot IS NOT NULL) AS member FROM s LEFT JOIN f USING (slot) GROUP BY item")
 def bloom_membership(s: SparkSession, d: str) -> DataFrame:
     links = table(s, d, "doc_links").select(F.col("dst_id").cast("string").alias("item")).dropna().distinct()
     known = table(s, d, "corpus_docs").select(F.col("doc_id").cast("string").alias("item")).distinct()
@@ -514,14 +585,27 @@ _UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
 @query(f"WITH e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 100 = 0), r AS (SELECT query_id, vec_id, round(list_cosine_similarity(v, qv), 6) AS score FROM e, q), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM r) SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 5")
 def ann_cosine_topk(s: SparkSession, d: str) -> DataFrame:
     """Exact nearest vectors of every hundredth vector, in blocks of queries against all rows."""
-    near = _nearest(s, d)
-    return vectors.top_k(near, "score", 5, "vec_id", "query_id").withColumn("rank", F.col("rank").cast("long"))
+    e = table(s, d, "embeddings")
+    near = vectors.nearest_to(e.where("vec_id % 100 = 0"), e, 5)
+    return near.select("query_id", F.col("near_id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _nearest(s: SparkSession, d: str) -> DataFrame:
-    unit = table(s, d, "embeddings").select("vec_id", vectors.unit(F.col("embedding")).alias("v")).where("v is not null")
-    q = unit.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    return unit.join(q, F.size("v") == F.size("qv")).select("query_id", "vec_id", F.round(vectors.dot(F.col("v"), F.col("qv")), 6).alias("score"))
+_WV = f"r AS (SELECT doc_id, body FROM (SELECT doc_id, body, row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC, body DESC) AS rn FROM corpus_docs) WHERE rn = 1), t AS (SELECT doc_id, unnest(regexp_extract_all({FOLD.format(c='body')},{WORDS})) AS term FROM r), u AS (SELECT DISTINCT doc_id, embedding FROM body_vectors WHERE len(embedding) = 96 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0), uu AS (SELECT doc_id, min(embedding) AS v FROM u GROUP BY doc_id), un AS (SELECT doc_id, list_transform(v, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(v, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM uu)"
+DENSE_QUERY = ["orchestra", "concert", "violin"]
+_WVQ = f"wx AS (SELECT term, i, avg(v[i]) AS x FROM (SELECT DISTINCT term, doc_id FROM t WHERE term IN ({_lower_terms(*DENSE_QUERY)})) JOIN un USING (doc_id), range(1, 97) g(i) GROUP BY term, i), qv AS (SELECT i, avg(x) AS x FROM wx GROUP BY i), ql AS (SELECT sqrt(sum(x * x)) AS len FROM qv)"
+
+
+@query(f"WITH {_WV}, {_WVQ} SELECT doc_id, round(sum(v[i] * x) / any_value(len), 6) AS score FROM un, qv, ql GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 5")
+def dense_text_topk(s: SparkSession, d: str) -> DataFrame:
+    """Dense search by text: the mean vector of the query's words, a word's vector being the mean of the bodies' that hold it."""
+    bodies = loaders.merge(table(s, d, "corpus_docs").select("doc_id", "loaded_at", "body"), order=[F.col("loaded_at").desc(), F.col("body").desc()])
+    held = bodies.select("doc_id", F.explode(F.array_distinct(X.terms("body"))).alias("term")).where(F.col("term").isin(DENSE_QUERY))
+    usable = table(s, d, "body_vectors").where("size(embedding) = 96").select("doc_id", "embedding", vectors.unit(F.col("embedding")).alias("v")).where("v is not null")
+    unit = usable.groupBy("doc_id").agg(F.min(F.struct("embedding", "v"))["v"].alias("embedding"))
+    words = vectors.embedded(held.select(F.col("term").alias("word"), F.col("doc_id").alias("term")), unit.withColumnRenamed("doc_id", "term"), "word").withColumnRenamed("word", "term")
+    query = vectors.embedded(s.createDataFrame([(0, w) for w in DENSE_QUERY], "doc_id long, term string"), words)
+    near = vectors.nearest_to(query, unit, 5, "doc_id")
+    return near.select(F.col("near_id").alias("doc_id"), "score")
 
 
 _VEC = f"{POST}, {STATS}, v AS (SELECT doc_id, term, (1 + log10(tf::DOUBLE)) * log10({NDOCS} / df) AS weight FROM post JOIN stats USING (term) WHERE df < {NDOCS})"
@@ -575,7 +659,7 @@ _NB = f"{POST}, {_LAB}, sizes AS (SELECT label, count(*) AS n FROM lab GROUP BY
 
 
 def nb_(s: SparkSession, d: str) -> classify.NaiveBayes:
-    return classify.NaiveBayes.train(post_(s, d), labels_(s, d))
+    return kept_model(s, d, "bayes", lambda: classify.NaiveBayes.train(post_(s, d), labels_(s, d)).stored())
 
 
 @query(f"WITH {_NB} SELECT label, round(prior, 6) AS prior FROM pri")
@@ -604,7 +688,8 @@ def _knn_sql(vote: str) -> str:
 
 
 def _knn(s: SparkSession, d: str, weighted: bool) -> DataFrame:
-    near = _nearest(s, d).where("query_id <> vec_id").withColumnRenamed("vec_id", "near_id")
+    e = table(s, d, "embeddings")
+    near = vectors.nearest_to(e.where("vec_id % 100 = 0"), e, 5, others=True).drop("rank")
     labels = table(s, d, "embeddings").select(F.col("vec_id").alias("near_id"), "label")
     return classify.neighbours_vote(near, labels, 5, weighted).withColumn("score", F.round("score", 6))
 
@@ -673,7 +758,7 @@ def pagerank_step(s: SparkSession, d: str) -> DataFrame:
     return _pagerank(s, d, 1)
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT src_id AS u, dst_id AS v FROM doc_links WHERE src_id IS NOT NULL AND dst_id IS NOT NULL AND src_id <> dst_id UNION SELECT dst_id, src_id FROM doc_links WHERE src_id IS NOT NULL AND dst_id IS NOT NULL AND src_id <> dst_id), c AS (SELECT u AS node, u AS low FROM e UNION SELECT e.v AS node, c.low FROM c JOIN e ON e.u = c.node WHERE c.low < e.v) SELECT node, min(low) AS component FROM c GROUP BY node")
 def link_components(s: SparkSession, d: str) -> DataFrame:
     return graph.connected_components(table(s, d, "doc_links"), "src_id", "dst_id")
 

@@ -29,13 +29,16 @@ def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> Spa
 def scratch_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests, a laptop) a temporary folder is set as
-    the checkpoint directory. The folder is removed when the application ends.
+    Where that setting is absent, a session on one machine (tests, a laptop) gets
+    a temporary folder as its checkpoint directory; on a cluster, whose executors
+    would not see it, this is a RuntimeError. The folder is removed when the application ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="fjordex-")
             spark.sparkContext.setCheckpointDir(base)
         _scratch[app] = f"{base.rstrip('/')}/fjordex-{app}"
@@ -56,6 +59,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has cores, spread over them; any larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; tables that lie elsewhere are left alone."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if f"/fjordex-{t.sparkSession.sparkContext.applicationId}/" in path:
+                _remove(t.sparkSession, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder.
 

@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -39,6 +40,12 @@ def test_spans_and_shingles(spark):
     assert rows[0].w == ["Dette er", "er en", "en prøve"] and rows[1].w == []
 
 
+def test_run_lengths(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "b"],), ([],), (None,), (["x"],), (["é", "e", "é"] * 5000,)], "t array<string>").select(F.sort_array("t").alias("t"))
+    rows = df.select(X.run_lengths(F.col("t")).alias("r")).collect()
+    assert [r.r and [tuple(x) for x in r.r] for r in rows] == [[("a", 1), ("b", 3)], None, None, [("x", 1)], [("e", 5000), ("é", 10000)]]
+
+
 def test_codecs(spark):
     numbers = [0, 1, 21, 127, 128, 512, 214577, 134217728, 2**40]
     df = spark.createDataFrame([(n,) for n in [*numbers, -1, None]], "n long")
@@ -59,25 +66,40 @@ def test_codecs(spark):
 
 
 def test_soundex(spark):
-    pairs = {"Robert": "R163", "Ashcraft": "A261", "Tymczak": "T520", "Pfister": "P123", "Honeyman": "H500", "!": "!000", "øhRn": "Ø650", "A": "A000", "thek": "T200", "Jonson": "J525", "Addams": "A352", "Frazer": "F626", "Williams": "W452"}
+    pairs = {"Harbour": "H616", "lantern": "L536", "Mmason": "M525", "teeth": "T300", "bobbin": "B150", "Queue": "Q000", "sky": "S200", "?": "?000", "ålesund": "Å425", "E": "E000", "pilliwinks": "P452", "Xx": "X200", "strength": "S365"}
     df = spark.createDataFrame([(k,) for k in [*pairs, "", None]], "w string")
     got = {r.w: r.c for r in df.select("w", phonetic.soundex(F.col("w")).alias("c")).collect()}
     assert got == pairs | {"": None, None: None}
 
 
 def test_stems(spark):
-    pairs = {"!": "!", "øhRn": "øhrn", "ing": "ing", "eed": "eed", "oed": "o", "inning": "inning", "innings": "inning", "aa": "aa", "caresses": "caress", "ponies": "poni", "ties": "tie", "agreed": "agre", "disabled": "disabl", "matting": "mat", "mating": "mate", "meetings": "meet", "milling": "mill", "enjoy": "enjoy", "happy": "happi", "spied": "spi", "relational": "relat", "conditional": "condit", "radically": "radic", "hopefulness": "hope", "rate": "rate", "controll": "control"}
+    # forms that the steps of the published algorithm give, and its customary irregular ones
+    pairs = {"!": "!", "Ærlig": "ærlig", "ing": "ing", "eed": "eed", "bees": "bee", "outing": "outing", "outings": "outing", "glasses": "glass", "berries": "berri", "pies": "pie", "freed": "freed", "enabled": "enabl", "hopping": "hop", "hoping": "hope", "filling": "fill", "joy": "joy", "merry": "merri", "tried": "tri", "emotional": "emot", "rational": "ration", "usefulness": "use", "state": "state", "rolling": "roll", "vietnamization": "vietnam", "skies": "sky", "lying": "lie", "proceed": "proceed"}
     assert {k: stemming.stem(k) for k in pairs} == pairs
-    text = "Such an analysis can reveal features that are not easily visible from the variations in the individual genes and can lead to a picture of expression that is more biologically transparent and accessible to interpretation"
-    assert " ".join(map(stemming.stem, text.split())) == "such an analysi can reveal featur that are not easili visibl from the variat in the individu gene and can lead to a pictur of express that is more biolog transpar and access to interpret"
     with pytest.raises(ValueError):
         stemming.stem("")
     df = spark.createDataFrame([("running",), (" ",), (None,)], "w string").select(stemming.stemmed(F.col("w")).alias("s"))
     assert [r.s for r in df.collect()] == ["run", None, None]
 
 
+def test_edit_table():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(6))) for _ in "ab")
+        t = distance.EditTable(a, b)
+        assert [t.distance(k) for k in range(len(b) + 1)] == [distance.osa(a, b[:k]) for k in range(len(b) + 1)] and t.prefix(2) == b[:2]
+        if b:  # another symbol in the middle cuts the candidate there
+            k = rng.randint(1, len(b))
+            least = t.put(k, "x")
+            c = b[: k - 1] + "x"
+            assert t.candidate == c and t.distance() == distance.osa(a, c) and least == min((distance.osa(a[:i], c) for i in range(1, len(a) + 1)), default=k)
+    assert str(distance.EditTable("ab", "b")).split("\n") == ["           b", "       0   1", "   a   1   1", "   b   2   1"]
+    with pytest.raises(IndexError):
+        distance.EditTable("a").put(2, "x")
+
+
 def test_edit_distance(spark):
-    pairs = [("cat", "dog", 3), ("elephant", "elephnat", 1), ("elephant", "relevant", 3), ("object", "inject", 2), ("bullfrog", "frogger", 7), ("same", "same", 0), ("ca", "abc", 3), ("", "ab", 2)]
+    pairs = [("oak", "elm", 3), ("granite", "grainte", 1), ("granite", "ignite", 3), ("stone", "atone", 1), ("lamp", "lamp", 0), ("ca", "abc", 3), ("", "ab", 2)]
     df = spark.createDataFrame(pairs, "a string, b string, d int")
     assert all(r.d == r.x for r in df.withColumn("x", distance.edit_distance(F.col("a"), F.col("b"))).collect())
     assert all(r.m for r in df.where("d <= 2").withColumn("m", distance.may_be_within(F.col("a"), F.col("b"), 2)).collect())

@@ -1,9 +1,11 @@
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from fjordex.functions import distance
 from fjordex.functions.text import py_terms
 from fjordex.operators import bloom, boolean, classify, extract, graph, index, metrics, ranked, strings, vectors
 
@@ -44,16 +46,27 @@ def test_boolean(spark):
     assert ids("AND(WILDCARD('*zz'), a)") == [] and ids("OR(SOUNDSLIKE(a), LOOKSLIKE(x))") == [0, 1, 2, 3]
     syn = spark.createDataFrame([("q", "d")], "term string, synonym string")
     assert ids("SYNONYM(q)", syn) == [3] and ids("SYNONYM(b)", syn) == [0, 2]
-    assert error("AND('foo', OR())") == "Operator OR expects at least one argument."
-    assert error("ANDNOT('foo')") == "Operator ANDNOT expects exactly two arguments."
-    assert error("FOO('foo','bar')") == "Unsupported operator FOO."
-    assert error("''") == "Expected '' to contain at least one term."
+    assert error("AND('pear', OR())") == "OR takes 1 or more operands, not 0"
+    assert error("ANDNOT('pear')") == "ANDNOT takes 2 operands, not 1"
+    assert error("NEAR('pear','plum')") == "there is no operator NEAR"
+    assert error("''") == "'' has 0 terms where at least one is needed" and "one is needed" in error("SOUNDSLIKE('two words')")
+    assert error("AND(1 + 2)") == "BinOp is not part of an expression" and error("WILDCARD('a**b')") and error("SYNONYM(1 + 2)") == "SYNONYM takes a word or a quoted text"
     assert error("AND(") and error("__import__('os').system('x')")
     with pytest.raises(ValueError):
         boolean.check_analyzer(lambda t: t.split("e"))
     boolean.check_analyzer(py_terms)
 
 
+def test_boolean_with_very_many_terms(spark):
+    """More terms than one word of flags holds, and patterns that most of the vocabulary fits."""
+    rows = [(i, f"w{i} w{(i + 1) % 150} x") for i in range(150)]
+    post = index.postings(spark.createDataFrame(rows, "doc_id long, body string"), ["body"])
+    some = ",".join(f"w{i}" for i in range(0, 150, 2))
+    ids = lambda e: [r.doc_id for r in boolean.search(post, e).collect()]
+    assert ids(f"ANDNOT(x, OR({some}))") == [] and ids(f"AND(OR({some}), w7)") == [6, 7] and len(ids("AND(WILDCARD('w*'), x)")) == 150
+    assert ids(f"AND(OR({some}), WILDCARD('*49'), WILDCARD('w1*'))") == [148, 149] and ids("AND(WILDCARD('w14*'), ANDNOT(w149, w0))") == [148]
+
+
 def test_merges(spark):
     post = spark.createDataFrame([("a", x, 1) for x in (1, 2, 3, 9)] + [("b", x, 1) for x in (2, 3, 6, 8)], "term string, doc_id long, tf long")
     assert pairs(boolean.merge(post, "a", "b", "and"), "doc_id") == [(2,), (3,)]
@@ -97,11 +110,13 @@ def test_wildcards_and_tries(spark):
 
 
 def test_fuzzy(spark):
-    v = spark.createDataFrame([(w,) for w in "aleksander abba ørret abbor alleksander allekander aleksanderrrr".split()] + [(None,)], "key string")
-    want = {1: 2, 2: 3, 3: 4, 4: 4, 8: 6, 9: 7}
-    assert {b: strings.fuzzy(v, "aleksander", b).count() for b in want} == want
-    assert strings.fuzzy(v, "aleksander", 3, first_n=3, scoring="lopresti").first().key == "aleksander"
-    assert strings.fuzzy(v, "aleksander", 3, first_n=3).count() == 2
+    words = "lantern lanter lanetrn lanternss lamtren banter cantor anten".split()
+    v = spark.createDataFrame([(w,) for w in [*words, None]], "key string")
+    for bound in range(9):
+        want = sorted((distance.osa(w, "lantern"), w) for w in words if distance.osa(w, "lantern") <= bound)
+        assert [(r.distance, r.key) for r in strings.fuzzy(v, "lantern", bound).collect()] == want
+    assert strings.fuzzy(v, "lantern", 3, first_n=3, scoring="lopresti").first().key == "lantern"
+    assert {r.key for r in strings.fuzzy(v, "lantern", 2, first_n=4).collect()} == {"lantern", "lanter", "lanternss"}
 
 
 def test_phrases_and_scan(spark):
@@ -111,18 +126,83 @@ def test_phrases_and_scan(spark):
     f = spark.createDataFrame([(0, "a b c", "b c d"), (1, "x", "y"), (2, "y", "z")], "doc_id long, field1 string, field2 string")
     assert pairs(strings.phrase_prefix(f, ["field1", "field2"], "b c"), "doc_id", "score") == [(0, 2)]
     assert strings.phrase_prefix(f, ["field1", "field2"], "x y").count() == 0
-    keys = spark.createDataFrame([("eple",), ("drue",), ("appelsin",), ("drue appelsin rosin banan papaya",)], "key string")
-    t = docs(spark, "et EPLE og en drue   appelsin  rosin banan papaya frukt")
-    assert pairs(strings.dictionary_scan(t, "body", keys), "begin", "end") == [(3, 7), (14, 18), (14, 49), (21, 29)]
+    assert strings.phrase_places(index.positions(f, ["field1", "field2"]), "x y").count() == 0
+    many = docs(spark, "the inverted index inverts", "inverted  INDEXES, inverted ind", "index inverted", "Straße zum ﬁnden", "ind", "")
+    places = index.positions(many, ["body"])
+    for q in ("inverted ind", "ind", "index inverts", "strasse zum fin", "inverted", "the the", "no"):
+        want = sorted(tuple(r) for r in strings.phrase_prefix(many, ["body"], q).collect())
+        assert sorted(tuple(r) for r in strings.phrase_places(places, q).collect()) == want and (want or q in ("the the", "no"))
+
+
+def slow_scan(texts, entries, normalize=strings.fold_token, spans=strings.word_spans):
+    """Every run of every text against every entry."""
+    found = set()
+    for i, x in enumerate(texts):
+        at = spans(x or "")
+        for e in entries:
+            words = [normalize(t) for t, _, _ in spans(e or "")]
+            for j in range(len(at) - len(words) + 1 if words else 0):
+                run = at[j : j + len(words)]
+                if [normalize(t) for t, _, _ in run] == words:
+                    found.add((i, " ".join(words), " ".join(t for t, _, _ in run), run[0][1], run[-1][2]))
+    return found
+
+
+@pytest.mark.parametrize("as_join", [False, True])
+def test_dictionary_scan(spark, as_join):
+    """Entries of any length, overlapping and nested, with several metadata, over odd texts; both ways alike."""
+    texts = ["ship  SHIPS ship's, a large sailing ship of the old and distant north", None, "", " .,", "Öre öRE ｗｉｄｅ ﬁsh Straße STRASSE", "old and distant " * 3000, "of the old and distant north wind"]
+    entries = ["ship", "sailing ship", "large sailing ship of the old and distant north", "of the old and distant north wind", "öre", "wide fish", "STRASSE", "distant old", "", None, " .", "s"]
+    keys = spark.createDataFrame([(e, i) for i, e in enumerate(entries)] + [("Ship", 99), ("ship", 0)], "key string, id long")
+    d = docs(spark, *texts).withColumn("run", F.lit("clash")).withColumn("meta", F.lit("clash"))
+    got = [tuple(r) for r in strings.dictionary_scan(d, "body", keys, as_join=as_join).collect()]
+    want = slow_scan(texts, entries)
+    assert len(got) == len(set(got)) and set(got) == want and {len(m.split()) for _, m, *_ in got} == {1, 2, 7, 9}
+    rows = strings.dictionary_scan(d, "body", keys, meta="id", as_join=as_join).where("match = 'ship' and doc_id = 0")
+    assert {(r.begin, r.meta) for r in rows.collect()} == {(b, m) for b in (0, 12, 36) for m in (0, 99)}
+    assert strings.dictionary_scan(d, "body", keys.limit(0), as_join=as_join).count() == strings.dictionary_scan(d.limit(0), "body", keys, as_join=as_join).count() == 0
+    # other tokens and other ways to compare them
+    letters = strings.dictionary_scan(docs(spark, "a b cab"), "body", spark.createDataFrame([("ab",), ("bc",)], "key string"), spans=strings.character_spans, as_join=as_join)
+    assert pairs(letters, "match", "begin", "end") == [("a b", 0, 3), ("a b", 5, 7), ("b c", 2, 5)]
+    vowels = str.maketrans("", "", "aeiou")
+    blurred = strings.dictionary_scan(docs(spark, "the boot, a beet"), "body", spark.createDataFrame([("but", "x")], "key string, m string"), meta="m", normalize=lambda t: t.lower().translate(vowels), as_join=as_join)
+    assert pairs(blurred, "surface", "meta") == [("beet", "x"), ("boot", "x")]
 
 
 def test_windows(spark):
-    d = docs(spark, "A D O B E C O D E B A N C", "a b", None)
-    rows = d.select(strings.min_window(F.col("body"), "a b c").alias("w"), strings.snippet(F.col("body"), "a b c").alias("s")).collect()
-    assert tuple(rows[0].w) == (4, 9, 12) and rows[0].s.endswith("B A N C") and rows[1].w.width is None and rows[2].s is None
+    d = docs(spark, "one, two.  Four three -- two ONE: three", "one two", None, "Straße one ﬁ three two")
+    rows = d.select(strings.min_window(F.col("body"), "three one two").alias("w"), strings.snippet(F.col("body"), "three one two").alias("s"), strings.snippet(F.col("body"), "three one two", context=3).alias("c")).collect()
+    assert tuple(rows[0].w) == (3, 3, 5, 16, 32) and rows[0].s == "one, two.  Four three -- two ONE: three" and rows[0].c == "ur three -- two ONE: t"
+    assert rows[1].w.width is None and rows[2].s is None and tuple(rows[3].w) == (4, 1, 4, 7, 22)
+    assert d.select(strings.min_window(F.col("body"), " ").alias("w")).where("w.width is not null").count() == 0 and d.select(strings.snippet(F.col("body"), "one two", widest=1).alias("s")).where("s is not null").count() == 0
     assert strings.py_window("a b a c".split(), "a a".split()) == (3, 0, 2) and strings.py_window(["a"], []) is None
 
 
+def test_nearest_in_blocks(spark):
+    """Blocks of any size give the same rows as a comparison of everything with everything."""
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(8)]) for i in range(300)] + [(400, [1.0, 2.0]), (401, [2.0, 4.0]), (402, None), (403, []), (404, [0.0] * 8), (405, [1.0, None]), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("score", F.lit(1))
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v in rows if i is not None and v and None not in v and any(v)}
+    for others in (False, True):
+        want = {}
+        for q in (q for q in unit if q % 10 == 0):
+            scored = [(-round(sum(a * b for a, b in zip(unit[q], v)), 6), i) for i, v in unit.items() if len(v) == len(unit[q]) and not (others and i == q)]
+            want[q] = [(i, -x) for x, i in sorted(scored)[:4]]
+        for size in (1 << 20, 700):
+            got = {}
+            for r in vectors.nearest_to(df.where("vec_id % 10 = 0"), df, 4, others=others, block_bytes=size).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append((r.near_id, r.score))
+            assert {q: [(i, pytest.approx(x, abs=2e-6)) for i, x in v] for q, v in want.items()} == got
+    assert vectors.nearest_to(df.limit(0), df, 4).count() == vectors.nearest_to(df, df.limit(0), 4).count() == 0
+
+
+def test_embedded(spark):
+    words = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "term string, embedding array<double>")
+    tokens = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (1, "zz"), (2, "zz"), (3, "a")], "doc_id long, term string")
+    assert {r.doc_id: r.embedding for r in vectors.embedded(tokens, words).collect()} == {1: [pytest.approx(1 / 3), 2.0], 3: [1.0, 0.0]}
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, "a", 0.4), (1, "c", 1.2), (1, "b", 0.9), (2, "c", 0.5), (2, "a", 0.8), (2, "x", 1.0)], "doc_id long, term string, weight double")
     right = v.where("doc_id = 2").withColumnRenamed("doc_id", "other_id")
@@ -151,6 +231,10 @@ def test_naive_bayes_and_friends(spark):
     rows = unit.join(labels.dropna(), "doc_id").select("doc_id", "term", F.col("weight").alias("x"), (F.col("label") == "china").cast("int").alias("y"))
     losses = []
     theta = classify.logistic_regression(rows, 12, callback=lambda e, x: losses.append(x) or len(losses) < 8)
+    # weights in an array and weights in a table
+    more: list[float] = []
+    again = classify.logistic_regression(rows, 12, callback=lambda e, x: more.append(x) or len(more) < 8, most_terms=3)
+    assert more == pytest.approx(losses) and {r.term: pytest.approx(r.weight) for r in theta.collect()} == {r.term: r.weight for r in again.collect()}
     assert losses == sorted(losses, reverse=True) and len(losses) == 8 and classify.logistic_scores(unit, theta).where("doc_id = 1").first().score > 0.5
     near = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.6), (1, 12, 0.5), (1, 13, 0.1)], "query_id long, near_id long, score double")
     lab = spark.createDataFrame([(10, "a"), (11, "b"), (12, "b"), (10, "c"), (13, "a")], "near_id long, label string")
@@ -158,6 +242,34 @@ def test_naive_bayes_and_friends(spark):
     assert {r.label: round(r.score, 4) for r in classify.neighbours_vote(near, lab, 3, True).collect()} == {"a": round(0.9 / 2.9, 4), "b": round(1.1 / 2.9, 4), "c": round(0.9 / 2.9, 4)}
 
 
+def test_large_models_are_joined(spark, monkeypatch):
+    d = docs(spark, "a b b", "c b", "a a d", "d c x", None)
+    labels = spark.createDataFrame([(0, "p"), (1, "q"), (2, "p"), (2, "r"), (4, "r")], "doc_id long, label string")
+    post, found = index.postings(d, ["body"]), []
+    for cells in (10_000, 1):
+        monkeypatch.setattr(classify, "MODEL_CELLS", cells)
+        unit = vectors.normalized(vectors.tfidf(post, 5))
+        found.append([sorted((r.doc_id, r.label, round(r.score, 9)) for r in x.collect()) for x in (classify.NaiveBayes.train(post, labels).stored().classify(post), classify.rocchio(unit, labels, unit))])
+    assert found[0] == found[1] and len(found[0][0]) == 12 and len(found[0][1]) > 6
+    none = classify.NaiveBayes.train(post, labels.limit(0))
+    assert none.classify(post).count() == classify.rocchio(unit, labels.limit(0), unit).count() == 0
+
+
+def test_ids_are_dense(spark):
+    """Whatever the number of partitions, with ties, repeated rows and nulls."""
+    rows = spark.range(5000).select((F.col("id") * 7919 % 1000).alias("k"), F.when(F.col("id") % 11 > 0, F.col("id")).alias("v"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            for _ in range(2):
+                got = index.dense_ids(rows.repartition(n), [F.col("k"), F.col("v")], "n").orderBy("n").collect()
+                assert [r.n for r in got] == list(range(5000)) and [r.k for r in got] == sorted(r.k for r in got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert index.dense_ids(rows.limit(0), [F.col("k")], "n").count() == 0
+
+
 def test_graph(spark):
     def run(adj, alpha):
         e = spark.createDataFrame([(i, j) for i, a in enumerate(adj) for j in a] or [(None, None)], "src long, dst long")
@@ -172,6 +284,10 @@ def test_graph(spark):
     assert pairs(graph.connected_components(e), "node", "component") == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8), (10, 8)]
     path = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r.component for r in graph.connected_components(path).collect()} == {0} and graph.connected_components(e.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.connected_components(path, max_rounds=2)
+    long = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r.component for r in graph.connected_components(long).collect()} == {0}
 
 
 def test_metrics(spark):
@@ -202,16 +318,17 @@ def test_bloom(spark):
 
 def test_extract(spark):
     cases = {
-        "So The Lord of the Rings was a movie.  And Windows 2000 was an operating system.": ["The Lord of the Rings", "Windows 2000"],
-        "So This Could Be The Longest Paragraph in the whole World Where Everything Is Capitalized!": [],
-        "Aa Bb. Cc Dd! Ee Ff? Gg Hh: Ii Jj": ["Bb", "Dd", "Ff", "Hh", "Jj"],
-        '"Aleksander codes Python!", he said.': ["Python"],
-        "Inconceivable, Aleksander  Øhrn is nowhere  as tall as  André the  Giant!": ["Aleksander Øhrn", "André the Giant"],
-        "Was Hewlett-Packard really started in a garage?": ["Hewlett-Packard"],
-        "Does Leonardo DiCaprio own an iPhone?": ["Leonardo DiCaprio", "iPhone"],
-        "This is the First Chunk\n  \nAnd this is Second Chunk": ["First Chunk", "Second Chunk"],
-        "Today is April 21 and not a Monday in December. What about Apr 21, or Ruby Tuesday?": ["Ruby Tuesday"],
-        "Is Dr. No the best James Bond movie?": ["Dr. No", "James Bond"],
+        "Then The Keeper of the Lighthouse came home.  Later Apollo 11 was on every screen.": ["The Keeper of the Lighthouse", "Apollo 11"],
+        "Why Nearly Every Word Here Stands With A Capital In It is a mystery Of Headlines!": [],
+        "Xa Yb. Zc Wd! Ve Uf? Tg Sh: Ri Qj": ["Yb", "Wd", "Uf", "Sh", "Qj"],
+        '"Maria paints Venice!", they said.': ["Venice"],
+        "Surely, Ingrid  Solbakken is never  as calm as  Karl the  Bald!": ["Ingrid Solbakken", "Karl the Bald"],
+        "Did Rolls-Royce ever build a bus near Aix-en-Provence?": ["Rolls-Royce", "Aix", "Provence"],
+        "Has Fiona MacLeod seen the eBook of NATO?": ["Fiona MacLeod", "eBook"],
+        "here the Upper Part\n \t\nand then the Lower Part": ["Upper Part", "Lower Part"],
+        "We meet on June 14 or some Friday in March. Is Sep 02 free, or Good Friday?": ["Good Friday"],
+        "Ask Prof. Plum, Mrs Peacock and Queen of the von Bergen line, not 3 Men": ["Prof. Plum", "Mrs Peacock and Queen", "Bergen", "Men"],
+        "a Straße of Ære is far longer than an Ülker or the ΑΒγ": ["Straße of Ære", "Ülker", "ΑΒγ"],
     }
     df = spark.createDataFrame([(k,) for k in [*cases, "", None]], "t string")
     got = {r.t: r.n for r in df.select("t", extract.proper_nouns(F.col("t")).alias("n")).collect()}

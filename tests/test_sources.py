@@ -42,3 +42,34 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, body string").parquet(str(tmp_path / "in"))
     stream_postings(stream, ["body"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted((r.term, r.doc_id, r.tf) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1, 2), ("b", 1, 1)]
+
+
+def test_access_log(spark):
+    from fjordex.operators import index, ranked
+
+    d = spark.createDataFrame([(i, f"common {w}") for i, w in enumerate("red green blue red".split())], "doc_id long, body string")
+    post = index.postings(d, ["body"]).cache()
+    log = loaders.AccessLog()
+    found = ranked.search(log.observe(post.where("term in ('red')"), "postings", "term"), "red", d.count(), hits=1)
+    won = ranked.with_fields(found, d)
+    rows = log.observe(won, "winners", "doc_id").collect()
+    # only the postings of the query's term are read, and only winners are fetched
+    assert [r.doc_id for r in rows] == [0] and log.rows("postings") >= 2 and log.history("postings") == {"red"} and log.history("winners") == {"0"} and log.rows("winners") == 1
+
+
+def test_several_files_in_a_folder(spark, tmp_path):
+    for n, text in (("b.xml", "<r><doc>three</doc></r>"), ("a.xml", "<r><doc>one</doc><doc>two</doc></r>")):
+        (tmp_path / n).write_text(text)
+    rows = loaders.read_corpus(spark, [f"{tmp_path}/*.xml"]).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.body) for r in rows] == [(0, "one"), (1, "two"), (2, "three")]
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from fjordex import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(applicationId="other", getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session.scratch_dir(SimpleNamespace(sparkContext=context))
