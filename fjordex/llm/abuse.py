@@ -33,9 +33,13 @@ ROUNDS, BATCH, RATE = 10, 256, 0.01
 NEGATIVES = 4  # sampled segments without a label for each with one, in a round
 LOST = 0.1  # share of words left out at random in training
 WORDS = 40  # longer segments are cut into pieces of so many words that overlap by the widest filter
-MIN_CASES = 12  # fewer held-out cases of a kind in a language: the threshold of all languages
-_CUT = re.compile(r"(?<=[.!?…])[\"”»')]*\s+|[\n\r]+")
-_TOKEN = re.compile(r"[^\s\"“”„«»()\[\]{}<>,;:…]+")
+MIN_CASES = 12  # fewer held-out cases of a kind in a language: the threshold of all languages; in all of them: that of all kinds
+CLEAN_SHARE = 0.02  # a threshold lets pass at most so many of the held-out documents without any kind
+LEAST_THRESHOLD = 0.2
+CHUNK = 16_384  # words that go through the filters at once, whatever the length of the texts
+# quotes, brackets and commas part words and are spaces before sentences are told apart
+_BREAKS = str.maketrans(dict.fromkeys('"“”„«»()[]{}<>,;:', " ") | {"…": ". "})
+_CUT = re.compile(r"(?<=[.!?])'*\s+|[\n\r]+")
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"})
 _RUNS = re.compile(r"(.)\1{2,}")
 _APART = re.compile(r"(?<!\S)(?:\w ){2,}\w(?!\w)")
@@ -72,40 +76,91 @@ def features(word: str) -> list[int]:
 def segments(text: str | None) -> list[list[str]]:
     """Word forms of each segment; all of the text is covered."""
     out = []
-    for part in _CUT.split(text or ""):
-        words = [w for t in _TOKEN.findall(plain(part)) if (w := word_form(t))] if part else []
-        while words:
-            out.append(words[:WORDS])
-            words = words[WORDS - max(WIDTHS) + 1 :] if len(words) > WORDS else []
+    for part in _CUT.split(plain(text).translate(_BREAKS)) if text else ():
+        out += pieces([w for t in part.split() if (w := word_form(t))])
     return out
 
 
+def pieces(words: list) -> list[list]:
+    """A segment as it is, or cut into overlapping pieces; none of nothing."""
+    if len(words) <= WORDS:
+        return [words] if words else []
+    step = WORDS - max(WIDTHS) + 1
+    return [words[i : i + WORDS] for i in range(0, len(words) - max(WIDTHS) + 1, step)]
+
+
 class Vectors:
-    """Embedding rows of words, with a cache of bounded size."""
+    """Embedding rows of tokens, with a cache of bounded size."""
 
     def __init__(self, table: np.ndarray, bound: int = 200_000):
         self.table, self.bound = table, bound
-        self.ids: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.matrix = np.zeros((0, table.shape[1]), np.float32)
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self.ids) > self.bound:
-            self.__init__(self.table, self.bound)
-        get, ids = self.ids.get, self.ids
-        found = []
-        for w in words:
-            k = get(w)
-            if k is None:
-                k = ids[w] = len(ids)
-                self.rows.append(self.table[features(w)].mean(0))
-            found.append(k)
-        if len(self.rows) > len(self.matrix):
-            self.matrix = np.vstack([self.matrix, np.array(self.rows[len(self.matrix) :], np.float32)])
-        return self.matrix[found]
-
-
-def forward(x: np.ndarray, sizes: np.ndarray, net: dict[str, np.ndarray], keep: bool = False) -> tuple:
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}  # token -> row, -1 for one without a word form
+        self.forms: dict[str, int] = {}
+        self.matrix = np.zeros((1024, self.table.shape[1]), np.float32)
+
+    def add(self, token: str) -> int:
+        form = word_form(token)
+        if not form:
+            k = -1
+        elif (k := self.forms.get(form, -1)) < 0:
+            k = self.forms[form] = len(self.forms)
+            if k == len(self.matrix):
+                self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[k] = self.table[features(form)].mean(0)
+        self.ids[token] = k
+        return k
+
+    def segments(self, text: str) -> list[list[int]]:
+        """Rows of the words of each segment."""
+        out, get = [], self.ids.get
+        for part in _CUT.split(plain(text).translate(_BREAKS)):
+            words = part.split()
+            row = [get(w, -2) for w in words]
+            if -2 in row:
+                row = [self.add(w) if k == -2 else k for k, w in zip(row, words)]
+            if -1 in row:
+                row = [k for k in row if k >= 0]
+            if row:
+                out += pieces(row)
+        return out
+
+
+def maxima(r: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Greatest of the rows starts .. starts + sizes - 1 in each column, and the first row that has it.
+
+    Place by place over all segments, longest first: much faster than a reduction of each.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    s, n = starts[order], -sizes[order]
+    top = r[s]
+    at = np.zeros(top.shape, np.int64) if places else None
+    for p in range(1, -int(n[0]) if len(n) else 0):
+        c = int(np.searchsorted(n, -p, side="left"))
+        here = r[s[:c] + p]
+        if places:
+            at[:c][here > top[:c]] = p
+        np.maximum(top[:c], here, out=top[:c])
+    out = np.empty_like(top)
+    out[order] = top
+    if places:
+        first = np.empty_like(at)
+        first[order] = at + s[:, None]
+        return out, first
+    return out, None
+
+
+def kernel(net: dict[str, np.ndarray]) -> np.ndarray:
+    """All filters as one matrix over the widest window; narrower ones are zero behind their width."""
+    w = np.zeros((max(WIDTHS), net["table"].shape[1], FILTERS * len(WIDTHS)), np.float32)
+    for c, k in enumerate(WIDTHS):
+        w[:k, :, c * FILTERS : (c + 1) * FILTERS] = net[f"w{k}"]
+    return w.reshape(-1, w.shape[2])
+
+
+def forward(x: np.ndarray, sizes: np.ndarray, net: dict[str, np.ndarray], keep: bool = False, filters: np.ndarray | None = None) -> tuple:
     """Scores of segments given their word vectors one after another.
 
     Between segments lie zero vectors, as many as the widest filter needs.
@@ -115,26 +170,15 @@ def forward(x: np.ndarray, sizes: np.ndarray, net: dict[str, np.ndarray], keep:
     rows = np.arange(len(x)) + np.repeat(np.arange(len(sizes)) * gap, sizes)
     padded = np.zeros((int((sizes + gap).sum()) + gap, x.shape[1]), np.float32)
     padded[rows] = x
-    n = len(padded) - gap
+    n, dim = len(padded) - gap, x.shape[1]
+    windows = np.lib.stride_tricks.as_strided(padded, (n, dim * max(WIDTHS)), padded.strides)
+    r = np.ascontiguousarray(windows) @ (kernel(net) if filters is None else filters)
     # windows that begin at a word of the segment; those that begin behind it would reach into the next
-    cuts = np.stack([starts, starts + sizes], axis=1).ravel()
-    best, args = [], []
-    for k in WIDTHS:
-        r = padded[:n] @ net[f"w{k}"][0]
-        for j in range(1, k):
-            r += padded[j : n + j] @ net[f"w{k}"][j]
-        m = np.maximum.reduceat(r, cuts, axis=0)[::2]
-        if keep:
-            # position of the maximum within each segment
-            seg = np.repeat(np.arange(len(sizes)), sizes + gap)
-            hit = r == m[seg]
-            at = np.where(hit, np.arange(n)[:, None], n)
-            args.append(np.minimum.reduceat(at, cuts, axis=0)[::2])
-        best.append(m + net[f"b{k}"])
-    h = np.concatenate(best, axis=1)
+    h, at = maxima(r, starts, sizes, keep)
+    h += np.concatenate([net[f"b{k}"] for k in WIDTHS])
     a = np.maximum(h, 0)
     p = 1 / (1 + np.exp(-np.clip(a @ net["out"] + net["bias"], -30, 30)))
-    return (p, a, args, padded, rows) if keep else (p,)
+    return (p, a, np.split(at, len(WIDTHS), axis=1), padded, rows) if keep else (p,)
 
 
 def _train(segs: list[list[str]], doc: np.ndarray, labels: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
@@ -269,32 +313,49 @@ def _train(segs: list[list[str]], doc: np.ndarray, labels: np.ndarray, seed: int
 
 
 def document_scores(texts: list[str | None], net: dict[str, np.ndarray], cache: Vectors) -> np.ndarray:
-    """Scores of the kinds for each document: the greatest of its segments; 0 for a text without words."""
-    words: list[str] = []
+    """Scores of the kinds for each document: the greatest of its segments; 0 for a text without words.
+
+    Segments go through the filters in chunks of about so many words, so that memory is bounded by no text's length.
+    """
+    out = np.zeros((len(texts), len(KINDS)), np.float32)
+    filters = kernel(net)
+    words: list[int] = []
     sizes: list[int] = []
     doc: list[int] = []
+
+    def flush() -> None:
+        if sizes:
+            p = forward(cache.matrix[words], np.array(sizes), net, filters=filters)[0]
+            d = np.array(doc)
+            first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            out[d[first]] = np.maximum(out[d[first]], np.maximum.reduceat(p, first, axis=0))
+        words.clear()
+        sizes.clear()
+        doc.clear()
+
     for i, t in enumerate(texts):
-        for s in segments(t):
-            words += s
+        for s in cache.segments(t) if t else ():
+            words.extend(s)
             sizes.append(len(s))
             doc.append(i)
-    out = np.zeros((len(texts), len(KINDS)), np.float32)
-    if sizes:
-        p = forward(cache.of(words), np.array(sizes), net)[0]
-        d = np.array(doc)
-        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        out[d[first]] = np.maximum.reduceat(p, first, axis=0)
+            if len(words) >= CHUNK:
+                flush()
+        if len(cache.ids) > cache.bound:
+            flush()
+            cache.clear()
+    flush()
     return out
 
 
-def best_threshold(score: np.ndarray, truth: np.ndarray) -> float:
-    """The middle of the gap that gives the best F1."""
-    order = np.argsort(-score)
+def best_threshold(score: np.ndarray, truth: np.ndarray, clean: np.ndarray) -> float:
+    """The middle of the gap that gives the best F1, but no lower than what all but a small share of the ``clean`` scores are below."""
+    order = np.argsort(-score, kind="stable")
     hits = np.cumsum(truth[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + truth.sum())
+    f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(truth.sum(), 1))
     k = int(f1.argmax())
     low = score[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float((score[order[k]] + low) / 2)
+    floor = np.nextafter(np.quantile(clean, 1 - CLEAN_SHARE, method="higher"), np.inf) if len(clean) else 0.0
+    return float(max((score[order[k]] + low) / 2, floor, LEAST_THRESHOLD))
 
 
 def tongue(lang: str | None) -> str:
@@ -328,15 +389,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         net = _train([segs[i] for i in inside], owner[inside], truth & (fold != f)[:, None])
         out = np.flatnonzero(fold == f)
         held[out] = document_scores([texts[i] for i in out], net, Vectors(net["table"]))
+    return _train(segs, owner, truth), calibrate(held, truth, [tongue(x) for x in langs])
+
+
+def calibrate(held: np.ndarray, truth: np.ndarray, tongues: list[str]) -> dict[tuple[str, str], float]:
+    """Thresholds by (kind, language) from the scores of held-out documents; "" is for languages with few cases.
+
+    A kind with few cases in all languages takes the threshold of all kinds together.
+    """
+    clean = ~truth.any(1)
     thresholds: dict[tuple[str, str], float] = {}
-    of = np.array([tongue(x) for x in langs])
+    of = np.array(tongues)
+    common = best_threshold(held.ravel(), truth.ravel(), held[clean].ravel()) if truth.any() else 0.5
     for k, kind in enumerate(KINDS):
-        thresholds[kind, ""] = best_threshold(held[:, k], truth[:, k]) if truth[:, k].any() else 0.5
-        for t in set(of.tolist()):
+        enough = truth[:, k].sum() >= MIN_CASES
+        thresholds[kind, ""] = best_threshold(held[:, k], truth[:, k], held[clean, k]) if enough else common
+        for t in set(tongues):
             here = of == t
             if truth[here, k].sum() >= MIN_CASES:
-                thresholds[kind, t] = best_threshold(held[here, k], truth[here, k])
-    return _train(segs, owner, truth), thresholds
+                thresholds[kind, t] = best_threshold(held[here, k], truth[here, k], held[here & clean, k])
+    return thresholds
 
 
 def scored(docs: DataFrame, model: tuple[dict[str, np.ndarray], dict[tuple[str, str], float]], id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -351,15 +423,13 @@ def scored(docs: DataFrame, model: tuple[dict[str, np.ndarray], dict[tuple[str,
         net, thresholds = shared.value
         cache = Vectors(net["table"])
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                p = document_scores(part.column(1).to_pylist(), net, cache)
-                of = [tongue(x) for x in part.column(2).to_pylist()]
-                cols = [part.column(0), part.column(3)]
-                for k, kind in enumerate(KINDS):
-                    limit = np.array([thresholds.get((kind, t), thresholds[kind, ""]) for t in of])
-                    cols += [pa.array(p[:, k].astype(np.float64)), pa.array((p[:, k] >= limit) & (p[:, k] > 0))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", *(f"{k}{x}" for k in KINDS for x in ("_score", ""))])
+            p = document_scores(b.column(1).to_pylist(), net, cache)
+            of = [tongue(x) for x in b.column(2).to_pylist()]
+            cols = [b.column(0), b.column(3)]
+            for k, kind in enumerate(KINDS):
+                limit = np.array([thresholds.get((kind, t), thresholds[kind, ""]) for t in of])
+                cols += [pa.array(p[:, k].astype(np.float64)), pa.array((p[:, k] >= limit) & (p[:, k] > 0))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", *(f"{k}{x}" for k in KINDS for x in ("_score", ""))])
 
     kinds = ", ".join(f"{k}_score double, {k} boolean" for k in KINDS)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text), F.col(lang), F.col(source)).mapInArrow(run, f"doc_id long, source string, {kinds}")

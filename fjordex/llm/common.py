@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fjordex.functions.text import WORD
+from fjordex.session import written
 
 # A side of at most so many rows of fixed width is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
@@ -31,6 +32,16 @@ def latest(df: DataFrame, key: str, order: str, *more: str | Column) -> DataFram
     return df.where(F.col(key).isNotNull()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def latest_rows(df: DataFrame, key: str, order: str, *more: str) -> DataFrame:
+    """As ``latest`` for wide rows: the keys that come more than once are found without the other columns, and only their rows are shuffled."""
+    df = df.where(F.col(key).isNotNull())
+    several = written(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
+    n = several.count()
+    if not n:
+        return df
+    return sized_join(df, several, key, n, "left_anti").unionByName(latest(sized_join(df, several, key, n, "left_semi"), key, order, *more))
+
+
 def sized_join(left: DataFrame, right: DataFrame, on: list[str] | str, rows: int, how: str = "inner") -> DataFrame:
     """Broadcast the right side only if its counted rows are within the bound, else shuffle."""
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)

@@ -39,20 +39,21 @@ def py_keys(body: str | None, exact: bool = False) -> tuple[bytes, bytes | None]
 
 
 def fingerprints(docs: DataFrame, id_col: str, body: str, order: str, exact: bool = False) -> DataFrame:
-    """(doc_id, wkey, ikey, n_words) of the last delivery of each record that has words.
+    """(doc_id, at, wkey, ikey, mark) of the last delivery of each record that has words.
 
-    The hashes are made in the scan, so that only fixed-width rows are shuffled.
+    The hashes are made in the scan, so that only fixed-width rows are shuffled;
+    ``mark`` tells the body from others delivered at the same time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [py_keys(t, exact) for t in b.column(1).to_pylist()]
             w = pa.array([k and k[0] for k in keys], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), w, pa.array([k and k[1] for k in keys], pa.binary())], ["doc_id", "at", "wkey", "ikey"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), w, pa.array([k and k[1] for k in keys], pa.binary()), b.column(3)], ["doc_id", "at", "wkey", "ikey", "mark"])
 
     at = docs.schema[order].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(body).alias("body"), F.col(order).alias("at")).mapInArrow(run, f"doc_id long, at {at}, wkey binary, ikey binary")
-    return latest(rows, "doc_id", "at", "wkey", "ikey").where("wkey is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(body).alias("body"), F.col(order).alias("at"), F.xxhash64(body).alias("mark")).mapInArrow(run, f"doc_id long, at {at}, wkey binary, ikey binary, mark long")
+    return latest(rows, "doc_id", "at", "wkey", "ikey", "mark").where("wkey is not null")
 
 
 def _unequal(docs: DataFrame, id_col: str, body: str, order: str, members: DataFrame) -> DataFrame:
@@ -83,8 +84,8 @@ def _unequal(docs: DataFrame, id_col: str, body: str, order: str, members: DataF
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], ["key", "field", "times", "size"])
 
     n = members.count()
-    bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(F.col(order)).alias("at"), F.col(body).alias("body"))
-    rows = sized_join(bodies, members.withColumn("at", F.struct("at")), ["doc_id", "at"], n).dropDuplicates(["doc_id"])
+    bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(F.col(order).alias("at")).alias("at"), F.xxhash64(body).alias("mark"), F.col(body).alias("body"))
+    rows = sized_join(bodies, members.withColumn("at", F.struct("at")), ["doc_id", "at", "mark"], n).dropDuplicates(["doc_id"])
     fields = rows.select("body", "wkey", "ikey", "size", "isize").mapInArrow(run, "key binary, field string, times int, size long")
     per = fields.groupBy("key", "field").agg(F.count("*").alias("n"), F.min("times").alias("lo"), F.max("times").alias("hi"), F.max("size").alias("size"))
     return per.where("n <> size or lo <> hi").select("key").distinct()
@@ -112,8 +113,8 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", body: str = "body", or
     cls = attach_group(fp, multi, ["wkey"], "size").select("doc_id", "wrep", "size")
     big = attach_group(lists, wide, ["ikey"], "isize").select("doc_id", "isize", "texts")
     both = fp.join(cls, "doc_id", "left").join(big, "doc_id", "left").where("size is not null or isize is not null")
-    both = written(both.select("doc_id", "at", "wkey", "ikey", F.coalesce("wrep", "doc_id").alias("wrep"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("isize", F.lit(1)).alias("isize"), F.coalesce("texts", F.lit(1)).alias("texts")), "copies")
-    if not exact and not _unequal(docs, id_col, body, order, both.select("doc_id", "at", "wkey", "ikey", "size", "isize")).isEmpty():
+    both = written(both.select("doc_id", "at", "mark", "wkey", "ikey", F.coalesce("wrep", "doc_id").alias("wrep"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("isize", F.lit(1)).alias("isize"), F.coalesce("texts", F.lit(1)).alias("texts")), "copies")
+    if not exact and not _unequal(docs, id_col, body, order, both.select("doc_id", "at", "mark", "wkey", "ikey", "size", "isize")).isEmpty():
         return copy_classes(docs, id_col, body, order, exact=True)
     several = both.where("texts > 1")
     edges = several.select("ikey", "wrep").distinct()

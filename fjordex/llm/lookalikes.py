@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fjordex.functions.text import WORD
-from fjordex.llm.common import latest
+from fjordex.llm.common import attach_group, latest, latest_rows
+from fjordex.session import written
 
 # Letters of other scripts and their Latin look-alikes.
 LOOKALIKES = (
@@ -27,6 +31,8 @@ _HYPHENS = "‐‑‒–−﹣－⁃"
 _HIDDEN = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF, 0x3164, 0xFFA0, *range(0xE0000, 0xE1000)]
 
 
+# Entries that are sent to the workers at once.
+MOST_ENTRIES = 200_000
 _made: dict = {}
 
 
@@ -59,8 +65,18 @@ def _odd() -> frozenset[str]:
     return frozenset(map(chr, (*prototypes(), *marks)))
 
 
-def skeleton(text: str) -> str:
-    """Decompose, replace every character by its prototype, decompose again."""
+# ASCII characters that look alike in most fonts, with their prototypes.
+ASCII_LOOKALIKES = str.maketrans({"I": "l", "1": "l", "|": "l", "0": "O", "m": "rn"})
+
+
+def skeleton(text: str, ascii_too: bool = False) -> str:
+    """Decompose, replace every character by its prototype, decompose again.
+
+    ``ascii_too`` also brings together what within ASCII is told apart by
+    context rather than by shape, such as the letter l and the digit 1.
+    """
+    if ascii_too:
+        return skeleton(text).translate(ASCII_LOOKALIKES)
     if text.isascii():
         return text
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(prototypes()))
@@ -86,7 +102,9 @@ def canonical(text: str | None) -> str | None:
     if text is None or text.isascii():
         return text
     table = prototypes()
-    plain = {c: to for c, to in table.items() if not to or to in " -" or unicodedata.normalize("NFKC", chr(c)) == to}
+    if "plain" not in _made:
+        _made["plain"] = {c: to for c, to in table.items() if not to or to in " -" or unicodedata.normalize("NFKC", chr(c)) == to}
+    plain = _made["plain"]
     text = unicodedata.normalize("NFKC", text.translate(plain))
 
     def word(m: re.Match[str]) -> str:
@@ -123,11 +141,20 @@ def disguised(docs: DataFrame, entries: DataFrame, fields: dict[str, str], id_co
     """(field_name, doc_id, heading_id): records that hold an entry in other characters.
 
     ``fields`` says for each field whether the ``whole`` value or a stretch
-    (``part``) must look the same. The entries are a dictionary of bounded size
-    (a fixed table) and go to every worker; nulls and entries of no visible
+    (``part``) must look the same. The entries are counted and go to the workers,
+    a dictionary of more than MOST_ENTRIES in several blocks and as many scans; nulls and entries of no visible
     character are left out. Null and empty fields hold nothing; of a record
     delivered again the last delivery counts; repeated rows give one row.
     """
+    known = entries.select(F.col(entry_id).cast("long").alias("i"), F.col(entry).alias("e")).dropna().distinct()
+    blocks = max(1, math.ceil(known.count() / MOST_ENTRIES))
+    if blocks > 1:
+        parts = (known.where(F.pmod(F.xxhash64("i", "e"), F.lit(blocks)) == k).select(F.col("i").alias(entry_id), F.col("e").alias(entry)) for k in range(blocks))
+        return reduce(DataFrame.unionByName, (_disguised(docs, p, fields, id_col, order, entry_id, entry) for p in parts)).distinct()
+    return _disguised(docs, entries, fields, id_col, order, entry_id, entry)
+
+
+def _disguised(docs: DataFrame, entries: DataFrame, fields: dict[str, str], id_col: str, order: str, entry_id: str, entry: str) -> DataFrame:
     rows = [(r[0], r[1]) for r in entries.select(F.col(entry_id).cast("long"), F.col(entry)).dropna().distinct().collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     names = list(fields)
@@ -180,9 +207,42 @@ def consistent(docs: DataFrame, fields: list[str], id_col: str = "doc_id", order
     """(doc_id, each field in its consistent form and ``<field>_skeleton``) of the last delivery of each record."""
     fix = F.pandas_udf(lambda s: s.map(canonical), T.StringType())
     bare = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else skeleton(x)), T.StringType())
-    rows = latest(docs.select(F.col(id_col).alias("doc_id"), F.col(order).alias("_at"), *fields), "doc_id", "_at", *fields)
+    rows = latest_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(order).alias("_at"), *fields), "doc_id", "_at", *fields)
     cols = []
     for f in fields:
         odd = F.col(f).rlike("[^\\x00-\\x7F]")
         cols += [F.coalesce(fix(F.when(odd, F.col(f))), F.col(f)).alias(f), F.coalesce(bare(F.when(odd, F.col(f))), F.col(f)).alias(f"{f}_skeleton")]
     return rows.select("doc_id", *cols)
+
+
+def same_looking(docs: DataFrame, fields: list[str], id_col: str = "doc_id", order: str = "loaded_at", ascii_too: bool = False) -> DataFrame:
+    """(field_name, doc_id, first_id, records, forms): records whose field looks like another record's but is written differently.
+
+    Values with equal skeletons are one group, named by its smallest record;
+    ``forms`` is the number of different strings in it, and groups of one form
+    are left out. Skeletons and strings are compared by 128-bit hashes, which are
+    made in the scan, so no text is shuffled. Null values, and values without a
+    visible character, are in no group; of a record delivered again the last
+    delivery counts.
+    """
+    at = docs.schema[order].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = []
+            for f in range(len(fields)):
+                texts = b.column(2 + f).to_pylist()
+                bare = [None if t is None else skeleton(t, ascii_too) for t in texts]
+                cols.append(pa.array([None if s is None or not s.strip() else xxhash.xxh3_128_digest(s) for s in bare], pa.binary()))
+                cols.append(pa.array([None if t is None else xxhash.xxh3_128_digest(t) for t in texts], pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "at", *(f"{k}{f}" for f in range(len(fields)) for k in "st")])
+
+    keys = ", ".join(f"s{f} binary, t{f} binary" for f in range(len(fields)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(order).alias("at"), *fields).mapInArrow(run, f"doc_id long, at {at}, {keys}")
+    rows = latest(rows, "doc_id", "at", *(f"t{f}" for f in range(len(fields))))
+    each = F.array(*(F.struct(F.lit(n).alias("field_name"), F.col(f"s{f}").alias("s"), F.col(f"t{f}").alias("t")) for f, n in enumerate(fields)))
+    rows = written(rows.select("doc_id", F.inline(each)).where("s is not null"), "skeletons")
+    # strings are counted first, so that copies of one string meet as one row
+    forms = rows.groupBy("field_name", "s", "t").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
+    groups = forms.groupBy("field_name", "s").agg(F.sum("n").alias("records"), F.min("low").alias("first_id"), F.count("*").alias("forms")).where("forms > 1")
+    return attach_group(rows, written(groups, "groups"), ["field_name", "s"], "records").select("field_name", "doc_id", "first_id", "records", "forms")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,25 +16,37 @@ from fjordex.session import written
 USE = 0.95
 SEED = 20
 _BINS, _REFINEMENTS = 512, 4
-_TOP = 60.0  # no rate beyond this is needed: the chance of fewer copies than a cap of some tens is nil
 
 
-def tail(rate: np.ndarray, k: int) -> np.ndarray:
-    """P(N >= k) of a Poisson variable."""
-    term = np.exp(-rate)
-    total = term.copy()
-    for i in range(1, k):
-        term = term * rate / i
-        total += term
-    return 1 - total
+def top_rate(k: int) -> float:
+    """No document needs a higher rate for its k-th copy: the chance of fewer copies is below that of the least draw, 2^-53."""
+    return k + 10 * math.sqrt(k) + 60
+
+
+def log_fewer(rate: np.ndarray, k: int) -> np.ndarray:
+    """log P(N < k) of a Poisson variable."""
+    if k <= 40:  # rates in question are below 170, where the terms are neither too small nor too large
+        total = term = np.ones(len(rate))
+        for i in range(1, k):
+            term = term * rate / i
+            total = total + term
+        return np.log(total) - rate
+    # from the greatest number down, by logarithms
+    with np.errstate(divide="ignore"):
+        log_rate = np.log(rate)
+    total = term = np.zeros(len(rate))
+    for i in range(k - 1, 0, -1):
+        term = term + math.log(i) - log_rate
+        total = np.logaddexp(total, term)
+    return np.where(rate > 0, total + (k - 1) * log_rate - rate - math.lgamma(k), 0.0)
 
 
 def least_rate(u: np.ndarray, k: int) -> np.ndarray:
     """The least rate at which the inverse Poisson distribution gives u at least k copies (by bisection)."""
-    lo, hi = np.zeros(len(u)), np.full(len(u), _TOP)
+    lo, hi, goal = np.zeros(len(u)), np.full(len(u), top_rate(k)), np.log(u)
     for _ in range(50):
         mid = (lo + hi) / 2
-        enough = tail(mid, k) >= 1 - u
+        enough = log_fewer(mid, k) <= goal
         hi = np.where(enough, mid, hi)
         lo = np.where(enough, lo, mid)
     return hi
@@ -69,7 +83,7 @@ def plan(sizes: DataFrame, targets: DataFrame, use: float = USE, seed: int = SEE
     have = {s: v for s, v in have.items() if v[0] > 0}
     total = min((use * cap * tokens / share for tokens, share, cap in have.values()), default=0.0)
     want = {s: share * total for s, (_, share, _) in have.items()}
-    low, high, below = dict.fromkeys(have, 0.0), dict.fromkeys(have, _TOP), dict.fromkeys(have, 0)
+    low, high, below = dict.fromkeys(have, 0.0), {s: top_rate(cap) for s, (_, _, cap) in have.items()}, dict.fromkeys(have, 0)
     spark = sizes.sparkSession
     points = docs.where("target_share is not null").select("source", "n_tokens", F.explode("rates").alias("rate"))
     for turn in range(_REFINEMENTS if have else 0):

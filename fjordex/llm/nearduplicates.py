@@ -18,9 +18,15 @@ Hamming ball of radius one is enumerated (the segment itself, and with each set
 bit flipped off) and looked up in the table of unflipped segments. A pair with
 two or more changed words in every segment is not met.
 
+Copies of a text are one text: those of texts with many copies are left out
+before anything is shuffled by run. A run that very many texts may meet in is
+split: its texts fall into blocks, and each pair of blocks is a task of its
+own, so no task holds more than two blocks at once.
+
 Every pair met is verified: first by the Hamming distance of the word sets,
 which can't exceed that of the sets of runs, then by the Jaccard similarity
-itself. Runs and texts are told apart by 64-bit hashes.
+itself. Texts are told apart by 64-bit hashes, which a second one checks; should two texts ever share
+the first, everything is done again with another seed. Runs are told apart by 64-bit hashes while they are met, by their words when verified.
 """
 
 from __future__ import annotations
@@ -45,6 +51,10 @@ from fjordex.session import written
 
 # Texts (expected) whose runs are counted for the order of runs, and the most counts kept: fixed bounds of what is broadcast. No result depends on them.
 ORDER_SAMPLE, ORDER_RUNS = 16_384, 1 << 18
+# Texts of which at least so many copies are known are reduced to one before the shuffle, the most copied first. Fixed bounds of what is broadcast; no result depends on them.
+MANY_COPIES, MOST_COPIED = 8, 50_000
+# A run that is expected in more texts than this is split into blocks of about so many texts, at most 2^MOST_SPLIT of them.
+HOT_RUN, MOST_SPLIT = 20_000, 12
 # Words whose frequency is kept apart; any other word counts as the last of them. A fixed bound of what is broadcast.
 FREQUENT = 4096
 # Bits of information in a segment beyond log2(number of texts).
@@ -75,21 +85,24 @@ def segment_keys(words: dict[str, tuple[int, int]] | list[tuple[int, int]], bits
     return exact, ball
 
 
-def _first_pass(docs: DataFrame, id_col: str, body: str, order: str, min_words: int) -> DataFrame:
-    """Written table of two kinds of rows: (word, n), combined in the scan, and (doc_id, at, tid, ikey) of each long enough delivery."""
+def _first_pass(docs: DataFrame, id_col: str, body: str, order: str, min_words: int, seed: int) -> DataFrame:
+    """Written table of two kinds of rows: (word, n), combined in the scan, and (doc_id, at, tid, check, ikey) of each long enough delivery.
+
+    ``tid`` says which text it is, ``check`` is a second hash of it.
+    """
     at = docs.schema[order].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
-        names = ["doc_id", "at", "tid", "ikey", "word", "n"]
+        names = ["doc_id", "at", "tid", "check", "ikey", "word", "n"]
         last = pa.null()
 
         def out() -> pa.RecordBatch:
             k = len(count)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, last), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, last), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names)
 
         for b in batches:
-            ids, keys = [], []
+            ids, checks, keys = [], [], []
             last = b.column(2).type
             for text in b.column(1).to_pylist():
                 words = py_terms(text)
@@ -97,9 +110,10 @@ def _first_pass(docs: DataFrame, id_col: str, body: str, order: str, min_words:
                     count.update(set(words))
                     count[""] += 1
                 enough = len(words) >= min_words
-                ids.append(text_id(words) if enough else None)
+                ids.append(text_id(words, seed) if enough else None)
+                checks.append(text_id(words, ~seed) if enough else None)
                 keys.append(py_keys(text)[1] if enough and ("=" in text or ":" in text or not text.isascii()) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.int64()), pa.array(checks, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.int64())], names)
             if len(count) > 200_000:
                 yield out()
                 count.clear()
@@ -107,7 +121,7 @@ def _first_pass(docs: DataFrame, id_col: str, body: str, order: str, min_words:
             yield out()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(body).alias("body"), F.col(order).alias("at"))
-    return written(rows.mapInArrow(run, f"doc_id long, at {at.simpleString()}, tid long, ikey binary, word string, n long"), "first-pass")
+    return written(rows.mapInArrow(run, f"doc_id long, at {at.simpleString()}, tid long, check long, ikey binary, word string, n long"), "first-pass")
 
 
 def word_frequencies(first: DataFrame, top: int = FREQUENT) -> tuple[dict[str, int], int]:
@@ -125,39 +139,57 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def text_id(words: list[str]) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(" ".join(words)))
+def text_id(words: list[str], seed: int = 0) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(" ".join(words), seed & _ALL))
+
+
+def _copied(first: DataFrame) -> dict[int, int]:
+    """For texts with many copies the one record, by its id, whose delivery stands for them all."""
+    n = first.where("tid is not null").groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where(F.col("n") >= MANY_COPIES)
+    return {r.tid: r.rep for r in n.orderBy(F.col("n").desc(), "tid").limit(MOST_COPIED).collect()}
 
 
-def _segments(docs: DataFrame, body: str, freq: dict[str, int], n_texts: int, min_words: int, segments: int) -> DataFrame:
+def _segments(docs: DataFrame, id_col: str, body: str, freq: dict[str, int], n_texts: int, min_words: int, segments: int, seed: int, copied: dict[int, int]) -> DataFrame:
     """(key, flipped, tid) rows of the segments of every delivery with enough words."""
     lowest = min(freq.values(), default=1)
     bits = round((math.log2(max(n_texts, 2)) + SPARE_BITS) * _UNIT)
     rare = max(1, round(math.log2(max(n_texts / lowest, 1)) * _UNIT))
     known = {w: (xxhash.xxh3_64_intdigest(w), max(1, round(math.log2(max(n_texts / c, 1)) * _UNIT))) for w, c in freq.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast((known, copied))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        known = shared.value
+        known, copied = shared.value
+        seen: set[int] = set()
         for b in batches:
             tids, keys, counts, flipped = [], [], [], []
-            for text in b.column(0).to_pylist():
-                words = py_terms(text)
-                if len(words) < min_words:
-                    continue
+            for tid, words in _ones(b, min_words, seed, copied, seen):
                 e, c = segment_keys([known.get(w) or (xxhash.xxh3_64_intdigest(w), rare) for w in set(words)], bits, segments)
                 keys += e
                 keys += c
                 counts += (len(e), len(c))
-                tids.append(text_id(words))
+                tids.append(tid)
             n = np.array(counts, np.int64)
             tid = np.repeat(np.repeat(np.array(tids, np.int64), 2), n)
             flip = np.repeat(np.tile([False, True], len(tids)), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(flip.astype(bool)), pa.array(tid)], ["key", "flipped", "tid"])
 
-    return docs.select(F.col(body).alias("body")).where("body is not null").mapInArrow(run, "key long, flipped boolean, tid long")
+    return docs.select(F.col(body).alias("body"), F.col(id_col).cast("long").alias("doc_id")).where("body is not null").mapInArrow(run, "key long, flipped boolean, tid long")
+
+
+def _ones(batch: pa.RecordBatch, min_words: int, seed: int, copied: dict[int, int], seen: set[int]) -> Iterator[tuple[int, list[str]]]:
+    """(text id, words) of the deliveries in a batch of (body, doc_id) that have enough words; a much copied text only by its record, once a task."""
+    for text, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        words = py_terms(text)
+        if len(words) < min_words:
+            continue
+        tid = text_id(words, seed)
+        if tid in copied:
+            if copied[tid] != doc or tid in seen:
+                continue
+            seen.add(tid)
+        yield tid, words
 
 
 def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,23 +309,48 @@ def prefixes(texts: list[list[str]], n: int, similarity: float, info: dict[str,
     return tuple(x[keep] for x in (text, h, size, at, *sketches))
 
 
-def _prefix_rows(docs: DataFrame, body: str, freq: dict[str, int], n_texts: int, min_words: int, n: int, similarity: float, common: tuple) -> DataFrame:
-    """(key, place, tid, s0, s1) rows of the prefix of every delivery with enough words; place is size * 2^32 + at."""
+def _prefix_rows(docs: DataFrame, id_col: str, body: str, freq: dict[str, int], n_texts: int, min_words: int, n: int, similarity: float, common: tuple, seed: int, copied: dict[int, int]) -> DataFrame:
+    """(key, place, tid, s0, s1) rows of the prefix of every text with enough words; place is split * 2^56 + size * 2^32 + at.
+
+    A row of a hot run, of which 2^split blocks are made, is repeated for each block that its own is paired with, under the pair's key.
+    """
+    import numpy as np
+
     bits = {w: round(math.log2(max(n_texts / c, 1)) * _UNIT) for w, c in freq.items()}
     rare = round(math.log2(max(n_texts / min(freq.values(), default=1), 1)) * _UNIT)
-    shared = docs.sparkSession.sparkContext.broadcast((bits, common))
+    scale = max(1.0, n_texts / ORDER_SAMPLE)  # the counts are those of a sample
+    hot = common[1] * scale > HOT_RUN
+    split = np.minimum(np.ceil(np.log2(np.maximum(common[1][hot] * scale / HOT_RUN, 2))), MOST_SPLIT).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((bits, common, copied, common[0][hot], split))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        bits, common = shared.value
+        bits, common, copied, hot, split = shared.value
+        seen: set[int] = set()
         for b in batches:
-            texts = [w for w in map(py_terms, b.column(0).to_pylist()) if len(w) >= min_words]
-            text, h, size, at, s0, s1 = prefixes(texts, n, similarity, bits, rare, common)
-            tid = np.array([text_id(w) for w in texts], np.int64)[text]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), (size << 32) | at, tid, s0.view(np.int64), s1.view(np.int64))], ["key", "place", "tid", "s0", "s1"])
-
-    return docs.select(F.col(body).alias("body")).where("body is not null").mapInArrow(run, "key long, place long, tid long, s0 long, s1 long")
+            found = list(_ones(b, min_words, seed, copied, seen))
+            text, h, size, at, s0, s1 = prefixes([w for _, w in found], n, similarity, bits, rare, common)
+            tid = np.array([t for t, _ in found], np.int64)[text]
+            place = (size << 32) | at
+            rows = [(h, place, tid, s0, s1)]
+            if len(hot):
+                where = np.searchsorted(hot, h).clip(0, len(hot) - 1)
+                is_hot = hot[where] == h
+                if is_hot.any():
+                    rows = [tuple(x[~is_hot] for x in rows[0])]
+                    for i in np.flatnonzero(is_hot).tolist():
+                        k = int(split[where[i]])
+                        mine, others = int(tid[i]) & ((1 << k) - 1), np.arange(1 << k)
+                        pair = np.minimum(mine, others) << k | np.maximum(mine, others)
+                        key = (h[i] + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+                        # the pair of a block with itself is like a run of its own
+                        kind = np.where(others == mine, 0, k) << 56 | place[i]
+                        rows.append((key, kind, *(np.full(1 << k, x[i]) for x in (tid, s0, s1))))
+            key, place, tid, s0, s1 = (np.concatenate(x) for x in zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), place, tid, s0.view(np.int64), s1.view(np.int64))], ["key", "place", "tid", "s0", "s1"])
+
+    return docs.select(F.col(body).alias("body"), F.col(id_col).cast("long").alias("doc_id")).where("body is not null").mapInArrow(run, "key long, place long, tid long, s0 long, s1 long")
 
 
 def _met_in_prefix(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -304,7 +361,8 @@ def _met_in_prefix(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], It
         import numpy as np
 
         def pairs(key: object, place: object, tid: object, s0: object, s1: object) -> Iterator[pa.RecordBatch]:
-            size, at = place >> 32, place & 0xFFFFFFFF
+            blocks = (1 << (place >> 56)) - 1
+            size, at = place >> 32 & 0xFFFFFF, place & 0xFFFFFFFF
             ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
             end = np.repeat(ends, np.diff(np.r_[0, ends]))
             kept: list = []
@@ -320,6 +378,9 @@ def _met_in_prefix(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], It
                     # were this the first run they share, no more than the rest of either could be shared
                     ok = np.minimum(size[x] - at[x], size[y] - at[y]) >= need
                     x, y, need = x[ok], y[ok], need[ok]
+                    # of a pair of blocks only texts of different ones meet
+                    ok = (blocks[x] == 0) | ((tid[x] ^ tid[y]) & blocks[x] != 0)
+                    x, y, need = x[ok], y[ok], need[ok]
                     # a run of one text only changes at most one bit
                     differ = sum(np.bitwise_count((s[x] ^ s[y]).view(np.uint64)).astype(np.int64) for s in (s0, s1))
                     ok = (differ <= size[x] + size[y] - 2 * need) & (tid[x] != tid[y])
@@ -354,7 +415,7 @@ def _met_in_prefix(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", body: str = "body", order: str = "loaded_at", n: int = 5, similarity: float = 0.8, min_words: int | None = None, segments: int | None = None) -> tuple[DataFrame, DataFrame]:
+def near_texts(docs: DataFrame, id_col: str = "doc_id", body: str = "body", order: str = "loaded_at", n: int = 5, similarity: float = 0.8, min_words: int | None = None, segments: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(pairs of texts, members): (a, b, jaccard) over text ids a < b, and (doc_id, tid) of the records.
 
     Texts are compared by their distinct runs of ``n`` words; only texts of at
@@ -365,13 +426,17 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", body: str = "body", orde
     hashing with so many segments, which finds those that meet in a segment.
     """
     min_words = max(n, n if min_words is None else min_words)
-    first = _first_pass(docs, id_col, body, order, min_words)
+    again = {"id_col": id_col, "body": body, "order": order, "n": n, "similarity": similarity, "min_words": min_words, "segments": segments}
+    first = _first_pass(docs, id_col, body, order, min_words, seed)
+    if not first.where("tid is not null").groupBy("tid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").isEmpty():
+        return near_texts(docs, **again, seed=seed + 1)
     freq, n_texts = word_frequencies(first)
+    copied = _copied(first)
     if segments is None:
-        keys = _prefix_rows(docs, body, freq, n_texts, min_words, n, similarity, _common_runs(docs, id_col, body, n, n_texts, min_words))
+        keys = _prefix_rows(docs, id_col, body, freq, n_texts, min_words, n, similarity, _common_runs(docs, id_col, body, n, n_texts, min_words), seed, copied)
         pairs = keys.repartition("key").sortWithinPartitions("key", "place", "tid").mapInArrow(_met_in_prefix(similarity), "a long, b long")
     else:
-        keys = _segments(docs, body, freq, n_texts, min_words, segments)
+        keys = _segments(docs, id_col, body, freq, n_texts, min_words, segments, seed, copied)
         met = keys.repartition("key").sortWithinPartitions("key", "flipped", "tid").mapInArrow(_meet, "a array<long>, b array<long>")
         pairs = met.repartition(docs.sparkSession.sparkContext.defaultParallelism).select(F.explode("a").alias("x"), "b").select("x", F.explode("b").alias("y")).where("x <> y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -382,8 +447,14 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", body: str = "body", orde
     reps = written(members.join(wanted, "tid").groupBy("tid").agg(F.min(F.struct("doc_id", "at")).alias("r")).select("tid", "r.doc_id", F.struct("r.at").alias("at")), "texts")
     n_reps = reps.count()
     bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(F.col(order).alias("at")).alias("at"), F.col(body).alias("body"))
-    texts = sized_join(bodies, reps, ["doc_id", "at"], n_reps).dropDuplicates(["tid"]).select("tid", "body")
-    texts = written(texts, "bodies")
+    fetched = sized_join(bodies, reps, ["doc_id", "at"], n_reps).select("tid", "body")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a record may have been delivered with another body at the same time
+        for b in batches:
+            yield b.filter(pa.array([text_id(py_terms(x), seed) == t for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
+
+    texts = written(fetched.mapInArrow(own, "tid long, body string").dropDuplicates(["tid"]), "bodies")
     both = pairs.join(texts.select(F.col("tid").alias("b"), F.col("body").alias("bt")), "b")
     both = both.join(texts.select(F.col("tid").alias("a"), F.col("body").alias("at")), "a").select("a", "at", "b", "bt")
     share = (1 - similarity) / (1 + similarity)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fjordex.llm.common import tokenizer_path
@@ -17,13 +17,6 @@ from fjordex.session import written
 
 # Documents that are packed together; the hash of the id says where a document goes, so a shard has about so many at every size.
 SHARD = 8_192
-LEAST_DOCUMENTS, TOKENS_EACH = 64, 32  # a container takes at least so many documents, or one for so many tokens of its capacity
-
-
-def most_documents_of(capacity: int) -> int:
-    return max(LEAST_DOCUMENTS, capacity // TOKENS_EACH)
-
-
 WEIGHTS = (1.0, 0.05, 0.05)  # tokens, documents, attention cost
 # Fixed value: the splitting pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,19 +46,21 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mo
     return cols.mapInArrow(run, schema)
 
 
-def best_fit(tokens: np.ndarray, capacity: int, most_documents: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
+def best_fit(tokens: np.ndarray, capacity: int, most_documents: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, attention: float = 1.0) -> np.ndarray:
     """Bin of each item (none larger than the capacity), largest items first.
 
-    The residuals of the bins are vectors: tokens, documents, and attention
-    cost (the sum of squared lengths, at most the square of the capacity). Of
+    The residuals of the bins are vectors: tokens, documents (``most_documents``;
+    None is no limit), and attention cost, the sum of squared lengths, whose
+    capacity is the share ``attention`` of the squared capacity. At 1 the cost
+    can't exceed what the tokens allow and only counts in the choice; below 1 it
+    keeps long items apart, and an item that is beyond it by itself has a bin alone. Of
     the bins that can take an item under every constraint the one is chosen
     whose weighted residual norm is least afterwards (``norm``) or whose weighted
     dot product with the item is greatest (``dot``); ties go to the older bin.
     """
     n = len(tokens)
     out = np.empty(n, np.int64)
-    most_documents = most_documents_of(capacity) if most_documents is None else most_documents
-    full = np.array([capacity, most_documents, float(capacity) ** 2])
+    full = np.array([capacity, np.inf if most_documents is None else most_documents, attention * float(capacity) ** 2])
     w = np.array(weights)
     left = np.empty((n, 3))  # shares of the capacity that remain
     bins = 0
@@ -90,15 +85,17 @@ def best_fit(tokens: np.ndarray, capacity: int, most_documents: int | None = Non
         left[b] -= item
         out[i] = b
         if step % 64 == 63:
-            live = live[(left[live, 0] >= smallest - 1e-12) & (left[live, 1] > 1e-9)]
+            live = live[(left[live, 0] >= smallest - 1e-12) & (left[live, 1] > 1e-9) & (left[live, 2] > 0)]
     return out
 
 
-def pack(sizes: DataFrame, packs: DataFrame, most_documents: int | None = None, rule: str = "norm") -> DataFrame:
+def pack(sizes: DataFrame, packs: DataFrame, tokens_each: int | None = None, attention: float = 1.0, rule: str = "norm") -> DataFrame:
     """(pack_name, container, doc_id, part, first_token, tokens) for every document and capacity.
 
     ``sizes`` has (doc_id, n_tokens), ``packs`` a few rows (pack_name,
-    capacity_tokens). A text longer than the capacity fills containers of its
+    capacity_tokens). ``tokens_each`` limits the documents of a container to one
+    for so many tokens of its capacity (None: no limit), ``attention`` its
+    attention cost (see ``best_fit``). A text longer than the capacity fills containers of its
     own and only its remainder is packed with others; any other text stays
     whole. Texts without tokens are in no container; repeated rows are items of
     their own; capacities that are null or below 1 are left out.
@@ -110,13 +107,16 @@ def pack(sizes: DataFrame, packs: DataFrame, most_documents: int | None = None,
     kinds = F.array(*(F.struct(F.lit(r.pack_name).alias("pack_name"), F.lit(r.cap).cast("long").alias("cap")) for r in caps)).cast("array<struct<pack_name:string,cap:bigint>>")
     items = sizes.withColumn("pack", F.explode(kinds)).select("doc_id", "n_tokens", "pack.*")
     items = items.withColumn("whole", F.floor(F.col("n_tokens") / F.col("cap")).cast("long"))
-    own = items.where("whole > 0").select("pack_name", "cap", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("part"), F.monotonically_increasing_id().alias("row"))
-    own = own.select("pack_name", F.concat_ws("-", F.lit("d"), "doc_id", "row", "part").alias("container"), "doc_id", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("cap")).alias("first_token"), F.col("cap").alias("tokens"))
+    own = items.where("whole > 0").select("pack_name", "cap", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("part"))
+    # of texts with one id the rows are told apart by their number, which does not change when a task is run again
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("pack_name", "doc_id", "part").orderBy("part")))
+    own = own.select("pack_name", F.concat_ws("-", F.lit("d"), "doc_id", "nth", "part").alias("container"), "doc_id", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("cap")).alias("first_token"), F.col("cap").alias("tokens"))
     rest = items.where("n_tokens > whole * cap").select("pack_name", "cap", "doc_id", F.col("whole").cast("int").alias("part"), (F.col("whole") * F.col("cap")).alias("first_token"), (F.col("n_tokens") - F.col("whole") * F.col("cap")).alias("tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
 
     def fill(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["doc_id", "part"], kind="stable")
-        bins = best_fit(g.tokens.to_numpy(), int(g.cap.iloc[0]), most_documents, rule)
+        g = g.sort_values(["doc_id", "part", "tokens"], kind="stable")
+        cap = int(g.cap.iloc[0])
+        bins = best_fit(g.tokens.to_numpy(), cap, None if tokens_each is None else max(1, cap // tokens_each), rule, attention=attention)
         g["container"] = [f"s-{s}-{b}" for s, b in zip(g.shard, bins)]
         return g[["pack_name", "container", "doc_id", "part", "first_token", "tokens"]]
 

@@ -63,7 +63,7 @@ def test_wrong_hashes_are_noticed(spark):
     docs = deliveries(spark, [(1, "one text"), (2, "another text"), (3, "x: 1; y: 2"), (4, "x: 1; y: 3")])
     key = bytearray(b"k")
     members = spark.createDataFrame([(i, key, bytearray(b"l") if i > 2 else None, 2, 2 if i > 2 else 1) for i in (1, 2, 3, 4)], "doc_id long, wkey binary, ikey binary, size long, isize long")
-    members = members.join(docs.select("doc_id", F.col("loaded_at").alias("at")), "doc_id")
+    members = members.join(docs.select("doc_id", F.col("loaded_at").alias("at"), F.xxhash64("body").alias("mark")), "doc_id")
     assert {bytes(r.key) for r in formatting._unequal(docs, "doc_id", "body", "loaded_at", members).collect()} == {b"k", b"l"}
 
 
@@ -188,3 +188,60 @@ def test_near_duplicates_equal_brute_force(spark, n, similarity, least):
     rows = corpus()
     got = {(r.left_id, r.right_id) for r in nearduplicates.near_pairs(deliveries(spark, rows), n=n, similarity=similarity, min_words=least).collect()}
     assert got == truth(rows, n, similarity, least)
+
+
+def test_near_duplicates_with_hot_runs_and_copies(spark, monkeypatch):
+    """Runs split into pairs of blocks, and much copied texts reduced before the shuffle, lose and add nothing."""
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(40)]
+    rows = [(i, " ".join(shared + [f"v{rng.randrange(500)}" for _ in range(rng.randint(2, 12))])) for i in range(120)]
+    rows += [(1000 + i, rows[0][1].upper() if i % 2 else rows[0][1]) for i in range(60)] + [(0, rows[0][1])] * 5
+    docs = deliveries(spark, rows)
+    options = {"n": 3, "similarity": 0.7, "min_words": 30}
+    want = truth(rows, **{"n": 3, "similarity": 0.7, "least": 30})
+    for hot, copies in ((10, 8), (3, 2), (10**9, 10**9)):
+        monkeypatch.setattr(nearduplicates, "HOT_RUN", hot)
+        monkeypatch.setattr(nearduplicates, "MANY_COPIES", copies)
+        near = nearduplicates.near_pairs(docs, **options).collect()
+        assert len(near) == len(want) > 1000 and {(r.left_id, r.right_id) for r in near} == want
+    first = nearduplicates._first_pass(docs, "doc_id", "body", "loaded_at", 30, 0)
+    monkeypatch.setattr(nearduplicates, "MANY_COPIES", 8)
+    copied = nearduplicates._copied(first)
+    freq, n = nearduplicates.word_frequencies(first)
+    keys = nearduplicates._prefix_rows(docs.coalesce(1), "doc_id", "body", freq, n, 30, 3, 0.7, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0, copied)
+    assert copied.keys() == {nearduplicates.text_id(py_terms(rows[0][1]))} and keys.groupBy("tid", "key").count().where("count > 1").isEmpty()
+
+
+def test_texts_with_one_hash(spark, monkeypatch):
+    """Should two texts share a hash, another seed parts them."""
+    real = nearduplicates.text_id
+    fake = lambda words, seed=0: 7 if seed == 0 else real(words, seed)
+    monkeypatch.setattr(nearduplicates, "text_id", fake)
+    rows = [(1, " ".join(WORDS[:50])), (2, " ".join(WORDS[:49])), (3, " ".join(WORDS[100:150])), (2, " ".join(WORDS[200:250]))]
+    docs = deliveries(spark, rows[:3])
+    assert [(r.left_id, r.right_id) for r in nearduplicates.near_pairs(docs, n=3, similarity=0.6).collect()] == [(1, 2)]
+
+
+def test_bodies_delivered_at_one_time(spark):
+    """Of two bodies of a record at one time one is taken, the same in every step."""
+    texts = [(1, " ".join(WORDS[:50]), 5), (1, " ".join(WORDS[50:100]), 5), (2, " ".join(WORDS[:49]), 5), (3, " ".join(WORDS[50:99]), 5)]
+    docs = spark.createDataFrame(texts, "doc_id long, body string, loaded_at int")
+    found = {(r.left_id, r.right_id) for r in nearduplicates.near_pairs(docs, n=3, similarity=0.6).collect()}
+    assert found in ({(1, 2)}, {(1, 3)})
+    same = spark.createDataFrame([(1, "a b", 5), (1, "c d", 5), (2, "A b", 5), (3, "C d", 5)], "doc_id long, body string, loaded_at int")
+    assert sorted((r.first_id, r.copies) for r in formatting.copy_classes(same).collect()) in ([(1, 2), (1, 2), (3, 1)], [(1, 2), (1, 2), (2, 1)])
+
+
+def test_neighbours_in_split_cells(spark, monkeypatch):
+    """Cells larger than a block and blocks of many queries are split; the rows are the same."""
+    rows, df = vectors_table(spark, 400)
+    got = []
+    for block, queries in ((10**6, 10**6), (20, 30)):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        monkeypatch.setattr(neighbours, "QUERIES", queries)
+        monkeypatch.setattr(neighbours, "MOST_CENTROIDS", 2)
+        got.append(sorted((r.doc_id, r.neighbour_id, r["rank"]) for r in neighbours.most_similar(df).collect()))
+    assert got[0] == got[1] and len(got[0]) > 2000
+    assert neighbours.enough_of(500_000) == 10 * neighbours.enough_of(5_000) == 10 * neighbours.CANDIDATES
+    double = spark.createDataFrame([(1, [1.0, 1e-9]), (2, [1.0, 0.0]), (3, [1.0, 2e-6]), (4, [1.0, 3e-6])], "doc_id long, embedding array<double>")
+    assert [r.neighbour_id for r in neighbours.most_similar(double, dim=2, k=1).orderBy("doc_id").collect()] == [2, 1, 4, 3]

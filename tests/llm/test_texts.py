@@ -1,7 +1,11 @@
 """Frequencies, distinctiveness, look-alikes, subjects, abuse, packing and mixing."""
 
 import math
+import os
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from fjordex.functions.text import py_terms
 from fjordex.llm import abuse, distinctive, frequencies, lookalikes, mixing, packing, subjects
 
+ROOT = Path(__file__).resolve().parents[2]
 TEXTS = [(1, "the cat sat, the cat ran"), (2, "The dog ran"), (3, None), (4, "  !! "), (5, "a bird the sang"), (2, "The dog ran"), (1, "the cat sat, the cat ran"), (6, "dog " * 3000), (7, "Straße STRASSE"), (8, "zebra"), (None, "ghost")]
 
 
@@ -27,16 +32,55 @@ def test_frequencies(spark):
     assert frequencies.count_deliveries(deliveries(spark).limit(0)).marked().count() == 0
 
 
-def test_signed_deltas(spark):
-    rows = [(1, "a b b", 0), (2, "b c", 0), (3, "c", 0), (1, "a b d", 1), (2, "b c", 1), (3, None, 1), (4, "e e", 2), (4, "e f", 2)]
-    df = spark.createDataFrame([(i, b, g, k) for k, (i, b, g) in enumerate(rows)], "id long, text string, load int, at int")
-    signed = frequencies.signed_records(df, "id", "text", "at", F.col("load"))
-    assert sorted((r.load, r.sign, r.body) for r in signed.collect()) == [(0, 1, "a b b"), (0, 1, "b c"), (0, 1, "c"), (1, -1, "a b b"), (1, -1, "c"), (1, 1, "a b d"), (2, 1, "e f")]
-    counts = frequencies.TermCounts(spark, buckets=3)
-    for load in range(3):
-        counts.apply(frequencies.term_deltas(signed).where(F.col("load") == load))
-    assert {(r.term, r.occurrences, r.records) for r in counts.read().collect()} == {("", 7, 3), ("a", 1, 1), ("b", 2, 2), ("c", 1, 1), ("d", 1, 1), ("e", 1, 1), ("f", 1, 1)}
-    assert len(set(counts.at.values())) > 1 or counts.version > 1
+LOADS = [
+    [(1, "a b b"), (2, "b c"), (3, "c"), (7, None), (None, "ghost")],
+    [(1, "a b d"), (2, "b c"), (3, None), (8, "x " * 500)],
+    [(4, "e e"), (4, "e f"), (3, "c c"), (1, "a b d")],
+    [(8, "y"), (9, "")],
+]
+
+
+def counted(loads):
+    """The terms of the records' last contents."""
+    state = {}
+    for load in loads:
+        state |= {i: b for i, b in load if i is not None}
+    docs = [py_terms(b) for b in state.values() if py_terms(b)]
+    return {w: (sum(d.count(w) for d in docs), sum(w in d for d in docs)) for w in {w for d in docs for w in d}}
+
+
+def as_load(spark, n):
+    return spark.createDataFrame([(i, b, k, "clash") for k, (i, b) in enumerate(LOADS[n])], "id long, text string, at int, term string")
+
+
+def test_counts_outlive_their_process(spark, tmp_path):
+    """Add, change, delete and replay, each load by a process of its own, equal a count from scratch."""
+    path = str(tmp_path / "counts")
+    counts = frequencies.TermCounts(spark, path, bucket_terms=1)
+    for n in (0, 1):
+        assert counts.load(as_load(spark, n), f"load {n}", "id", "text", "at")
+        assert {r.term: (r.occurrences, r.records) for r in counts.marked().collect()} == counted(LOADS[: n + 1])
+    script = f"""
+import sys
+sys.path[:0] = {[str(p) for p in (ROOT, ROOT / 'tests' / 'llm')]!r}
+from test_texts import as_load, frequencies
+from fjordex.session import local_session
+spark = local_session("2", shuffle=2, memory="1g")
+counts = frequencies.TermCounts(spark, {path!r}, bucket_terms=1)
+assert not counts.load(as_load(spark, 1), "load 1", "id", "text", "at")
+assert counts.load(as_load(spark, 2), "load 2", "id", "text", "at")
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=300, env={k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK", "SPARK"))})
+    assert {r.term: (r.occurrences, r.records) for r in counts.marked().collect()} == counted(LOADS[:2])  # as it was opened
+    with pytest.raises(RuntimeError):
+        counts.load(as_load(spark, 3), "load 3", "id", "text", "at")
+    again = frequencies.TermCounts(spark, path, bucket_terms=1)
+    assert {r.term: (r.occurrences, r.records) for r in again.marked().collect()} == counted(LOADS[:3]) and again.state["loads"] == ["load 0", "load 1", "load 2"]
+    assert again.load(as_load(spark, 3), "load 3", "id", "text", "at") and not again.load(as_load(spark, 3), "load 3", "id", "text", "at")
+    again.vacuum()
+    last = frequencies.TermCounts(spark, path, bucket_terms=1)
+    assert {r.term: (r.occurrences, r.records) for r in last.marked().collect()} == counted(LOADS) and last.state["buckets"] >= 2
+    assert len({*last.state["at"].values()}) > 1  # a load rewrites the buckets that it touches only
 
 
 @pytest.mark.parametrize("frequent", [20_000, 2])
@@ -80,6 +124,25 @@ def test_lookalikes(spark):
         assert lookalikes.skeleton(lookalikes.skeleton(text)) == lookalikes.skeleton(text) == lookalikes.skeleton(lookalikes.canonical(text))
 
 
+def test_same_looking(spark, monkeypatch):
+    from fjordex.llm import common
+
+    rows = [(1, "bаbul"), (2, "babul"), (3, "babul"), (4, "Babul"), (5, None), (6, " "), (7, "Ill"), (8, "1ll"), (9, "corn"), (10, "com"), (2, "babul")] + [(100 + i, "ｈot" if i % 2 else "hot") for i in range(30)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, meta string, loaded_at int").withColumn("s", F.lit("clash"))
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    got = {r.doc_id: (r.first_id, r.records, r.forms) for r in lookalikes.same_looking(docs, ["meta"]).collect()}
+    assert got == {1: (1, 3, 2), 2: (1, 3, 2), 3: (1, 3, 2)} | {100 + i: (100, 30, 2) for i in range(30)}
+    more = {r.doc_id: r.first_id for r in lookalikes.same_looking(docs, ["meta", "s"], ascii_too=True).collect()}
+    assert {i: more[i] for i in (7, 8, 9, 10)} == {7: 7, 8: 7, 9: 9, 10: 9} and lookalikes.same_looking(docs.limit(0), ["meta"]).count() == 0
+
+
+def test_lookalikes_of_a_large_dictionary(spark, monkeypatch):
+    heads = spark.createDataFrame([(i, f"word{'abcdefgh'[i]}") for i in range(8)], "heading_id long, body string")
+    docs = spark.createDataFrame([(i, f"see wоrd{'abcdefgh'[i]}", 1) for i in range(8)], "doc_id long, body string, loaded_at int")
+    monkeypatch.setattr(lookalikes, "MOST_ENTRIES", 3)
+    assert sorted((r.doc_id, r.heading_id) for r in lookalikes.disguised(docs, heads, {"body": "part"}).collect()) == [(i, i) for i in range(8)]
+
+
 def subject_corpus(spark):
     rng = np.random.default_rng(5)
     nouns = {a: [f"{a}{x}" for x in "bcdfghjklm"] for a in ("law", "sport", "music")}
@@ -149,6 +212,37 @@ def test_abuse(spark):
     assert abuse.scored(docs.limit(0), model).count() == 0
 
 
+def test_few_labels_flag_few_documents():
+    rng = np.random.default_rng(3)
+    for n in (12, 60, 900):
+        held = rng.random((n, 3)) ** 6
+        truth = np.zeros((n, 3), bool)
+        truth[:3, 0] = truth[3:6, 1] = truth[6:8, 2] = True
+        clean = held[~truth.any(1)]
+        for t in abuse.calibrate(held, truth, ["en"] * n).values():
+            assert t >= abuse.LEAST_THRESHOLD and (clean > t).mean() <= 0.02
+    assert set(abuse.calibrate(held, np.zeros((n, 3), bool), ["en"] * n).values()) == {0.5} and set(abuse.calibrate(held[:0], truth[:0], []).values()) == {0.5}
+    held[truth] = 0.9
+    assert all(t < 0.9 for t in abuse.calibrate(held, truth, ["en"] * n).values())
+
+
+def test_chunks_and_maxima(monkeypatch):
+    rng = np.random.default_rng(4)
+    r = rng.integers(0, 5, (200, 6)).astype(np.float32)
+    starts = np.cumsum(rng.integers(1, 9, 30)) - 1
+    sizes = rng.integers(1, 12, 30)
+    top, at = abuse.maxima(r, starts, sizes, True)
+    assert all((top[i] == r[s : s + n].max(0)).all() and (at[i] == s + r[s : s + n].argmax(0)).all() for i, (s, n) in enumerate(zip(starts, sizes)))
+    net = abuse._train([["a", "b"], ["c"]], np.array([0, 1]), np.array([[True, False, False], [False, False, False]]))
+    texts = ["a b c. " * 700, None, "", "b! c? a…", "x" * 9000, " ".join(f"w{i}" for i in range(5000))]
+    whole = abuse.document_scores(texts, net, abuse.Vectors(net["table"]))
+    monkeypatch.setattr(abuse, "CHUNK", 50)
+    assert np.allclose(whole, abuse.document_scores(texts, net, abuse.Vectors(net["table"], bound=100)), atol=1e-5) and not whole[1:3].any()
+    forms = abuse.Vectors(net["table"])
+    for t in texts[::3]:
+        assert [len(s) for s in forms.segments(t)] == [len(s) for s in abuse.segments(t)]
+
+
 def test_cnn_gradient():
     """Maxima and padding: a segment's score does not depend on its neighbours."""
     rng = np.random.default_rng(0)
@@ -164,19 +258,28 @@ def test_packing(spark):
     df = spark.createDataFrame(sizes, "doc_id long, n_tokens long")
     packs = spark.createDataFrame([("small", 512), ("none", None), ("zero", 0), ("big", 4096)], "pack_name string, capacity_tokens int")
     rows = packing.pack(df, packs).toPandas()
+    tight = packing.pack(df, packs, tokens_each=128, attention=0.4).toPandas()
     for name, cap in (("small", 512), ("big", 4096)):
-        r = rows[rows.pack_name == name]
-        per = r.groupby("container").tokens.agg(["sum", "count"])
-        assert per["sum"].max() <= cap and per["count"].max() <= packing.most_documents_of(cap)
-        assert r.tokens.sum() == sum(n for _, n in sizes) and per["sum"].sum() / (len(per) * cap) > 0.95
-        whole = r.groupby("doc_id").size()
-        assert all(whole[i] == 1 for i, n in sizes if 0 < n <= cap and i != 5) and 902 not in whole.index
+        for r, least in ((rows, 0.95), (tight, 0.4)):
+            r = r[r.pack_name == name]
+            per = r.groupby("container").tokens.agg(["sum", "count"])
+            cost = (r.tokens.astype(float) ** 2).groupby(r.container).sum()
+            assert per["sum"].max() <= cap and r.tokens.sum() == sum(n for _, n in sizes) and per["sum"].sum() / (len(per) * cap) > least
+            if least < 0.5:
+                assert per["count"].max() <= cap // 128 and cost[per["count"] > 1].max() <= 0.4 * cap * cap
+            whole = r.groupby("doc_id").size()
+            assert all(whole[i] == 1 for i, n in sizes if 0 < n <= cap and i != 5) and 902 not in whole.index
     parts = rows[(rows.pack_name == "small") & (rows.doc_id == 903)].sort_values("part")
     assert list(parts.first_token) == [0, 512, 1024, 1536] and list(parts.tokens) == [512, 512, 512, 1]
     assert packing.pack(df.limit(0), packs).count() == 0
     for rule in ("norm", "dot"):
         bins = packing.best_fit(np.array([300, 200, 212, 312]), 512, 2, rule)
         assert len(set(bins)) == 2 and bins[0] == bins[2] and bins[1] == bins[3]
+        # by tokens and documents both fit in one; their attention cost does not
+        assert list(packing.best_fit(np.array([300, 200]), 512, None, rule)) == [0, 0] and list(packing.best_fit(np.array([300, 200]), 512, None, rule, attention=0.45)) == [0, 1]
+        assert len(set(packing.best_fit(np.array([500, 100, 90]), 512, None, rule, attention=0.3))) == 2  # the first has a bin alone
+    names = packing.pack(df, packs.where("pack_name = 'small'")).orderBy("doc_id", "part", "container").collect()
+    assert names == packing.pack(df.repartition(7), packs.where("pack_name = 'small'")).orderBy("doc_id", "part", "container").collect()
 
 
 def test_token_counts(spark):
@@ -205,6 +308,9 @@ def test_mixing(spark):
     nothing, none = mixing.plan(sizes.limit(0), targets)
     assert mixing.mixture(nothing).count() == 0 and {r.source: r.actual_share for r in none.collect()} == {"a": 0.0, "b": 0.0, "c": 0.0}
     u = (np.arange(1, 2000) - 0.5) / 2000
-    for k in (1, 2, 4):
+    u[:2] = 0.5 / (1 << 52), 1e-9
+    for k in (1, 2, 4, 40, 41, 100, 400):
         rate = mixing.least_rate(u, k)
-        assert np.allclose(mixing.tail(rate, k), 1 - u, atol=1e-9)
+        assert np.allclose(mixing.log_fewer(rate, k), np.log(u), atol=1e-6) and (np.diff(rate[2:]) < 0).all() and rate.max() < mixing.top_rate(k)
+    rates = mixing.least_rate(np.array([0.1, 0.5, 0.9]), 100)
+    assert rates[0] > rates[1] > rates[2] and abs(rates[1] - 99.67) < 0.01
