@@ -28,14 +28,19 @@ def py_keys(body: str | None, exact: bool = False) -> tuple[bytes, bytes | None]
     if not words:
         return None
     line = " ".join(words)
-    items = py_items(py_nfkc(body)) if (":" in body or "=" in body or not body.isascii()) else None
+    return (line.encode() if exact else xxhash.xxh3_128_digest(line)), item_key(body, exact)
+
+
+def item_key(body: str, exact: bool = False) -> bytes | None:
+    """Key of the multiset of items; None for a text that is no list."""
+    text = py_nfkc(body)
+    items = py_items(text) if ":" in text or "=" in text else None
+    if items is None:
+        return None
     if exact:
-        return line.encode(), None if items is None else "\n".join(sorted(f"{n}\t{v}" for n, v in items)).encode()
-    total = None
-    if items is not None:
-        total = sum(xxhash.xxh3_128_intdigest(f"{n}\t{v}") for n, v in items) % _MOD
-        total = total.to_bytes(16, "big") + len(items).to_bytes(4, "big")
-    return xxhash.xxh3_128_digest(line), total
+        return "\n".join(sorted(f"{n}\t{v}" for n, v in items)).encode()
+    total = sum(xxhash.xxh3_128_intdigest(f"{n}\t{v}") for n, v in items) % _MOD
+    return total.to_bytes(16, "big") + len(items).to_bytes(4, "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str, body: str, order: str, exact: bool = False) -> DataFrame:

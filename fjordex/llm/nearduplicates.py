@@ -35,7 +35,7 @@ import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 from operator import xor
 
 import pyarrow as pa
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from fjordex.functions.text import py_terms
 from fjordex.llm.common import attach_group, latest, sized_join
-from fjordex.llm.formatting import py_keys
+from fjordex.llm.formatting import item_key
 from fjordex.operators.graph import connected_components
 from fjordex.session import written
 
@@ -86,53 +86,48 @@ def segment_keys(words: dict[str, tuple[int, int]] | list[tuple[int, int]], bits
 
 
 def _first_pass(docs: DataFrame, id_col: str, body: str, order: str, min_words: int, seed: int) -> DataFrame:
-    """Written table of two kinds of rows: (word, n), combined in the scan, and (doc_id, at, tid, check, ikey) of each long enough delivery.
+    """Written table (doc_id, at, tid, check, ikey) of every delivery; tid and check are null for one without enough words.
 
     ``tid`` says which text it is, ``check`` is a second hash of it.
     """
     at = docs.schema[order].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[str] = Counter()
-        names = ["doc_id", "at", "tid", "check", "ikey", "word", "n"]
-        last = pa.null()
-
-        def out() -> pa.RecordBatch:
-            k = len(count)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, last), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names)
-
         for b in batches:
             ids, checks, keys = [], [], []
-            last = b.column(2).type
             for text in b.column(1).to_pylist():
                 words = py_terms(text)
-                if words:
-                    count.update(set(words))
-                    count[""] += 1
                 enough = len(words) >= min_words
                 ids.append(text_id(words, seed) if enough else None)
                 checks.append(text_id(words, ~seed) if enough else None)
-                keys.append(py_keys(text)[1] if enough and ("=" in text or ":" in text or not text.isascii()) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.int64()), pa.array(checks, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.int64())], names)
-            if len(count) > 200_000:
-                yield out()
-                count.clear()
-        if count:
-            yield out()
+                keys.append(item_key(text) if enough else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.int64()), pa.array(checks, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "at", "tid", "check", "ikey"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(body).alias("body"), F.col(order).alias("at"))
-    return written(rows.mapInArrow(run, f"doc_id long, at {at.simpleString()}, tid long, check long, ikey binary, word string, n long"), "first-pass")
+    return written(rows.mapInArrow(run, f"doc_id long, at {at.simpleString()}, tid long, check long, ikey binary"), "first-pass")
 
 
-def word_frequencies(first: DataFrame, top: int = FREQUENT) -> tuple[dict[str, int], int]:
-    """Texts with each of the most frequent words, and the number of texts with words.
+def word_frequencies(docs: DataFrame, body: str, min_words: int, top: int = FREQUENT) -> dict[str, int]:
+    """Texts with each of the most frequent words; only a fixed number of rows comes to the driver."""
 
-    All texts are counted; only a fixed number of rows comes to the driver.
-    """
-    n = first.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = n.orderBy(F.col("n").desc(), "word").limit(top + 1).collect()
-    found = {r.word: r.n for r in rows}
-    return found, found.pop("", 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words = py_terms(text)
+                if len(words) >= min_words:
+                    count.update(set(words))
+            if len(count) > 200_000:
+                yield out()
+                count.clear()
+        yield out()
+
+    n = docs.select(F.col(body).alias("body")).where("body is not null").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r.word: r.n for r in n.orderBy(F.col("n").desc(), "word").limit(top).collect()}
 
 
 def _signed(x: int) -> int:
@@ -238,57 +233,81 @@ def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(*(np.concatenate([k[i] for k in kept]) for i in range(3)))
 
 
-def _runs(texts: list[list[str]], n: int) -> tuple:
-    """(text, first, hash, words): place of the text, and of every run of ``n`` words its hash and its words as rows of the fourth; repeated runs too.
+class Words(dict):
+    """Word -> its row in the arrays of hashes and of information, which grow as words come; emptied when they are very many."""
 
-    The fourth is the list of distinct words and their number at each place.
-    """
+    def __init__(self, info: dict[str, int] | None = None, rare: int = 0):
+        import numpy as np
+
+        self.info, self.rare = info or {}, rare
+        self.hashes, self.known = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        import numpy as np
+
+        k = self[word] = len(self)
+        if k == len(self.hashes):
+            self.hashes, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.known))
+        self.hashes[k] = xxhash.xxh3_64_intdigest(word)
+        self.known[k] = self.info.get(word, self.rare)
+        return k
+
+
+def _runs(texts: list[list[str]], n: int, words: Words) -> tuple:
+    """(text, first, hash, rows): place of the text, and of every run of ``n`` words its place and its hash, repeated runs too; and the row of the word at each place."""
     import numpy as np
 
-    codes: dict[str, int] = {}
-    flat = np.array([codes.setdefault(w, len(codes)) for words in texts for w in words], np.int64)
-    text = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+    if len(words) > 1 << 20:
+        words.clear()
+    sizes = [len(t) for t in texts]
+    flat = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
+    text = np.repeat(np.arange(len(texts)), sizes)
     k = max(len(flat) - n + 1, 0)
     first = np.flatnonzero(text[:k] == text[n - 1 : n - 1 + k])
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, codes), np.uint64, len(codes))[flat]
+    each = words.hashes[flat]
     h = np.zeros(len(first), np.uint64)
     for i in range(n):
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + each[first + i]
-    return text[first], first, (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), (list(codes), flat)
+    return text[first], first, (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), flat
+
+
+def _sample(docs: DataFrame, id_col: str, n_texts: int) -> DataFrame:
+    """Records for the order of runs, by the hash of the id: expected ORDER_SAMPLE texts."""
+    return docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(n_texts, 1))) < ORDER_SAMPLE)
 
 
-def _common_runs(docs: DataFrame, id_col: str, body: str, n: int, n_texts: int, min_words: int) -> tuple:
+def _common_runs(some: DataFrame, body: str, n: int, min_words: int) -> tuple:
     """(hashes in order, counts) of runs that a sample of the records holds more than once; used for the order of runs only."""
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for b in batches:
-            text, _, h, _ = _runs([w for w in map(py_terms, b.column(0).to_pylist()) if len(w) >= min_words], n)
+            text, _, h, _ = _runs([w for w in map(py_terms, b.column(0).to_pylist()) if len(w) >= min_words], n, words)
             order = np.lexsort((text, h))
             text, h = text[order], h[order]
             own = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)]
             h, count = np.unique(h[own], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count, pa.int64())], ["h", "n"])
 
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(n_texts, 1))) < ORDER_SAMPLE).select(F.col(body).alias("body")).where("body is not null")
-    counts = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = some.select(F.col(body).alias("body")).where("body is not null").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     found = counts.orderBy(F.col("n").desc(), "h").limit(ORDER_RUNS).toArrow()
     h, count = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(h)
     return h[order], count[order]
 
 
-def prefixes(texts: list[list[str]], n: int, similarity: float, info: dict[str, int], rare: int, common: tuple) -> tuple:
+def prefixes(texts: list[list[str]], n: int, similarity: float, words: Words, common: tuple) -> tuple:
     """(text, key, size, at, sketch, sketch) of the runs in the prefixes of the texts.
 
-    ``info`` has the information of the frequent words, ``common`` the result of
+    ``words`` knows the information of the words, ``common`` is the result of
     _common_runs; size is the number of distinct runs of the text, at the place
     of the run among them.
     """
     import numpy as np
 
-    text, first, h, (words, flat) = _runs(texts, n)
-    each = np.array([info.get(w, rare) for w in words], np.int64)[flat]
+    text, first, h, flat = _runs(texts, n, words)
+    each = words.known[flat]
     known = sum((each[first + i] for i in range(n)), np.zeros(len(first), np.int64))
     rank = -known
     if len(common[0]):
@@ -316,21 +335,23 @@ def _prefix_rows(docs: DataFrame, id_col: str, body: str, freq: dict[str, int],
     """
     import numpy as np
 
-    bits = {w: round(math.log2(max(n_texts / c, 1)) * _UNIT) for w, c in freq.items()}
-    rare = round(math.log2(max(n_texts / min(freq.values(), default=1), 1)) * _UNIT)
+    in_sample = min(n_texts, ORDER_SAMPLE)
+    bits = {w: round(math.log2(max(in_sample / c, 1)) * _UNIT) for w, c in freq.items()}
+    rare = round(math.log2(max(in_sample / min(freq.values(), default=1), 1)) * _UNIT)
     scale = max(1.0, n_texts / ORDER_SAMPLE)  # the counts are those of a sample
     hot = common[1] * scale > HOT_RUN
     split = np.minimum(np.ceil(np.log2(np.maximum(common[1][hot] * scale / HOT_RUN, 2))), MOST_SPLIT).astype(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((bits, common, copied, common[0][hot], split))
+    shared = docs.sparkSession.sparkContext.broadcast((bits, rare, common, copied, common[0][hot], split))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        bits, common, copied, hot, split = shared.value
+        bits, rare, common, copied, hot, split = shared.value
         seen: set[int] = set()
+        known = Words(bits, rare)
         for b in batches:
             found = list(_ones(b, min_words, seed, copied, seen))
-            text, h, size, at, s0, s1 = prefixes([w for _, w in found], n, similarity, bits, rare, common)
+            text, h, size, at, s0, s1 = prefixes([w for _, w in found], n, similarity, known, common)
             tid = np.array([t for t, _ in found], np.int64)[text]
             place = (size << 32) | at
             rows = [(h, place, tid, s0, s1)]
@@ -430,19 +451,19 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", body: str = "body", orde
     first = _first_pass(docs, id_col, body, order, min_words, seed)
     if not first.where("tid is not null").groupBy("tid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").isEmpty():
         return near_texts(docs, **again, seed=seed + 1)
-    freq, n_texts = word_frequencies(first)
+    n_texts = first.where("tid is not null").count()
     copied = _copied(first)
     if segments is None:
-        keys = _prefix_rows(docs, id_col, body, freq, n_texts, min_words, n, similarity, _common_runs(docs, id_col, body, n, n_texts, min_words), seed, copied)
+        some = _sample(docs, id_col, n_texts)
+        keys = _prefix_rows(docs, id_col, body, word_frequencies(some, body, min_words), n_texts, min_words, n, similarity, _common_runs(some, body, n, min_words), seed, copied)
         pairs = keys.repartition("key").sortWithinPartitions("key", "place", "tid").mapInArrow(_met_in_prefix(similarity), "a long, b long")
     else:
-        keys = _segments(docs, id_col, body, freq, n_texts, min_words, segments, seed, copied)
+        keys = _segments(docs, id_col, body, word_frequencies(docs, body, min_words), n_texts, min_words, segments, seed, copied)
         met = keys.repartition("key").sortWithinPartitions("key", "flipped", "tid").mapInArrow(_meet, "a array<long>, b array<long>")
         pairs = met.repartition(docs.sparkSession.sparkContext.defaultParallelism).select(F.explode("a").alias("x"), "b").select("x", F.explode("b").alias("y")).where("x <> y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = written(pairs.distinct(), "candidates")
-    every = first.where("word is null").select("doc_id", "at", "tid", "ikey")
-    members = written(latest(every, "doc_id", "at", "tid", "ikey").where("tid is not null"), "members")
+    members = written(latest(first.select("doc_id", "at", "tid", "ikey"), "doc_id", "at", "tid", "ikey").where("tid is not null"), "members")
     wanted = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
     reps = written(members.join(wanted, "tid").groupBy("tid").agg(F.min(F.struct("doc_id", "at")).alias("r")).select("tid", "r.doc_id", F.struct("r.at").alias("at")), "texts")
     n_reps = reps.count()

@@ -207,8 +207,8 @@ def test_near_duplicates_with_hot_runs_and_copies(spark, monkeypatch):
     first = nearduplicates._first_pass(docs, "doc_id", "body", "loaded_at", 30, 0)
     monkeypatch.setattr(nearduplicates, "MANY_COPIES", 8)
     copied = nearduplicates._copied(first)
-    freq, n = nearduplicates.word_frequencies(first)
-    keys = nearduplicates._prefix_rows(docs.coalesce(1), "doc_id", "body", freq, n, 30, 3, 0.7, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0, copied)
+    freq = nearduplicates.word_frequencies(docs, "body", 30)
+    keys = nearduplicates._prefix_rows(docs.coalesce(1), "doc_id", "body", freq, len(rows), 30, 3, 0.7, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0, copied)
     assert copied.keys() == {nearduplicates.text_id(py_terms(rows[0][1]))} and keys.groupBy("tid", "key").count().where("count > 1").isEmpty()
 
 
