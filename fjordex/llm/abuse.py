@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordex.llm.common import latest
-from fjordex.llm.lookalikes import prototypes
+from fjordex.llm.lookalikes import odd_characters, prototypes
 
 KINDS = ("abusive", "hateful", "sexual")
 # At most so many labelled documents train the model (a bounded sample, chosen by the hash of the id).
 MAX_LABELLED = 4_000
-ROWS, DIM, FILTERS, WIDTHS = 1 << 14, 24, 32, (1, 2, 3, 4)
+ROWS, DIM, FILTERS, WIDTHS = 1 << 14, 16, 24, (1, 2, 3, 4)
 ROUNDS, BATCH, RATE = 10, 256, 0.01
 NEGATIVES = 4  # sampled segments without a label for each with one, in a round
 LOST = 0.1  # share of words left out at random in training
@@ -37,21 +37,30 @@ MIN_CASES = 12  # fewer held-out cases of a kind in a language: the threshold of
 CLEAN_SHARE = 0.02  # a threshold lets pass at most so many of the held-out documents without any kind
 LEAST_THRESHOLD = 0.2
 CHUNK = 16_384  # words that go through the filters at once, whatever the length of the texts
-# quotes, brackets and commas part words and are spaces before sentences are told apart
-_BREAKS = str.maketrans(dict.fromkeys('"“”„«»()[]{}<>,;:', " ") | {"…": ". "})
-_CUT = re.compile(r"(?<=[.!?])'*\s+|[\n\r]+")
+_BREAKS = '"“”„«»()[]{}<>,;:'  # they part words
+_MARK = "\x02"  # stands for the end of a line
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"})
 _RUNS = re.compile(r"(.)\1{2,}")
 _APART = re.compile(r"(?<!\S)(?:\w ){2,}\w(?!\w)")
 
 
 def plain(text: str) -> str:
-    """Composed lower case with look-alike characters replaced and letters set apart joined."""
+    """Composed lower case with look-alike characters replaced, letters set apart joined, words apart and line ends marked."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(prototypes()))
-    if " " in text:
-        text = _APART.sub(lambda m: m.group().replace(" ", ""), text)
-    return text.lower()
+        text = unicodedata.normalize("NFD", text)
+        table = prototypes()
+        for c in odd_characters().intersection(text):
+            text = text.replace(c, table.get(ord(c), c))
+        text = unicodedata.normalize("NFC", text).replace("…", ". ")
+    for c in _BREAKS:
+        text = text.replace(c, " ")
+    text = _APART.sub(lambda m: m.group().replace(" ", ""), text)
+    return text.lower().replace("\n", f" {_MARK} ").replace("\r", f" {_MARK} ")
+
+
+def ends(token: str) -> bool:
+    """Whether a sentence ends with a token."""
+    return token.rstrip("'")[-1:] in (".", "!", "?", _MARK) and token.rstrip("'") != ""
 
 
 def word_form(token: str) -> str:
@@ -75,57 +84,69 @@ def features(word: str) -> list[int]:
 
 def segments(text: str | None) -> list[list[str]]:
     """Word forms of each segment; all of the text is covered."""
-    out = []
-    for part in _CUT.split(plain(text).translate(_BREAKS)) if text else ():
-        out += pieces([w for t in part.split() if (w := word_form(t))])
+    out: list[list[str]] = []
+    now: list[str] = []
+    for token in [*plain(text).split(), _MARK] if text else ():
+        form = "" if token == _MARK else word_form(token)
+        if form:
+            now.append(form)
+        if ends(token):
+            out += [now[a : a + n] for a, n in pieces(len(now))]
+            now = []
     return out
 
 
-def pieces(words: list) -> list[list]:
-    """A segment as it is, or cut into overlapping pieces; none of nothing."""
-    if len(words) <= WORDS:
-        return [words] if words else []
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(first word, words) of the segments that n words make: one, or pieces that overlap by the widest filter; none of nothing."""
+    if n <= WORDS:
+        return [(0, n)] if n else []
     step = WORDS - max(WIDTHS) + 1
-    return [words[i : i + WORDS] for i in range(0, len(words) - max(WIDTHS) + 1, step)]
+    return [(i, min(WORDS, n - i)) for i in range(0, n - max(WIDTHS) + 1, step)]
 
 
-class Vectors:
-    """Embedding rows of tokens, with a cache of bounded size."""
+class Vectors(dict):
+    """Token -> twice the row of its word in ``matrix``, and one more if it ends a sentence; -1 or -2 for no word. Bounded by ``bound`` and the words of a text."""
 
     def __init__(self, table: np.ndarray, bound: int = 200_000):
         self.table, self.bound = table, bound
-        self.clear()
+        self.empty()
 
-    def clear(self) -> None:
-        self.ids: dict[str, int] = {}  # token -> row, -1 for one without a word form
+    def empty(self) -> None:
+        self.clear()
         self.forms: dict[str, int] = {}
         self.matrix = np.zeros((1024, self.table.shape[1]), np.float32)
 
-    def add(self, token: str) -> int:
-        form = word_form(token)
+    def __missing__(self, token: str) -> int:
+        form = "" if token == _MARK else word_form(token)
         if not form:
-            k = -1
-        elif (k := self.forms.get(form, -1)) < 0:
-            k = self.forms[form] = len(self.forms)
-            if k == len(self.matrix):
-                self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
-            self.matrix[k] = self.table[features(form)].mean(0)
-        self.ids[token] = k
-        return k
-
-    def segments(self, text: str) -> list[list[int]]:
-        """Rows of the words of each segment."""
-        out, get = [], self.ids.get
-        for part in _CUT.split(plain(text).translate(_BREAKS)):
-            words = part.split()
-            row = [get(w, -2) for w in words]
-            if -2 in row:
-                row = [self.add(w) if k == -2 else k for k, w in zip(row, words)]
-            if -1 in row:
-                row = [k for k in row if k >= 0]
-            if row:
-                out += pieces(row)
-        return out
+            code = -2 if ends(token) else -1
+        else:
+            k = self.forms.get(form, -1)
+            if k < 0:
+                k = self.forms[form] = len(self.forms)
+                if k == len(self.matrix):
+                    self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
+                self.matrix[k] = self.table[features(form)].mean(0)
+            code = 2 * k + ends(token)
+        self[token] = code
+        return code
+
+    def segments(self, tokens: list[str], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of the words, sizes, documents) of the segments of some texts, given their tokens and whose they are."""
+        codes = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        word = codes >= 0
+        end = np.where(word, codes & 1, codes == -2)
+        seg = (np.cumsum(end) - end)[word]
+        rows, doc = codes[word] >> 1, doc[word]
+        starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]][: len(seg)])
+        sizes = np.diff(np.r_[starts, len(rows)])
+        if (sizes > WORDS).any():
+            cut = [(s + a, n) for s, size in zip(starts.tolist(), sizes.tolist()) for a, n in pieces(size)]
+            starts, sizes = (np.array(x, np.int64) for x in zip(*cut))
+            rows, doc = rows[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], doc[starts]
+        else:
+            doc = doc[starts]
+        return rows, sizes, doc
 
 
 def maxima(r: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -319,31 +340,37 @@ def document_scores(texts: list[str | None], net: dict[str, np.ndarray], cache:
     """
     out = np.zeros((len(texts), len(KINDS)), np.float32)
     filters = kernel(net)
-    words: list[int] = []
-    sizes: list[int] = []
-    doc: list[int] = []
 
-    def flush() -> None:
-        if sizes:
-            p = forward(cache.matrix[words], np.array(sizes), net, filters=filters)[0]
-            d = np.array(doc)
+    def score(tokens: list[str], doc: list[int], count: list[int]) -> None:
+        rows, sizes, whose = cache.segments(tokens, np.repeat(doc, count))
+        ends_at = np.cumsum(sizes)
+        i = 0
+        while i < len(sizes):
+            before = ends_at[i - 1] if i else 0
+            k = max(i + 1, int(np.searchsorted(ends_at, before + CHUNK, side="right")))
+            p = forward(cache.matrix[rows[before : ends_at[k - 1]]], sizes[i:k], net, filters=filters)[0]
+            d = whose[i:k]
             first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
             out[d[first]] = np.maximum(out[d[first]], np.maximum.reduceat(p, first, axis=0))
-        words.clear()
-        sizes.clear()
-        doc.clear()
+            i = k
+        if len(cache) > cache.bound:
+            cache.empty()
 
+    tokens: list[str] = []
+    doc: list[int] = []
+    count: list[int] = []
     for i, t in enumerate(texts):
-        for s in cache.segments(t) if t else ():
-            words.extend(s)
-            sizes.append(len(s))
+        if t:
+            words = plain(t).split()
+            tokens += words
+            tokens.append(_MARK)
             doc.append(i)
-            if len(words) >= CHUNK:
-                flush()
-        if len(cache.ids) > cache.bound:
-            flush()
-            cache.clear()
-    flush()
+            count.append(len(words) + 1)
+            if len(tokens) >= CHUNK:
+                score(tokens, doc, count)
+                tokens, doc, count = [], [], []
+    if tokens:
+        score(tokens, doc, count)
     return out
 
 

@@ -59,10 +59,12 @@ def _prototypes() -> dict[int, str]:
     return out | {ord(c): "-" for c in _HYPHENS} | {c: "" for c in _HIDDEN}
 
 
-def _odd() -> frozenset[str]:
+def odd_characters() -> frozenset[str]:
     """Characters that the skeleton may change: those with a prototype, and combining marks."""
-    marks = (*range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100), *range(0xFE20, 0xFE30))
-    return frozenset(map(chr, (*prototypes(), *marks)))
+    if "odd" not in _made:
+        marks = (*range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100), *range(0xFE20, 0xFE30))
+        _made["odd"] = frozenset(map(chr, (*prototypes(), *marks)))
+    return _made["odd"]
 
 
 # ASCII characters that look alike in most fonts, with their prototypes.
@@ -172,7 +174,7 @@ def _disguised(docs: DataFrame, entries: DataFrame, fields: dict[str, str], id_c
             finder.add_word(s, [(ident, text, len(s)) for ident, text in same])
         if by:
             finder.make_automaton()
-        odd = _odd()
+        odd = odd_characters()
         odd_entries = any(not odd.isdisjoint(e) for _, e in shared.value)
         for b in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])

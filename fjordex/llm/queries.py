@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fjordex.llm import abuse, distinctive, formatting, frequencies, lookalikes, mixing, nearduplicates, neighbours, packing, subjects
+from fjordex.llm.checks import SQL  # noqa: F401 - read by the entry point
 from fjordex.llm.common import source_name, table
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, samples = table(spark, sf_dir, "corpus_docs"), table(spark, sf_dir, "subject_samples")
-    return subjects.subjects(docs, subjects.fit(docs, samples, table(spark, sf_dir, "subject_areas")))
+    tokens = subjects.tokenised(table(spark, sf_dir, "corpus_docs"))
+    model, records = subjects.fit(tokens, table(spark, sf_dir, "subject_samples"), table(spark, sf_dir, "subject_areas"))
+    return subjects.subjects(records, model)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.most_similar(table(spark, sf_dir, "body_vectors"))
+    return neighbours.most_similar(table(spark, sf_dir, "body_vectors")).withColumn("cosine", F.round("cosine", 9)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,11 @@ def p4_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.consistent(table(spark, sf_dir, "corpus_docs"), ["body", "meta"])
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose body or meta looks like that of another record but is written in other characters."""
+    return lookalikes.same_looking(table(spark, sf_dir, "corpus_docs"), ["body", "meta"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearduplicates.near_pairs(table(spark, sf_dir, "corpus_docs"), n=3, similarity=0.6, min_words=30)
 
@@ -74,17 +81,34 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive.distinctive_terms(table(spark, sf_dir, "corpus_docs"), by="z")
+    d = distinctive.distinctive_terms(table(spark, sf_dir, "corpus_docs"), by="z")
+    return d.withColumn("z", F.round("z", 6)).withColumn("weight", F.round("weight", 6))
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"))
+def _packed(spark: SparkSession, sf_dir: str, **limits: float) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"), **limits)
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
 
 
+def p8_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers that also take at most one document for 64 tokens of their capacity and half of its attention cost."""
+    return _packed(spark, sf_dir, tokens_each=64, attention=0.5)
+
+
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each capacity: overfull containers, texts torn without need, texts with a part missing, and the texts packed."""
+    packs = F.broadcast(table(spark, sf_dir, "pack_sizes").select("pack_name", "capacity_tokens"))
+    rows = _packed(spark, sf_dir).join(packs, "pack_name")
+    full = rows.groupBy("pack_name", "container").agg((F.sum("tokens") > F.max("capacity_tokens")).alias("over"))
+    texts = rows.groupBy("pack_name", "doc_id", "capacity_tokens").agg(F.count("*").alias("parts"), F.sum("tokens").alias("tokens"), F.max(F.col("first_token") + F.col("tokens")).alias("reach"))
+    count = lambda c: F.sum(c.cast("long")).alias
+    texts = texts.groupBy("pack_name").agg(count((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity_tokens")))("torn"), count(F.col("reach") != F.col("tokens"))("gaps"), F.count("*").alias("documents"))
+    return full.groupBy("pack_name").agg(count(F.col("over"))("overfull")).join(texts, "pack_name").select("pack_name", "overfull", "torn", "gaps", "documents")
+
+
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of each capacity and the share of their room that is used."""
     packs = F.broadcast(table(spark, sf_dir, "pack_sizes").select("pack_name", "capacity_tokens"))
@@ -105,6 +129,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source: its documents, and whether no document is repeated too often and the share is within 0.02 of the target."""
+    s = _mixed(spark, sf_dir)[1].where("max_repeats is not null")
+    within = F.coalesce(F.col("most_copies") <= F.col("max_repeats"), F.lit(True))
+    near = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.02
+    return s.select("source", F.coalesce("documents", F.lit(0)).alias("documents"), within.alias("within_repeats"), near.alias("near_target"))
+
+
 def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return abuse.scored(docs, abuse.fit(docs, table(spark, sf_dir, "review_labels")))
@@ -127,5 +159,4 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _abuse(spark, sf_dir).groupBy(source_name("source").alias("source")).agg(F.count("*").alias("documents"), *rates)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_frequencies, p3_found, p3_neighbours, p4_found, p4_consistent, p5_found, p5_groups, p6_found, p6_copies, p7_found, p7_log_odds, p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_scores, p10_rates)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_composition, p2_found, p2_frequencies, p3_found, p3_neighbours, p4_found, p4_consistent, p4_groups, p5_found, p5_groups, p6_found, p6_copies, p7_found, p7_log_odds, p8_containers, p8_fill, p8_limited, p8_invariants, p9_mixture, p9_shares, p9_invariants, p10_found, p10_scores, p10_rates)}

@@ -1,18 +1,24 @@
 """Subject areas of each record: interpolated n-gram language models against background models.
 
 For each area the probability of a word, and of a word after its predecessor,
-is compared with that of the background models, one for each language. The
-sum of log ratios over a sentence is the difference of the two cross-entropies
-times the sentence's length. Bigrams are interpolated with unigrams, unigrams
+is compared with that of the background models, one for each language, which are
+counted over all bodies. The score of a sentence for an area is the difference
+of the two cross-entropies per token. Bigrams are interpolated with unigrams, unigrams
 with the background, by pseudo-counts; small differences, such as those of
-function words, count as none. Which sentence of a training record is about
-which of its areas is found by expectation maximisation; acceptance thresholds
-are calibrated on held-out records.
+function words, count as none, great negative ones are cut, and a sentence counts as a few neutral tokens
+longer than it is. Which sentence of a training record is about which of its
+areas is found by expectation maximisation. A score is accepted by a threshold of its area,
+calibrated on held-out records. The models of the labelled records then label all others, and
+what those say about the words of the collection, new ones included, is counted into the final models.
+
+Bodies are split into terms once, and into numbers of the vocabulary once; the
+later passes read those.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +27,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordex.functions.text import py_terms
-from fjordex.llm.common import latest, py_items, py_nfkc
+from fjordex.llm.common import latest_rows, py_items, py_nfkc
+from fjordex.session import written
 
-# At most so many labelled records train the models, and however many they are, at most so many others that the models
-# of the labelled ones label (bounded samples, chosen by the hash of the id).
+# At most so many labelled records train the models (a bounded sample, chosen by the hash of the id).
 MAX_SAMPLE = 10_000
-MAX_OTHERS = 10_000
+# The vocabulary has the words of those records and so many of the collection's most frequent ones: a fixed bound of what is broadcast.
+FREQUENT = 1 << 16
 UNIGRAM_COUNTS, BIGRAM_COUNTS = (0.5, 2.0), 20.0  # the better of the two on held-out records
 # Ratios are at most the number of areas; smaller logarithms than this share of it count as none.
 DEAD_SHARE = 0.385
 LEAST_RATIO = -0.5
+NEUTRAL = 4  # tokens without any evidence that every sentence is thought to have besides its own
 # An area's words count at most so many times more in a language of which it has few.
 MAX_BALANCE = 16.0
 ROUNDS = 5
+THRESHOLDS, MARGINS = (0.02, 0.03, 0.04, 0.05, 0.065, 0.08, 0.1), (0.5, 1.0, 2.0)  # shares of the log of the number of areas; multiples of the threshold
+FACTORS, MIN_CASES = (0.7, 0.85, 1.0, 1.2, 1.5), 30  # of an area's own threshold, tried if so many held-out records have the area
+_UNIT = 1 << 10  # shares of the collection's words are summed in whole parts, so that every order of summing agrees
 _CUT = re.compile(r"(?<=[.!?…])[\"”»')]*\s+|[\n\r]+")
 _BREAK = "zqsentencebreakqz"
 
@@ -60,51 +71,80 @@ def sentences(body: str | None) -> list[list[str]]:
     return out
 
 
+def tongue(lang: str | None) -> str:
+    return (lang or "").lower()[:2]
+
+
+def tokenised(docs: DataFrame, id_col: str = "doc_id", body: str = "body", order: str = "loaded_at", lang: str = "lang") -> DataFrame:
+    """Written table: (doc_id, lang, line) of the last delivery of each record with words, and (word, n), combined in the same pass.
+
+    A line has the terms with spaces between them and a line break behind each sentence but the last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter[str] = Counter()
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            words = list(count.items()) if not rows else []
+            k, m = len(rows), len(words)
+            if words:
+                count.clear()
+            cols = [pa.array([r[i] for r in rows] + [None] * m, t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            cols += [pa.array([None] * k + [w[i] for w in words], t) for i, t in enumerate((pa.string(), pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "line", "word", "n"])
+
+        for b in batches:
+            rows = []
+            for doc, text, of in zip(*(b.column(i).to_pylist() for i in range(3))):
+                split = sentences(text)
+                if split:
+                    for s in split:
+                        count.update(s)
+                    rows.append((doc, tongue(of), "\n".join(map(" ".join, split))))
+            if rows:
+                yield out(rows)
+            if len(count) > 200_000:
+                yield out([])
+        yield out([])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(body).alias("body"), F.col(lang).alias("lang"), F.col(order).alias("at"))
+    rows = latest_rows(rows, "doc_id", "at", "body", "lang").select("doc_id", "body", "lang").where("body is not null")
+    return written(rows.mapInArrow(run, "doc_id long, lang string, line string, word string, n long"), "tokenised")
+
+
 class Models:
     """Log ratios of words and bigrams for each area; numpy arrays of bounded size."""
 
-    def __init__(self, areas: list[str], vocabulary: dict[str, int], bigrams: np.ndarray, one: np.ndarray, two: np.ndarray):
-        self.areas, self.vocabulary, self.bigrams, self.one, self.two = areas, vocabulary, bigrams, one, two
-        self.threshold, self.margin = 1.0, 1.0
+    def __init__(self, areas: list[str], vocabulary: dict[str, int], bigrams: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: np.ndarray | None = None, margin: float = 1.0):
+        self.areas, self.vocabulary, self.bigrams, self.one, self.two, self.margin = areas, vocabulary, bigrams, one, two, margin
+        self.threshold = np.full(len(areas), np.inf) if threshold is None else threshold  # infinite: nothing is accepted
 
     def parts(self) -> tuple:
-        return self.areas, self.vocabulary, self.bigrams, self.one, self.two, self.threshold, self.margin
-
-    @classmethod
-    def of(cls, parts: tuple) -> Models:
-        m = cls(*parts[:5])
-        m.threshold, m.margin = parts[5:]
-        return m
-
-    def score(self, docs: list[list[list[str]]]) -> np.ndarray:
-        """Log ratio of every sentence (rows, over all records in turn) for every area."""
-        get = self.vocabulary.get
-        start = get("", 0)
-        ids: list[int] = []
-        firsts: list[int] = []
-        for d in docs:
-            for s in d:
-                firsts.append(len(ids))
-                ids += [get(w, -1) for w in s]
-        if not firsts:
+        """What scoring needs, without the words themselves."""
+        return self.areas, {}, self.bigrams, self.one, self.two, self.threshold, self.margin
+
+    def score(self, word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Difference of the cross-entropies per token of every sentence for every area, given its words' numbers (-1: unknown)."""
+        if not len(sizes):
             return np.zeros((0, len(self.areas)), np.float32)
-        word = np.array(ids, np.int64)
+        firsts = np.cumsum(sizes) - sizes
         before = np.empty_like(word)
         before[1:] = word[:-1]
-        before[np.array(firsts)] = start
-        n = len(self.vocabulary)
+        before[firsts] = 0
+        n = len(self.one)
         key = np.where((word < 0) | (before < 0), -1, before * n + word)
         at = np.searchsorted(self.bigrams, key).clip(0, max(len(self.bigrams) - 1, 0))
         hit = self.bigrams[at] == key if len(self.bigrams) else np.zeros(len(key), bool)
-        ratio = np.where(hit[:, None], self.two[at], np.where((word >= 0)[:, None], self.one[word], 0)) if len(self.bigrams) else np.zeros((len(word), len(self.areas)), np.float32)
-        return np.add.reduceat(ratio, np.array(firsts), axis=0)
+        ratio = np.where((word >= 0)[:, None], self.one[word], 0)
+        ratio[hit] = self.two[at[hit]]
+        return np.add.reduceat(ratio, firsts, axis=0) / (sizes + NEUTRAL)[:, None]
 
-    def accept(self, scores: np.ndarray, threshold: float | None = None, margin: float | None = None) -> set[int]:
+    def accept(self, scores: np.ndarray, threshold: np.ndarray | None = None, margin: float | None = None) -> set[int]:
         """Areas of one record: sentences are taken by how clear they are; one that fits an accepted area almost as well adds none."""
-        threshold = self.threshold if threshold is None else threshold
+        scores = scores / (self.threshold if threshold is None else threshold)
         margin = self.margin if margin is None else margin
         top = scores.max(axis=1)
-        rows = np.flatnonzero(top >= threshold)
+        rows = np.flatnonzero(top >= 1)
         if not len(rows):
             return set()
         scores, top = scores[rows], top[rows]
@@ -112,7 +152,7 @@ class Models:
         if (best == best[0]).all():
             return {int(best[0])}
         second = np.partition(scores, -2, axis=1)[:, -2]
-        near = (scores >= (top - margin)[:, None]) & (scores >= threshold)
+        near = (scores >= (top - margin)[:, None]) & (scores >= 1)
         got: set[int] = set()
         for k in np.argsort(second - top, kind="stable"):
             if not any(near[k, a] for a in got):
@@ -120,98 +160,239 @@ class Models:
         return got
 
 
-def train(docs: list[list[list[str]]], labels: list[set[int]], langs: list[str], areas: list[str], counts: float = UNIGRAM_COUNTS[-1]) -> Models:
-    n_areas = len(areas)
-    vocabulary: dict[str, int] = {"": 0}
-    pairs: dict[tuple[int, int], int] = {}
-    word, before, seg, pair, lang = [], [], [], [], []
-    tongues: dict[str, int] = {}
-    own = []
-    for d, areas_of, tongue in zip(docs, labels, langs):
-        t = tongues.setdefault(tongue, len(tongues))
-        for s in d:
-            v = 0
-            for w in s:
-                k = vocabulary.setdefault(w, len(vocabulary))
-                word.append(k)
-                before.append(v)
-                seg.append(len(own))
-                pair.append(pairs.setdefault((v, k), len(pairs)))
-                lang.append(t)
-                v = k
-            own.append([a in areas_of for a in range(n_areas)])
-    n = len(vocabulary)
-    if not word:
-        return Models(areas, vocabulary, np.zeros(0, np.int64), np.zeros((1, n_areas), np.float32), np.zeros((0, n_areas), np.float32))
-    w, s, p, g = (np.array(x, np.int64) for x in (word, seg, pair, lang))
-    mine = np.array(own, float)
-    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+class Sample:
+    """The labelled records in numbers."""
+
+    def __init__(self, lines: list[str], langs: list[str], labels: list[set[int]], areas: list[str], more_words: list[str]):
+        self.areas, self.labels = areas, labels
+        self.vocabulary: dict[str, int] = {"": 0}
+        word, sizes, doc = [], [], []
+        for i, line in enumerate(lines):
+            for s in line.split("\n"):
+                ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in s.split(" ")]
+                word += ids
+                sizes.append(len(ids))
+                doc.append(i)
+        for w in more_words:
+            self.vocabulary.setdefault(w, len(self.vocabulary))
+        self.tongues = {t: i for i, t in enumerate(dict.fromkeys(langs))}
+        self.word, self.sizes, self.doc = np.array(word, np.int64), np.array(sizes, np.int64), np.array(doc, np.int64)
+        self.lang = np.array([self.tongues[t] for t in langs], np.int64)
+        first = np.cumsum(self.sizes) - self.sizes
+        before = np.roll(self.word, 1)
+        before[first] = 0
+        keys = before * len(self.vocabulary) + self.word
+        self.bigrams, self.pair = np.unique(keys, return_inverse=True)
+
+    def of(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of their words, sentences) of the given records."""
+        inside = np.isin(self.doc, docs)
+        return np.flatnonzero(np.repeat(inside, self.sizes)), np.flatnonzero(inside)
+
+
+class Background:
+    """Counts over all bodies, by language: of the vocabulary's words, of the sample's bigrams, and of all words."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray, total: np.ndarray):
+        self.one, self.two, self.total = one, two, total
+
+
+def train(sample: Sample, back: Background, docs: np.ndarray, counts: float, shares: np.ndarray | None = None) -> Models:
+    """Models of some of the labelled records; ``shares`` (language, area, word) is what other records say about the words."""
+    areas, n, tongues = sample.areas, len(sample.vocabulary), len(sample.tongues)
+    places, rows = sample.of(docs)
+    if not len(places):
+        return Models(areas, sample.vocabulary, np.zeros(0, np.int64), np.zeros((n, len(areas)), np.float32), np.zeros((0, len(areas)), np.float32))
+    w, p, size = sample.word[places], sample.pair[places], sample.sizes[rows]
+    s, g = np.repeat(np.arange(len(rows)), size), np.repeat(sample.lang[sample.doc[rows]], size)
+    starts = np.cumsum(size) - size
+    mine = np.array([[a in sample.labels[d] for a in range(len(areas))] for d in sample.doc[rows]], float)
     share = mine / np.maximum(mine.sum(1, keepdims=True), 1)
-    c1, c2 = np.bincount(w, minlength=n).astype(float), np.bincount(p, minlength=len(pairs)).astype(float)
-    last = np.array([k for _, k in pairs], np.int64)
-    zone = DEAD_SHARE * np.log(n_areas)
-    size = np.bincount(g, minlength=len(tongues)).astype(float)
-    one, two = np.zeros((n, n_areas)), np.zeros((len(pairs), n_areas))
+    own = np.bincount(g, minlength=tongues).astype(float)
+    others = np.zeros((tongues, len(areas))) if shares is None else shares.sum(2)
+    # the background's counts, as if it were as large as what the areas are trained on
+    pool = own + others.sum(1)
+    rate = 1 / np.maximum(back.total, 1)
+    c1, c2 = (pool * rate) @ back.one, (own * rate) @ back.two
+    last = sample.bigrams % n
+    zone = DEAD_SHARE * np.log(len(areas))
+    one, two = np.zeros((n, len(areas))), np.zeros((len(sample.bigrams), len(areas)))
     for _ in range(ROUNDS):
-        for a in range(n_areas):
+        for a in range(len(areas)):
             weight = share[s, a]
-            part = np.bincount(g, weight, minlength=len(tongues))
-            x = np.minimum(size / np.maximum(part, 1e-9), MAX_BALANCE)[g] * weight
-            r1 = (np.bincount(w, x, minlength=n) + counts) / (c1 + counts)
-            r2 = (np.bincount(p, x, minlength=len(pairs)) + BIGRAM_COUNTS * r1[last]) / (c2 + BIGRAM_COUNTS)
+            part = np.bincount(g, weight, minlength=tongues)
+            balance = np.minimum(pool / np.maximum(part + others[:, a], 1e-9), MAX_BALANCE)
+            x = np.bincount(w, balance[g] * weight, minlength=n)
+            if shares is not None:
+                x += balance @ shares[:, a]
+            r1 = (x + counts) / (c1 + counts)
+            own_balance = np.minimum(own / np.maximum(part, 1e-9), MAX_BALANCE)
+            r2 = (np.bincount(p, own_balance[g] * weight, minlength=len(sample.bigrams)) + BIGRAM_COUNTS * r1[last]) / (c2 + BIGRAM_COUNTS)
             one[:, a], two[:, a] = np.log(r1), np.log(r2)
         one, two = (np.maximum(np.sign(x) * np.maximum(np.abs(x) - zone, 0), LEAST_RATIO) for x in (one, two))
-        score = np.where(mine > 0, np.add.reduceat(two[p], starts, axis=0), -1e9)
-        top = np.maximum(score.max(1, keepdims=True), 0)
-        e = np.exp(score - top) * (mine > 0)
-        share = e / (e.sum(1, keepdims=True) + np.exp(-top))
-    keys = np.array([v * n + k for v, k in pairs], np.int64)
-    order = np.argsort(keys)
-    return Models(areas, vocabulary, keys[order], one.astype(np.float32), two[order].astype(np.float32))
-
-
-def calibrate(docs: list[list[list[str]]], labels: list[set[int]], langs: list[str], areas: list[str]) -> tuple[Models, float]:
-    """Models of all records with the pseudo-count, threshold and margin that do best on held-out halves; and that count."""
-    tried: dict[tuple[float, float, float], list[int]] = {}
-    top = float(np.log(max(len(areas), 2)))  # the log ratio of a word of one area only
-    for half in (0, 1):
-        inside = [i for i in range(len(docs)) if i % 2 != half]
-        outside = [i for i in range(len(docs)) if i % 2 == half]
-        if not inside or not outside:
-            continue
-        ends = np.cumsum([len(docs[i]) for i in outside])
-        for counts in UNIGRAM_COUNTS:
-            m = train([docs[i] for i in inside], [labels[i] for i in inside], [langs[i] for i in inside], areas, counts)
-            parts = np.split(m.score([docs[i] for i in outside]), ends[:-1])
-            for threshold in (0.24 * top, 0.34 * top, 0.43 * top, 0.53 * top, 0.67 * top):
-                for margin in (0.24 * top, 0.48 * top, 0.96 * top):
-                    count = tried.setdefault((counts, threshold, margin), [0, 0, 0])
-                    for i, x in zip(outside, parts):
-                        got = m.accept(x, threshold, margin) if len(x) else set()
-                        for k, v in enumerate((len(got & labels[i]), len(got - labels[i]), len(labels[i] - got))):
-                            count[k] += v
-    best = max(tried, key=lambda t: 2 * tried[t][0] / max(2 * tried[t][0] + tried[t][1] + tried[t][2], 1)) if tried else None
-    counts = best[0] if best else UNIGRAM_COUNTS[-1]
-    model = train(docs, labels, langs, areas, counts)
-    if best:
-        model.threshold, model.margin = best[1:]
-    return model, counts
-
-
-def enlarge(model: Models, counts: float, docs: list[list[list[str]]], labels: list[set[int]], langs: list[str], more: list[list[list[str]]], more_langs: list[str]) -> Models:
-    """Models of the labelled records and of those others that the given models find an area for."""
-    if not more or not docs:
-        return model
-    parts = np.split(model.score(more), np.cumsum([len(d) for d in more])[:-1])
-    found = [model.accept(x) for x in parts]
-    keep = [i for i, f in enumerate(found) if f]
-    new = train(docs + [more[i] for i in keep], labels + [found[i] for i in keep], langs + [more_langs[i] for i in keep], model.areas, counts)
-    new.threshold, new.margin = model.threshold, model.margin
-    return new
-
-
-def fit(docs: DataFrame, samples: DataFrame, areas: DataFrame, id_col: str = "doc_id", body: str = "body", order: str = "loaded_at", lang: str = "lang", max_sample: int = MAX_SAMPLE, max_others: int = MAX_OTHERS) -> Models:
-    """Models trained on at most ``max_sample`` labelled records and ``max_others`` others.
+        one[0] = 0
+        share = responsibilities(np.add.reduceat(two[p], starts, axis=0), mine)
+    return Models(areas, sample.vocabulary, sample.bigrams, one.astype(np.float32), two.astype(np.float32))
+
+
+def responsibilities(evidence: np.ndarray, possible: np.ndarray) -> np.ndarray:
+    """Share of each possible area in each sentence, given the sum of its log ratios; none of them may be what it is about."""
+    score = np.where(possible > 0, evidence, -1e9)
+    top = np.maximum(score.max(1, keepdims=True), 0)
+    e = np.exp(score - top) * (possible > 0)
+    return e / (e.sum(1, keepdims=True) + np.exp(-top))
+
+
+def calibrate(sample: Sample, back: Background, tries: tuple[float, ...] = UNIGRAM_COUNTS, shares: np.ndarray | None = None) -> tuple[float, np.ndarray, float]:
+    """(pseudo-count, thresholds of the areas, margin) that do best on held-out halves of the labelled records."""
+    k = len(sample.areas)
+    unit = float(np.log(max(k, 2)))  # the log ratio of a word of one area only
+    every = np.arange(len(sample.labels))
+    halves = [(every[every % 2 != h], every[every % 2 == h]) for h in (0, 1)]
+    halves = [(a, b) for a, b in halves if len(a) and len(b)]
+    if not halves:
+        return tries[-1], np.full(k, THRESHOLDS[-1] * unit), MARGINS[-1]
+
+    def held_out(counts: float) -> tuple[list[np.ndarray], list[set[int]]]:
+        parts, labels = [], []
+        for inside, outside in halves:
+            m = train(sample, back, inside, counts, shares)
+            places, rows = sample.of(outside)
+            scores = m.score(sample.word[places], sample.sizes[rows])
+            parts += np.split(scores, np.flatnonzero(np.diff(sample.doc[rows])) + 1)
+            labels += [sample.labels[i] for i in outside]
+        return parts, labels
+
+    def f1(held: tuple, threshold: np.ndarray, margin: float) -> float:
+        right = wrong = missed = 0
+        for x, want in zip(*held):
+            got = none.accept(x, threshold, margin)
+            right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+        return 2 * right / max(2 * right + wrong + missed, 1)
+
+    none = Models(sample.areas, {}, np.zeros(0, np.int64), np.zeros((1, k)), np.zeros((0, k)))
+    tried = []
+    for counts in tries:
+        held = held_out(counts)
+        tried += [(f1(held, np.full(k, t * unit), m), -i, counts, t * unit, m, held) for i, (t, m) in enumerate((t, m) for t in THRESHOLDS for m in MARGINS)]
+    best, _, counts, t, margin, held = max(tried, key=lambda x: x[:2])
+    threshold = np.full(k, t)
+    for a in range(k):
+        if sum(a in x for x in held[1]) >= MIN_CASES:
+            for f in FACTORS:
+                other = threshold.copy()
+                other[a] = t * f
+                if (better := f1(held, other, margin)) > best:
+                    best, threshold = better, other
+    return counts, threshold, margin
+
+
+def numbered(tokens: DataFrame, sample: Sample) -> DataFrame:
+    """Written table (doc_id, lang, word, sizes): the numbers of each record's words (-1: not in the vocabulary) and the words of its sentences."""
+    shared = tokens.sparkSession.sparkContext.broadcast((sample.vocabulary, sample.tongues))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, tongues = shared.value
+        get = vocabulary.get
+        for b in batches:
+            words, sizes = [], []
+            for line in b.column(2).to_pylist():
+                split = line.split("\n")
+                words.append([get(w, -1) for w in line.replace("\n", " ").split(" ")])
+                sizes.append([s.count(" ") + 1 for s in split])
+            lang = [tongues.get(t, -1) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.int32()), pa.array(words, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "lang", "word", "sizes"])
+
+    lines = tokens.where("line is not null").select("doc_id", "lang", "line")
+    return written(lines.mapInArrow(run, "doc_id long, lang int, word array<int>, sizes array<int>"), "numbered")
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, sizes of the sentences, sentences of each record, language of each record) of a batch of numbered records."""
+    per = np.diff(b.column(3).offsets.to_numpy())
+    return b.column(2).flatten().to_numpy().astype(np.int64), b.column(3).flatten().to_numpy().astype(np.int64), per, b.column(1).to_numpy()
+
+
+def _summed(rows: DataFrame, run: object, shape: tuple[int, ...]) -> np.ndarray:
+    """Sum of the arrays that ``run`` makes of the batches of a task: what is not zero in them is added up by place before it comes to the driver."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(int(np.prod(shape)), np.int64)
+        for b in batches:
+            run(b, total)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 17)]), pa.array(total[at[i : i + (1 << 17)]])], ["at", "n"])
+
+    sums = rows.mapInArrow(partial, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(int(np.prod(shape)), np.int64)
+    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return out.reshape(shape)
+
+
+def background(rows: DataFrame, sample: Sample) -> Background:
+    """Counts over all numbered records; those in a language that no labelled record has count for none."""
+    t, n, m = len(sample.tongues), len(sample.vocabulary), len(sample.bigrams)
+    shared = rows.sparkSession.sparkContext.broadcast(sample.bigrams)
+
+    def run(b: pa.RecordBatch, total: np.ndarray) -> None:
+        bigrams = shared.value
+        word, sizes, per, lang = _arrays(b)
+        g = np.repeat(np.repeat(lang, per), sizes)
+        known = g >= 0
+        width = n + m + 1
+        total[: t * width] += np.bincount(g[known] * width + n + m, minlength=t * width)
+        ok = known & (word >= 0)
+        total[: t * width] += np.bincount(g[ok] * width + word[ok], minlength=t * width)
+        if m:
+            before = np.roll(word, 1)
+            before[np.cumsum(sizes) - sizes] = 0
+            ok &= before >= 0
+            key, g = before[ok] * n + word[ok], g[ok]
+            at = np.searchsorted(bigrams, key).clip(0, m - 1)
+            hit = bigrams[at] == key
+            total[: t * width] += np.bincount(g[hit] * width + n + at[hit], minlength=t * width)
+
+    found = _summed(rows, run, (t, n + m + 1))
+    return Background(found[:, :n].astype(float), found[:, n : n + m].astype(float), found[:, -1].astype(float))
+
+
+def learned(rows: DataFrame, sample: Sample, model: Models, labelled: list[int]) -> np.ndarray:
+    """(language, area, word): how often the areas' sentences hold a word, by the model, in all records but the labelled ones."""
+    t, k, n = len(sample.tongues), len(sample.areas), len(sample.vocabulary)
+    shared = rows.sparkSession.sparkContext.broadcast((model.parts(), np.sort(np.array(labelled, np.int64))))
+
+    def run(b: pa.RecordBatch, total: np.ndarray) -> None:
+        parts, labelled = shared.value
+        m = Models(*parts)
+        word, sizes, per, lang = _arrays(b)
+        if not len(sizes):
+            return
+        scores = m.score(word, sizes)
+        ids = b.column(0).to_numpy()
+        known = labelled[np.searchsorted(labelled, ids).clip(0, len(labelled) - 1)] == ids if len(labelled) else np.zeros(len(ids), bool)
+        possible = np.zeros((len(sizes), k))
+        at = 0
+        for i, count in enumerate(per.tolist()):
+            if lang[i] >= 0 and not known[i]:
+                for a in m.accept(scores[at : at + count]):
+                    possible[at : at + count, a] = 1
+            at += count
+        share = np.rint(responsibilities(scores * (sizes + NEUTRAL)[:, None], possible) * _UNIT).astype(np.int64)
+        sentence, area = np.nonzero(share)
+        where = np.repeat(np.arange(len(sentence)), sizes[sentence])
+        first = np.cumsum(sizes) - sizes
+        place = first[sentence][where] + np.arange(len(where)) - np.repeat(np.cumsum(sizes[sentence]) - sizes[sentence], sizes[sentence])
+        w = word[place]
+        ok = w >= 0
+        g = np.repeat(lang, per)[sentence][where]
+        np.add.at(total, ((g * k + area[where]) * n + w)[ok], share[sentence, area][where][ok])
+
+    return _summed(rows, run, (t, k, n)) / _UNIT
+
+
+def fit(tokens: DataFrame, samples: DataFrame, areas: DataFrame, id_col: str = "doc_id", max_sample: int = MAX_SAMPLE) -> tuple[Models, DataFrame]:
+    """(models, numbered records) of a table of tokenised records, from at most ``max_sample`` labelled ones and all others.
 
     Repeated labels count once; labels of unknown areas, null labels and records
     without words are left out; without any sample every record has no area.
@@ -219,54 +400,47 @@ def fit(docs: DataFrame, samples: DataFrame, areas: DataFrame, id_col: str = "do
     names = sorted(r[0] for r in areas.select("area").dropna().distinct().collect())
     ids = samples.select(F.col(id_col).alias("doc_id"), "area").dropna().join(F.broadcast(areas.select("area").distinct()), "area").groupBy("doc_id").agg(F.sort_array(F.collect_set("area")).alias("areas"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
-    def fetch(wanted: DataFrame) -> tuple[list, list, list]:
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(body).alias("body"), F.col(lang).alias("lang"), F.col(order).alias("at")).join(F.broadcast(wanted), "doc_id")
-        rows = latest(rows, "doc_id", "at", "body").select("doc_id", "body", "lang", "areas").toArrow().sort_by("doc_id")
-        texts, tongues, given = [], [], []
-        for text, tongue, of in zip(*(rows.column(c).to_pylist() for c in ("body", "lang", "areas"))):
-            s = sentences(text)
-            if s:
-                texts.append(s)
-                tongues.append((tongue or "").lower()[:2])
-                given.append({names.index(a) for a in of or ()})
-        return texts, given, tongues
-
-    texts, labels, langs = fetch(ids)
-    model, counts = calibrate(texts, labels, langs, names)
-    if not texts:
-        return model
-    others = docs.select(F.col(id_col).alias("doc_id")).dropna().distinct().join(samples.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_anti")
-    others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_others).withColumn("areas", F.lit(None).cast("array<string>"))
-    more, _, more_langs = fetch(others)
-    return enlarge(model, counts, texts, labels, langs, more, more_langs)
-
-
-def subjects(docs: DataFrame, model: Models, id_col: str = "doc_id", body: str = "body", order: str = "loaded_at") -> DataFrame:
-    """(doc_id, area, score) for each area of each record; score is the best sentence's log ratio for the area.
+    rows = tokens.where("line is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "line", "lang", "areas").toArrow().sort_by("doc_id")
+    found, lines, langs, given = (rows.column(c).to_pylist() for c in ("doc_id", "line", "lang", "areas"))
+    frequent = tokens.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(FREQUENT)
+    sample = Sample(lines, langs, [{names.index(a) for a in of} for of in given], names, [r.word for r in frequent.collect()])
+    records = numbered(tokens, sample)
+    every = np.arange(len(lines))
+    if not len(every):
+        return Models(names, sample.vocabulary, sample.bigrams, np.zeros((len(sample.vocabulary), len(names)), np.float32), np.zeros((0, len(names)), np.float32)), records
+    back = background(records, sample)
+    counts, threshold, margin = calibrate(sample, back)
+    model = train(sample, back, every, counts)
+    model.threshold, model.margin = threshold, margin
+    shares = learned(records, sample, model, found)
+    _, threshold, margin = calibrate(sample, back, (counts,), shares)
+    model = train(sample, back, every, counts, shares)
+    model.threshold, model.margin = threshold, margin
+    return model, records
+
+
+def subjects(records: DataFrame, model: Models) -> DataFrame:
+    """(doc_id, area, score) for each area of each numbered record; score is the best sentence's for the area, per token.
 
     A record may have several areas or none. Null and blank bodies have none;
     of a record delivered again the last delivery counts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
-    at = docs.schema[order].dataType.simpleString()
+    shared = records.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Models.of(shared.value)
+        model = Models(*shared.value)
         for b in batches:
-            split = [sentences(t) for t in b.column(1).to_pylist()]
-            scores = model.score(split)
-            found: list = []
-            best: list = []
-            k = 0
-            for d in split:
-                part = scores[k : k + len(d)]
-                k += len(d)
-                got = sorted(model.accept(part)) if len(d) else []
-                found.append(got)
-                best.append([float(part[:, a].max()) for a in got])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32())), pa.array(best, pa.list_(pa.float64()))], ["doc_id", "at", "areas", "scores"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(body).alias("body"), F.col(order).alias("at")).mapInArrow(run, f"doc_id long, at {at}, areas array<int>, scores array<double>")
-    rows = latest(rows, "doc_id", "at", "areas")
-    names = F.array(*(F.lit(a) for a in model.areas)) if model.areas else F.array().cast("array<string>")
-    return rows.select("doc_id", F.explode(F.arrays_zip("areas", "scores")).alias("x")).select("doc_id", F.element_at(names, F.col("x.areas") + 1).alias("area"), F.round("x.scores", 6).alias("score"))
+            word, sizes, per, _ = _arrays(b)
+            scores = model.score(word, sizes)
+            ids, found, best = [], [], []
+            at = 0
+            for doc, count in zip(b.column(0).to_pylist(), per.tolist()):
+                part = scores[at : at + count]
+                at += count
+                for a in sorted(model.accept(part)) if count else ():
+                    ids.append(doc)
+                    found.append(model.areas[a])
+                    best.append(round(float(part[:, a].max()), 6))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(best, pa.float64())], ["doc_id", "area", "score"])
+
+    return records.mapInArrow(run, "doc_id long, area string, score double")

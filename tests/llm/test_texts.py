@@ -166,22 +166,66 @@ def subject_corpus(spark):
 def test_subjects(spark):
     docs, labels, areas = subject_corpus(spark)
     known = spark.createDataFrame([x for x in labels if x[0] % 2] + [(1, None), (3, "nonsense"), labels[0][:1] + ("law",)], "doc_id long, area string")
-    model = subjects.fit(docs, known, areas)
-    got = {(r.doc_id, r.area) for r in subjects.subjects(docs, model).collect()}
+    tokens = subjects.tokenised(docs)
+    model, records = subjects.fit(tokens, known, areas)
+    got = {(r.doc_id, r.area) for r in subjects.subjects(records, model).collect()}
     held = {x for x in labels if x[0] % 2 == 0}
     mine = {x for x in got if x[0] % 2 == 0 and x[0] < 900}
-    assert len(mine & held) / len(mine | held) > 0.97 and not [x for x in got if x[0] in (900, 901, 902)]
-    none = subjects.fit(docs, known.limit(0), areas)
-    assert subjects.subjects(docs, none).count() == 0 and subjects.subjects(docs.limit(0), model).count() == 0
+    assert len(mine & held) / len(mine | held) > 0.97 and not [x for x in got if x[0] in (900, 901, 902)] and records.count() == 242
+    none, records = subjects.fit(tokens, known.limit(0), areas)
+    assert subjects.subjects(records, none).count() == 0
+    empty = subjects.tokenised(docs.limit(0))
+    nothing, records = subjects.fit(empty, known, areas)
+    assert subjects.subjects(records, nothing).count() == 0
 
 
-def test_subjects_learn_from_others_whatever_the_labels(spark):
+def test_subjects_learn_from_all_records_whatever_the_labels(spark):
+    """A word that only unlabelled records hold is learned from them, and the background is that of all bodies."""
     docs, labels, areas = subject_corpus(spark)
-    row = docs.where("doc_id = 2").withColumn("body", F.concat("body", F.lit(" Lawb zymurgy lawc lawd.")))
-    docs = docs.where("doc_id <> 2").unionByName(row)
+    body = F.when((F.col("doc_id") % 2 == 0) & (F.col("doc_id") < 900) & F.col("body").contains("law"), F.concat("body", F.lit(" Lawb zymurgy lawc lawd."))).otherwise(F.col("body"))
+    docs = docs.withColumn("body", body)
     known = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, area string")
+    tokens = subjects.tokenised(docs)
     for bound in (60, 10_000):
-        assert "zymurgy" in subjects.fit(docs, known, areas, max_sample=bound).vocabulary
+        model, _ = subjects.fit(tokens, known, areas, max_sample=bound)
+        assert model.one[model.vocabulary["zymurgy"]].argmax() == sorted(("law", "sport", "music")).index("law") and model.one[model.vocabulary["zymurgy"]].max() > 0
+
+
+def test_background_and_shares_equal_brute_force(spark):
+    docs, labels, areas = subject_corpus(spark)
+    names = ["law", "music", "sport"]
+    lines = [r.line for r in subjects.tokenised(docs).where("line is not null and doc_id < 40").orderBy("doc_id").collect()]
+    given = [{names.index(a) for i, a in labels if i == d} for d in range(40)]
+    sample = subjects.Sample(lines, ["en"] * 40, given, names, ["zz", "again"])
+    tokens = subjects.tokenised(docs.repartition(5))
+    records = subjects.numbered(tokens, sample)
+    back = subjects.background(records, sample)
+    texts = [r.line for r in tokens.where("line is not null and lang = 'en'").collect()]
+    words = Counter(w for x in texts for s in x.split("\n") for w in s.split(" "))
+    pairs = Counter(p for x in texts for s in x.split("\n") for p in zip(["", *s.split(" ")], s.split(" ")))
+    assert back.total[0] == sum(words.values()) and all(back.one[0, k] == words[w] for w, k in sample.vocabulary.items() if w)
+    named = list(sample.vocabulary)
+    assert all(back.two[0, i] == pairs[named[key // len(named)], named[key % len(named)]] for i, key in enumerate(sample.bigrams.tolist()))
+    counts, threshold, margin = subjects.calibrate(sample, back)
+    model = subjects.train(sample, back, np.arange(40), counts)
+    model.threshold, model.margin = threshold, margin
+    got = subjects.learned(records, sample, model, list(range(40)))
+    want = np.zeros_like(got)
+    for r in records.where("doc_id >= 40 and lang = 0").collect():
+        word, sizes = np.array(r.word), np.array(r.sizes)
+        scores = model.score(word, sizes)
+        possible = np.zeros(scores.shape)
+        for a in model.accept(scores):
+            possible[:, a] = 1
+        share = np.rint(subjects.responsibilities(scores * (sizes + subjects.NEUTRAL)[:, None], possible) * subjects._UNIT) / subjects._UNIT
+        for i, ids in enumerate(np.split(word, np.cumsum(sizes)[:-1])):
+            for w in ids[ids >= 0]:
+                want[0, :, w] += share[i]
+    assert np.allclose(got, want) and want.sum() > 100
+    # per token: a sentence of the same words twice as long has almost the same score, and unknown words dilute it
+    k = sample.vocabulary["lawb"]
+    one, two, less = (model.score(np.array(x), np.array([len(x)]))[0] for x in ([k] * 40, [k] * 80, [k] * 40 + [-1] * 40))
+    assert abs(two[0] / one[0] - 1) < 0.06 and less[0] < 0.6 * one[0]
 
 
 def test_abuse(spark):
@@ -239,8 +283,12 @@ def test_chunks_and_maxima(monkeypatch):
     monkeypatch.setattr(abuse, "CHUNK", 50)
     assert np.allclose(whole, abuse.document_scores(texts, net, abuse.Vectors(net["table"], bound=100)), atol=1e-5) and not whole[1:3].any()
     forms = abuse.Vectors(net["table"])
-    for t in texts[::3]:
-        assert [len(s) for s in forms.segments(t)] == [len(s) for s in abuse.segments(t)]
+    for t in [*texts[::3], "a.b c' d.' e\nf ?! g \"h.\" i", "q " * 41 + ". r", "... ! -"]:
+        tokens = [*abuse.plain(t).split(), abuse._MARK]
+        rows, sizes, doc = forms.segments(tokens, np.zeros(len(tokens), np.int64))
+        names = {k: w for w, k in forms.forms.items()}
+        assert [[names[k] for k in x] for x in np.split(rows, np.cumsum(sizes)[:-1]) if len(x)] == abuse.segments(t) and len(doc) == len(sizes)
+    assert abuse.segments("one two.' three, four\nfive? (six) s e v e n") == [["one", "two"], ["three", "four"], ["five"], ["six", "seven"]]
 
 
 def test_cnn_gradient():
