@@ -31,7 +31,7 @@ from fjordex.llm.common import latest_rows, py_items, py_nfkc
 from fjordex.session import written
 
 # At most so many labelled records train the models (a bounded sample, chosen by the hash of the id).
-MAX_SAMPLE = 10_000
+MAX_SAMPLE = 5_000
 # The vocabulary has the words of those records and so many of the collection's most frequent ones: a fixed bound of what is broadcast.
 FREQUENT = 1 << 16
 UNIGRAM_COUNTS, BIGRAM_COUNTS = (0.5, 2.0), 20.0  # the better of the two on held-out records
@@ -45,30 +45,21 @@ ROUNDS = 5
 THRESHOLDS, MARGINS = (0.02, 0.03, 0.04, 0.05, 0.065, 0.08, 0.1), (0.5, 1.0, 2.0)  # shares of the log of the number of areas; multiples of the threshold
 FACTORS, MIN_CASES = (0.7, 0.85, 1.0, 1.2, 1.5), 30  # of an area's own threshold, tried if so many held-out records have the area
 _UNIT = 1 << 10  # shares of the collection's words are summed in whole parts, so that every order of summing agrees
-_CUT = re.compile(r"(?<=[.!?…])[\"”»')]*\s+|[\n\r]+")
+# ends of sentences and lines; it begins with a set of characters, so that the search skips to them
+_CUT = re.compile(r"[.!?…\n\r](?:(?<=[\n\r])|[\"”»')]*(?=\s))")
 _BREAK = "zqsentencebreakqz"
+_DIGITS = frozenset(c for c in map(chr, range(0x110000)) if c.isdigit())
 
 
-def sentences(body: str | None) -> list[list[str]]:
-    """Terms of each sentence; a list of items is one sentence; numbers are one word."""
+def sentences(body: str | None) -> str:
+    """Terms with spaces between them and a line break between sentences; a list of items is one sentence; numbers are one word."""
     if not body:
-        return []
+        return ""
     text = py_nfkc(body)
-    if ":" in text or "=" in text:
-        items = py_items(text)
-        if items and len(items) > 1:
-            return [["#" if w[0].isdigit() else w for w in py_terms(text)]]
-    out, now = [], []
-    for w in py_terms(_CUT.sub(f" {_BREAK} ", text)):
-        if w == _BREAK:
-            if now:
-                out.append(now)
-                now = []
-        else:
-            now.append("#" if w[0].isdigit() else w)
-    if now:
-        out.append(now)
-    return out
+    items = py_items(text) if ":" in text or "=" in text else None
+    whole = items and len(items) > 1
+    line = " ".join(["#" if w[0] in _DIGITS else w for w in py_terms(text if whole else _CUT.sub(f" {_BREAK} ", text))])
+    return line if whole else "\n".join(filter(None, map(str.strip, f" {line}".split(f" {_BREAK}"))))
 
 
 def tongue(lang: str | None) -> str:
@@ -96,11 +87,10 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", body: str = "body", order
         for b in batches:
             rows = []
             for doc, text, of in zip(*(b.column(i).to_pylist() for i in range(3))):
-                split = sentences(text)
-                if split:
-                    for s in split:
-                        count.update(s)
-                    rows.append((doc, tongue(of), "\n".join(map(" ".join, split))))
+                line = sentences(text)
+                if line:
+                    count.update(line.split())
+                    rows.append((doc, tongue(of), line))
             if rows:
                 yield out(rows)
             if len(count) > 200_000:
@@ -160,6 +150,29 @@ class Models:
         return got
 
 
+    def accepted(self, scores: np.ndarray, per: np.ndarray, threshold: np.ndarray | None = None, margin: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(record, area) of records with ``per`` sentences each, as ``accept`` says; only those that several areas lay claim to are looked at one by one."""
+        limit = self.threshold if threshold is None else threshold
+        of = np.repeat(np.arange(len(per)), per)
+        relative = scores / limit
+        rows = np.flatnonzero(relative.max(axis=1) >= 1) if len(relative) else np.zeros(0, np.int64)
+        if not len(rows):
+            return rows, rows
+        doc, best = of[rows], relative[rows].argmax(axis=1)
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        low, high = np.minimum.reduceat(best, starts), np.maximum.reduceat(best, starts)
+        one = low == high
+        docs, areas = [doc[starts[one]]], [low[one]]
+        bounds = np.r_[starts, len(rows)]
+        for i in np.flatnonzero(~one).tolist():
+            got = sorted(self.accept(scores[rows[bounds[i] : bounds[i + 1]]], limit, margin))
+            docs.append(np.full(len(got), doc[starts[i]]))
+            areas.append(np.array(got, np.int64))
+        docs, areas = np.concatenate(docs), np.concatenate(areas)
+        order = np.lexsort((areas, docs))
+        return docs[order], areas[order]
+
+
 class Sample:
     """The labelled records in numbers."""
 
@@ -253,22 +266,22 @@ def calibrate(sample: Sample, back: Background, tries: tuple[float, ...] = UNIGR
     if not halves:
         return tries[-1], np.full(k, THRESHOLDS[-1] * unit), MARGINS[-1]
 
-    def held_out(counts: float) -> tuple[list[np.ndarray], list[set[int]]]:
-        parts, labels = [], []
+    def held_out(counts: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scores, per, labels = [], [], []
         for inside, outside in halves:
             m = train(sample, back, inside, counts, shares)
             places, rows = sample.of(outside)
-            scores = m.score(sample.word[places], sample.sizes[rows])
-            parts += np.split(scores, np.flatnonzero(np.diff(sample.doc[rows])) + 1)
-            labels += [sample.labels[i] for i in outside]
-        return parts, labels
+            scores.append(m.score(sample.word[places], sample.sizes[rows]))
+            per.append(np.bincount(sample.doc[rows], minlength=len(every))[outside])
+            labels.append(truth[outside])
+        return np.concatenate(scores), np.concatenate(per), np.concatenate(labels)
+
+    truth = np.array([[a in of for a in range(k)] for of in sample.labels])
 
     def f1(held: tuple, threshold: np.ndarray, margin: float) -> float:
-        right = wrong = missed = 0
-        for x, want in zip(*held):
-            got = none.accept(x, threshold, margin)
-            right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
-        return 2 * right / max(2 * right + wrong + missed, 1)
+        scores, per, want = held
+        doc, area = none.accepted(scores, per, threshold, margin)
+        return 2 * int(want[doc, area].sum()) / max(len(doc) + int(want.sum()), 1)
 
     none = Models(sample.areas, {}, np.zeros(0, np.int64), np.zeros((1, k)), np.zeros((0, k)))
     tried = []
@@ -278,7 +291,7 @@ def calibrate(sample: Sample, back: Background, tries: tuple[float, ...] = UNIGR
     best, _, counts, t, margin, held = max(tried, key=lambda x: x[:2])
     threshold = np.full(k, t)
     for a in range(k):
-        if sum(a in x for x in held[1]) >= MIN_CASES:
+        if held[2][:, a].sum() >= MIN_CASES:
             for f in FACTORS:
                 other = threshold.copy()
                 other[a] = t * f
@@ -371,13 +384,11 @@ def learned(rows: DataFrame, sample: Sample, model: Models, labelled: list[int])
         scores = m.score(word, sizes)
         ids = b.column(0).to_numpy()
         known = labelled[np.searchsorted(labelled, ids).clip(0, len(labelled) - 1)] == ids if len(labelled) else np.zeros(len(ids), bool)
-        possible = np.zeros((len(sizes), k))
-        at = 0
-        for i, count in enumerate(per.tolist()):
-            if lang[i] >= 0 and not known[i]:
-                for a in m.accept(scores[at : at + count]):
-                    possible[at : at + count, a] = 1
-            at += count
+        doc, area = m.accepted(scores, per)
+        fit = (lang[doc] >= 0) & ~known[doc]
+        claims = np.zeros((len(per), k))
+        claims[doc[fit], area[fit]] = 1
+        possible = np.repeat(claims, per, axis=0)
         share = np.rint(responsibilities(scores * (sizes + NEUTRAL)[:, None], possible) * _UNIT).astype(np.int64)
         sentence, area = np.nonzero(share)
         where = np.repeat(np.arange(len(sentence)), sizes[sentence])
@@ -432,15 +443,11 @@ def subjects(records: DataFrame, model: Models) -> DataFrame:
         for b in batches:
             word, sizes, per, _ = _arrays(b)
             scores = model.score(word, sizes)
-            ids, found, best = [], [], []
-            at = 0
-            for doc, count in zip(b.column(0).to_pylist(), per.tolist()):
-                part = scores[at : at + count]
-                at += count
-                for a in sorted(model.accept(part)) if count else ():
-                    ids.append(doc)
-                    found.append(model.areas[a])
-                    best.append(round(float(part[:, a].max()), 6))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(best, pa.float64())], ["doc_id", "area", "score"])
+            if not len(sizes):
+                continue
+            doc, area = model.accepted(scores, per)
+            best = np.maximum.reduceat(scores, np.cumsum(per) - per, axis=0)[doc, area]
+            names = pa.DictionaryArray.from_arrays(pa.array(area, pa.int32()), pa.array(model.areas, pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), names, pa.array(np.round(best.astype(float), 6))], ["doc_id", "area", "score"])
 
     return records.mapInArrow(run, "doc_id long, area string, score double")
