@@ -136,7 +136,7 @@ def pipeline_filter_derive(s: SparkSession, d: str) -> DataFrame:
 # ---- text functions
 
 
-def _nfkc_sql(text: str, table: str, more: str) -> str:
+def nfkc_sql(text: str, table: str, more: str) -> str:
     """CTE o(r, ..., text) and y(r, canonical): compatibility characters by a table made from the Unicode database, one by one, then canonical composition.
 
     Texts of printable ASCII, which stay as they are, have no row in y.
@@ -150,7 +150,7 @@ def _nfkc_sql(text: str, table: str, more: str) -> str:
     )
 
 
-_CANON = _nfkc_sql("body", "corpus_docs", ", doc_id, loaded_at")
+_CANON = nfkc_sql("body", "corpus_docs", ", doc_id, loaded_at")
 
 
 @query(f"WITH {_CANON} SELECT doc_id, loaded_at, coalesce(canonical, body) AS canonical, coalesce(canonical, body) IS DISTINCT FROM body AS changed FROM o LEFT JOIN y USING (r)")
@@ -478,7 +478,7 @@ def dict_scan_spans(s: SparkSession, d: str) -> DataFrame:
 
 
 _TITLES = (
-    f"{_nfkc_sql('title', '(SELECT body AS title FROM headings UNION SELECT title FROM films UNION SELECT title FROM corpus_docs)', '')}, "
+    f"{nfkc_sql('title', '(SELECT body AS title FROM headings UNION SELECT title FROM films UNION SELECT title FROM corpus_docs)', '')}, "
     "k AS (SELECT DISTINCT array_to_string(regexp_extract_all(replace(lower(body),'ß','ss'),'[\\p{L}\\p{N}_]+'),' ') AS match, meta FROM headings), "
     "t AS (SELECT title, ' ' || array_to_string(regexp_extract_all(replace(lower(coalesce(canonical, title)),'ß','ss'),'[\\p{L}\\p{N}_]+'),' ') || ' ' AS line FROM o LEFT JOIN y USING (r))"
 )
