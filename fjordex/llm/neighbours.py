@@ -273,7 +273,8 @@ def most_similar(vectors: DataFrame, id_col: str = "doc_id", vector: str = "embe
     w = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "neighbour_id")
     docs = docs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep)
     lists = docs.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "neighbour_id", "cosine"))).alias("list"))
-    lists = lists.join(groups.select(F.col("rep").alias("query"), "cls", "members"), "query").select("cls", "members", "list")
+    # written, since it is looked at for hot groups and then joined
+    lists = written(lists.join(groups.select(F.col("rep").alias("query"), "cls", "members"), "query").select("cls", "members", "list"), "lists")
     mine = attach_group(rows.select("doc_id", "cls"), lists, ["cls"], "members")
     out = mine.select("doc_id", F.slice(F.filter("list", lambda x: x["neighbour_id"] != F.col("doc_id")), 1, k).alias("l"))
     return out.select("doc_id", F.posexplode("l").alias("p", "x")).select("doc_id", F.col("x.neighbour_id").alias("neighbour_id"), F.col("x.cosine").alias("cosine"), (F.col("p") + 1).alias("rank"))
