@@ -113,8 +113,8 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", body: str = "body", or
     # the key of a list is joined to the class of its words by the smallest ids
     listed = lists.groupBy("ikey", "wkey").agg(F.count("*").alias("n"))
     per_list = listed.groupBy("ikey").agg(F.sum("n").alias("isize"), F.count("*").alias("texts"))
-    wide = per_list.where("isize > 1")
-    multi = words.where("size > 1")
+    # each kind of group is made once; what follows reads it
+    wide, multi = written(per_list.where("isize > 1"), "lists"), written(words.where("size > 1"), "texts")
     cls = attach_group(fp, multi, ["wkey"], "size").select("doc_id", "wrep", "size")
     big = attach_group(lists, wide, ["ikey"], "isize").select("doc_id", "isize", "texts")
     both = fp.join(cls, "doc_id", "left").join(big, "doc_id", "left").where("size is not null or isize is not null")
@@ -125,8 +125,8 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", body: str = "body", or
     edges = several.select("ikey", "wrep").distinct()
     low = edges.groupBy("ikey").agg(F.min("wrep").alias("low"))
     comp = connected_components(edges.join(low, "ikey").where("wrep <> low"), "wrep", "low").select(F.col("node").alias("wrep"), "component")
-    final = both.join(comp, "wrep", "left").select("doc_id", F.coalesce("component", "wrep").alias("first_id"))
-    sizes = final.groupBy("first_id").agg(F.count("*").alias("copies"))
+    final = written(both.join(comp, "wrep", "left").select("doc_id", F.coalesce("component", "wrep").alias("first_id")), "placed")
+    sizes = written(final.groupBy("first_id").agg(F.count("*").alias("copies")), "classes")
     placed = attach_group(final, sizes, ["first_id"], "copies").select("doc_id", "first_id", "copies")
     alone = fp.join(both.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("first_id"), F.lit(1).cast("long").alias("copies"))
     return placed.unionByName(alone)
