@@ -55,6 +55,7 @@ ORDER_SAMPLE, ORDER_RUNS = 16_384, 1 << 18
 MANY_COPIES, MOST_COPIED = 8, 50_000
 # A run that is expected in more texts than this is split into blocks of about so many texts, at most 2^MOST_SPLIT of them.
 HOT_RUN, MOST_SPLIT = 20_000, 12
+BATCH = 4_096  # texts whose runs are put in order at once
 # Words whose frequency is kept apart; any other word counts as the last of them. A fixed bound of what is broadcast.
 FREQUENT = 4096
 # Bits of information in a segment beyond log2(number of texts).
@@ -298,7 +299,7 @@ def _common_runs(some: DataFrame, body: str, n: int, min_words: int) -> tuple:
 
 
 def prefixes(texts: list[list[str]], n: int, similarity: float, words: Words, common: tuple) -> tuple:
-    """(text, key, size, at, sketch, sketch) of the runs in the prefixes of the texts.
+    """(text, key, size, at, sketch, sketch) of the runs in the prefixes of at most 2^14 texts.
 
     ``words`` knows the information of the words, ``common`` is the result of
     _common_runs; size is the number of distinct runs of the text, at the place
@@ -308,12 +309,17 @@ def prefixes(texts: list[list[str]], n: int, similarity: float, words: Words, co
 
     text, first, h, flat = _runs(texts, n, words)
     each = words.known[flat]
-    known = sum((each[first + i] for i in range(n)), np.zeros(len(first), np.int64))
-    rank = -known
+    # rare runs first: 14 bits from the information of the words or, behind all those, from the count in the sample
+    rank = (1 << 13) - 1 - np.minimum(sum((each[first + i] for i in range(n)), np.zeros(len(first), np.int64)) >> 1, (1 << 13) - 1)
     if len(common[0]):
         place = np.searchsorted(common[0], h).clip(0, len(common[0]) - 1)
-        rank += np.where(common[0][place] == h, common[1][place], 0) << 32
-    order = np.lexsort((h, rank, text))
+        rank = np.where(common[0][place] == h, (1 << 13) + np.minimum(common[1][place], (1 << 13) - 1), rank)
+    # one number to sort by: text, rank and as much of the hash as fits; should that not tell two runs apart, the whole hash does
+    key = text.astype(np.uint64) << np.uint64(50) | rank.astype(np.uint64) << np.uint64(36) | h >> np.uint64(28)
+    order = np.argsort(key)
+    k = key[order]
+    if ((k[1:] == k[:-1]) & (h[order[1:]] != h[order[:-1]])).any():
+        order = np.lexsort((h, key))
     text, h = text[order], h[order]
     own = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)]
     text, h = text[own], h[own]
@@ -351,7 +357,8 @@ def _prefix_rows(docs: DataFrame, id_col: str, body: str, freq: dict[str, int],
         known = Words(bits, rare)
         for b in batches:
             found = list(_ones(b, min_words, seed, copied, seen))
-            text, h, size, at, s0, s1 = prefixes([w for _, w in found], n, similarity, known, common)
+            made = [(i, prefixes([w for _, w in found[i : i + BATCH]], n, similarity, known, common)) for i in range(0, len(found) or 1, BATCH)]
+            text, h, size, at, s0, s1 = (np.concatenate(x) for x in zip(*((m[0] + i, *m[1:]) for i, m in made)))
             tid = np.array([t for t, _ in found], np.int64)[text]
             place = (size << 32) | at
             rows = [(h, place, tid, s0, s1)]
@@ -527,5 +534,5 @@ def near_groups(docs: DataFrame, **options: object) -> DataFrame:
     comp = connected_components(near, "a", "b").select(F.col("node").alias("tid"), "component")
     links = near.select(F.col("a").alias("tid")).union(near.select("b")).groupBy("tid").agg(F.count("*").alias("links"))
     placed = written(members.join(comp, "tid", "left").join(links, "tid", "left").select("doc_id", F.coalesce("component", "tid").alias("c"), F.coalesce("links", F.lit(0)).alias("links")), "placed")
-    first = placed.groupBy("c").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("size"))
+    first = written(placed.groupBy("c").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("size")), "groups")
     return attach_group(placed, first, ["c"], "size").select("doc_id", "group_id", "links")

@@ -245,3 +245,25 @@ def test_neighbours_in_split_cells(spark, monkeypatch):
     assert neighbours.enough_of(500_000) == 10 * neighbours.enough_of(5_000) == 10 * neighbours.CANDIDATES
     double = spark.createDataFrame([(1, [1.0, 1e-9]), (2, [1.0, 0.0]), (3, [1.0, 2e-6]), (4, [1.0, 3e-6])], "doc_id long, embedding array<double>")
     assert [r.neighbour_id for r in neighbours.most_similar(double, dim=2, k=1).orderBy("doc_id").collect()] == [2, 1, 4, 3]
+
+
+def test_broadcast_and_shuffle_joins_agree(spark, monkeypatch):
+    """The bound below which a counted side is broadcast changes the plan, not the rows."""
+    from fjordex.llm import common, frequencies, lookalikes
+
+    rows = corpus()
+    docs = deliveries(spark, rows).withColumn("meta", F.col("body"))
+
+    def everything():
+        near = sorted(tuple(r) for r in nearduplicates.near_groups(docs, n=3, similarity=0.6, min_words=30).collect())
+        copies = sorted(tuple(r) for r in formatting.copy_classes(docs).collect())
+        terms = sorted(tuple(r) for r in frequencies.count_deliveries(docs).read().drop("bucket").collect())
+        forms = sorted(tuple(r) for r in lookalikes.consistent(docs, ["body"]).select("doc_id", "body_skeleton").collect() if r.body_skeleton)
+        return near, copies, terms, forms
+
+    first = everything()
+    for module in (common, formatting, nearduplicates):
+        if hasattr(module, "BROADCAST_ROWS"):
+            monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert everything() == first and all(first)
