@@ -31,7 +31,7 @@ from fjordex.llm.common import latest_rows, py_items, py_nfkc
 from fjordex.session import written
 
 # At most so many labelled records train the models (a bounded sample, chosen by the hash of the id).
-MAX_SAMPLE = 5_000
+MAX_SAMPLE = 10_000
 # The vocabulary has the words of those records and so many of the collection's most frequent ones: a fixed bound of what is broadcast.
 FREQUENT = 1 << 16
 UNIGRAM_COUNTS, BIGRAM_COUNTS = (0.5, 2.0), 20.0  # the better of the two on held-out records
@@ -230,17 +230,20 @@ def train(sample: Sample, back: Background, docs: np.ndarray, counts: float, sha
     last = sample.bigrams % n
     zone = DEAD_SHARE * np.log(len(areas))
     one, two = np.zeros((n, len(areas))), np.zeros((len(sample.bigrams), len(areas)))
+    # words of the sentences that may be about an area
+    claimed = [np.flatnonzero(mine[s, a]) for a in range(len(areas))]
     for _ in range(ROUNDS):
         for a in range(len(areas)):
-            weight = share[s, a]
-            part = np.bincount(g, weight, minlength=tongues)
+            at = claimed[a]
+            weight, tongue_of = share[s[at], a], g[at]
+            part = np.bincount(tongue_of, weight, minlength=tongues)
             balance = np.minimum(pool / np.maximum(part + others[:, a], 1e-9), MAX_BALANCE)
-            x = np.bincount(w, balance[g] * weight, minlength=n)
+            x = np.bincount(w[at], balance[tongue_of] * weight, minlength=n)
             if shares is not None:
                 x += balance @ shares[:, a]
             r1 = (x + counts) / (c1 + counts)
             own_balance = np.minimum(own / np.maximum(part, 1e-9), MAX_BALANCE)
-            r2 = (np.bincount(p, own_balance[g] * weight, minlength=len(sample.bigrams)) + BIGRAM_COUNTS * r1[last]) / (c2 + BIGRAM_COUNTS)
+            r2 = (np.bincount(p[at], own_balance[tongue_of] * weight, minlength=len(sample.bigrams)) + BIGRAM_COUNTS * r1[last]) / (c2 + BIGRAM_COUNTS)
             one[:, a], two[:, a] = np.log(r1), np.log(r2)
         one, two = (np.maximum(np.sign(x) * np.maximum(np.abs(x) - zone, 0), LEAST_RATIO) for x in (one, two))
         one[0] = 0
