@@ -140,6 +140,17 @@ def word_shingles(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def word_shingle_spans(spans: Column, n: int) -> Column:
+    """Word n-grams of an array of (token, begin, end), each with the part of the text that it covers."""
+    last = F.greatest(F.lit(1), F.size(spans) - F.lit(n - 1))
+
+    def gram(i: Column) -> Column:
+        s = F.slice(spans, i, F.lit(n))
+        return F.struct(F.array_join(F.transform(s, lambda x: x["token"]), " ").alias("shingle"), s[0]["begin"].alias("begin"), F.element_at(s, -1)["end"].alias("end"))
+
+    return F.when(F.size(spans) > 0, F.transform(F.sequence(F.lit(1), last), gram)).otherwise(F.array().cast("array<struct<shingle:string,begin:int,end:int>>"))
+
+
 def run_lengths(ordered: Column) -> Column:
     """Array of (term, tf) of a sorted array of terms, in the row and in time linear in its size.
 

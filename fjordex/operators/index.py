@@ -80,14 +80,27 @@ def dense_ids(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return local.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_shift") + nth).drop("_part", "_at", "_shift")
 
 
+def _with_previous(post: DataFrame, order: str) -> DataFrame:
+    """Postings with ``before``: the document of the posting that precedes it in its term's list, null for the first.
+
+    A list may be as long as the collection, so lists are cut into ranges of
+    (term, order), and each range looks up its neighbour's last posting (one row for each range).
+    """
+    ranged = written(post.repartitionByRange("term", order).withColumn("_part", F.spark_partition_id()), "ranged")
+    last = ranged.groupBy("_part").agg(F.max(F.struct("term", F.col(order).alias("at"), "doc_id")).alias("_last"))
+    earlier = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_last"))
+    inside = F.lag("doc_id").over(Window.partitionBy("_part", "term").orderBy(order))
+    across = F.when(F.col("_last.term") == F.col("term"), F.col("_last.doc_id"))
+    rows = ranged.withColumn("_inside", inside).join(F.broadcast(earlier), "_part")
+    return rows.withColumn("before", F.coalesce("_inside", across)).drop("_part", "_inside", "_last")
+
+
 def gaps(post: DataFrame) -> DataFrame:
     """(term, doc_id, tf, gap, bytes): document gaps and the size of gap and tf in variable-byte code."""
-    w = Window.partitionBy("term").orderBy("doc_id")
-    g = post.withColumn("gap", F.col("doc_id") - F.lag("doc_id", 1, 0).over(w))
+    g = _with_previous(post, "doc_id").withColumn("gap", F.col("doc_id") - F.coalesce("before", F.lit(0))).drop("before")
     return g.withColumn("bytes", vbyte_size(F.col("gap")) + vbyte_size(F.col("tf")))
 
 
 def out_of_order(post: DataFrame, order: str) -> DataFrame:
     """Postings that do not ascend by document in the stored order; a sound list has none."""
-    w = Window.partitionBy("term").orderBy(order)
-    return post.withColumn("before", F.lag("doc_id").over(w)).where("doc_id <= before").drop("before")
+    return _with_previous(post, order).where("doc_id <= before").drop("before")

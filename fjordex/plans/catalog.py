@@ -222,6 +222,16 @@ def word_bigrams(s: SparkSession, d: str) -> DataFrame:
     return tokens.select(F.explode(X.word_shingles(F.col("t"), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
+_SHINGLES = "p0 AS MATERIALIZED (SELECT heading_id, unnest(regexp_extract_all(body,'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+')) AS part, generate_subscripts(regexp_extract_all(body,'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'),1) AS i FROM headings), q0 AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY heading_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS b FROM p0), tk AS (SELECT heading_id, part, b, b + length(part) AS e, row_number() OVER (PARTITION BY heading_id ORDER BY i) AS nth, count(*) OVER (PARTITION BY heading_id) AS n FROM q0 WHERE regexp_matches(part, '^[\\p{L}\\p{N}_]'))"
+
+
+@query(f"WITH {_SHINGLES} SELECT x.heading_id, CASE WHEN y.part IS NULL THEN x.part ELSE x.part || ' ' || y.part END AS shingle, CAST(x.b AS BIGINT) AS begin_at, CAST(coalesce(y.e, x.e) AS BIGINT) AS end_at FROM tk x LEFT JOIN tk y ON y.heading_id = x.heading_id AND y.nth = x.nth + 1 WHERE y.part IS NOT NULL OR x.n = 1")
+def word_bigram_spans(s: SparkSession, d: str) -> DataFrame:
+    spans = table(s, d, "headings").select("heading_id", X.token_spans("body").alias("t"))
+    rows = spans.select("heading_id", F.explode(X.word_shingle_spans(F.col("t"), 2)).alias("x"))
+    return rows.select("heading_id", "x.shingle", F.col("x.begin").cast("long").alias("begin_at"), F.col("x.end").cast("long").alias("end_at"))
+
+
 @query(f"SELECT doc_id, array_to_string(regexp_extract_all(text,{WORDS}), ' ') AS spaced FROM documents")
 def space_normalize(s: SparkSession, d: str) -> DataFrame:
     return docs_(s, d).select("doc_id", F.array_join(X.raw_tokens("text"), " ").alias("spaced"))

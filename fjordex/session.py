@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,8 +57,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_spaces: list[str] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Tables written inside the block are deleted at its end, so results must be taken or stored inside it.
+
+    For sessions that live long; without one, written tables go when the application ends.
+    """
+    path = f"{scratch_dir(spark)}/space-{uuid.uuid4().hex[:12]}"
+    _spaces.append(path)
+    try:
+        yield path
+    finally:
+        _spaces.remove(path)
+        _remove(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_spaces[-1] if _spaces else scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -40,6 +40,12 @@ def test_spans_and_shingles(spark):
     assert rows[0].w == ["Dette er", "er en", "en prøve"] and rows[1].w == []
 
 
+def test_shingle_spans(spark):
+    df = spark.createDataFrame([("Ny  snø, i\tdag",), ("ett",), ("",), (None,)], "t string").select(X.token_spans("t").alias("s"))
+    rows = df.select(X.word_shingle_spans(F.col("s"), 3).alias("w"), X.word_shingle_spans(F.col("s"), 1).alias("o")).collect()
+    assert [[tuple(x) for x in r.w] for r in rows] == [[("Ny snø i", 0, 10), ("snø i dag", 4, 14)], [("ett", 0, 3)], [], []] and [tuple(x) for x in rows[0].o][1] == ("snø", 4, 7)
+
+
 def test_run_lengths(spark):
     df = spark.createDataFrame([(["b", "a", "b", "b"],), ([],), (None,), (["x"],), (["é", "e", "é"] * 5000,)], "t array<string>").select(F.sort_array("t").alias("t"))
     rows = df.select(X.run_lengths(F.col("t")).alias("r")).collect()

@@ -270,6 +270,26 @@ def test_ids_are_dense(spark):
     assert index.dense_ids(rows.limit(0), [F.col("k")], "n").count() == 0
 
 
+def test_long_posting_lists_are_cut(spark):
+    """Lists that span several ranges have the same gaps as whole ones."""
+    rows = [("the", i, 1) for i in range(1, 3000, 3)] + [(f"w{i % 7}", i, 2) for i in range(0, 400, 5)] + [("z", 9, 1)]
+    post = spark.createDataFrame(rows, "term string, doc_id long, tf long").withColumn("at", F.when(F.col("doc_id") == 601, -1).otherwise(F.col("doc_id")))
+    want, last = set(), {}
+    for t, i, _ in sorted(rows):
+        want.add((t, i, i - last.get(t, 0)))
+        last[t] = i
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = index.gaps(post).collect()
+            assert len(got) == len(rows) and {(r.term, r.doc_id, r.gap) for r in got} == want
+            assert index.out_of_order(post, "doc_id").count() == 0 and [r.doc_id for r in index.out_of_order(post, "at").collect() if r.term == "the"] == [1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert index.gaps(post.limit(0)).count() == 0
+
+
 def test_graph(spark):
     def run(adj, alpha):
         e = spark.createDataFrame([(i, j) for i, a in enumerate(adj) for j in a] or [(None, None)], "src long, dst long")

@@ -73,3 +73,51 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
     context = SimpleNamespace(applicationId="other", getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError):
         session.scratch_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_endpoint(spark):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.parse import quote
+    from urllib.request import urlopen
+
+    from fjordex.operators import index, ranked
+    from fjordex.sources.endpoint import endpoint
+
+    d = spark.createDataFrame([(1, "grå ulv"), (2, "ulv ulv")], "doc_id long, body string")
+    post = index.postings(d, ["body"]).cache()
+
+    def search(text):
+        if text == "break":
+            raise ValueError("broken")
+        return ranked.with_fields(ranked.search(post, text, d.count(), ranked.by_frequency), d).orderBy(F.col("score").desc())
+
+    server = endpoint(search)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_address[1]}"
+        got = json.loads(urlopen(f"{at}/query?q={quote('ulv')}", timeout=60).read())
+        assert [m["doc_id"] for m in got["matches"]] == [2, 1] and got["matches"][1]["body"] == "grå ulv" and got["duration"] > 0
+        assert json.loads(urlopen(f"{at}/query?q=", timeout=60).read())["matches"] == []
+        for path, status in (("/other", 404), ("/query?q=break", 500)):
+            with pytest.raises(HTTPError) as e:
+                urlopen(at + path, timeout=60)
+            assert e.value.code == status
+    finally:
+        server.shutdown()
+
+
+def test_workspace(spark):
+    import os
+
+    from fjordex import session
+
+    outside = session.written(spark.range(3), "kept")
+    with session.workspace(spark) as path:
+        inside = session.written(spark.range(3), "dropped")
+        assert inside.count() == 3 and os.listdir(path)
+        session.forget(inside)
+        assert not os.listdir(path)
+        session.written(spark.range(3), "dropped")
+    assert not os.path.exists(path) and outside.count() == 3
