@@ -160,15 +160,27 @@ class Models:
             return rows, rows
         doc, best = of[rows], relative[rows].argmax(axis=1)
         starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        low, high = np.minimum.reduceat(best, starts), np.maximum.reduceat(best, starts)
-        one = low == high
-        docs, areas = [doc[starts[one]]], [low[one]]
-        bounds = np.r_[starts, len(rows)]
-        for i in np.flatnonzero(~one).tolist():
-            got = sorted(self.accept(scores[rows[bounds[i] : bounds[i + 1]]], limit, margin))
-            docs.append(np.full(len(got), doc[starts[i]]))
-            areas.append(np.array(got, np.int64))
-        docs, areas = np.concatenate(docs), np.concatenate(areas)
+        size = np.diff(np.r_[starts, len(doc)])
+        one = np.minimum.reduceat(best, starts) == np.maximum.reduceat(best, starts)
+        docs, areas = doc[starts[one]], best[starts[one]]
+        # the rest in the order of accept(); an accepted area is a bit, and so is one that fits a sentence almost as well
+        many = np.flatnonzero(np.repeat(~one, size))
+        if len(many):
+            x, margin = relative[rows[many]], self.margin if margin is None else margin
+            top, second = x.max(axis=1), np.partition(x, -2, axis=1)[:, -2]
+            bits = np.array([1 << a for a in range(x.shape[1])], np.int64 if x.shape[1] < 63 else object)
+            near = ((x >= (top - margin)[:, None]) & (x >= 1)) @ bits
+            order = np.lexsort((second - top, doc[many]))
+            more: list[tuple[int, int]] = []
+            last, got = -1, 0
+            for d, a, fits in zip(doc[many][order].tolist(), best[many][order].tolist(), near[order].tolist()):
+                if d != last:
+                    last, got = d, 0
+                if not fits & got:
+                    got |= 1 << a
+                    more.append((d, a))
+            found = np.unique(np.array(more), axis=0)
+            docs, areas = np.concatenate([docs, found[:, 0]]), np.concatenate([areas, found[:, 1]])
         order = np.lexsort((areas, docs))
         return docs[order], areas[order]
 
