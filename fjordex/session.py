@@ -39,7 +39,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if app not in _scratch:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="fjordex-")
             spark.sparkContext.setCheckpointDir(base)
