@@ -380,3 +380,27 @@ def test_logreg_trained(spark, tmp_path):
         w -= 0.5 * x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(docs)
     got = {r.term: r.weight for r in catalog.QUERIES["logreg_trained"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(dict(zip(terms, w)), abs=2e-6)
+
+
+def test_cosine_pairs(spark, tmp_path):
+    import numpy as np
+
+    from fjordex.plans import catalog
+
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 900").orderBy("doc_id").limit(60)
+    odd = spark.createDataFrame([(900, "", "en"), (901, None, "en"), (902, "solitude", None), (903, "the index the index", None), (904, "the index the index", None)], given.schema)
+    given.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r.doc_id: py_terms(r.text) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    ids, terms = sorted(texts), sorted({t for x in texts.values() for t in x})
+    tf = np.array([[texts[i].count(t) for t in terms] for i in ids], float)
+    w = np.where(tf > 0, 1 + np.log10(np.maximum(tf, 1)), 0) * np.log10(len(ids) / (tf > 0).sum(0))
+    size = np.sqrt((w * w).sum(1))
+    want = {}
+    for i in np.flatnonzero(size):
+        near = [(-round(w[i] @ w[j] / size[i] / size[j], 6), ids[j]) for j in np.flatnonzero((w * w[i]).any(1)) if j != i]
+        want[ids[i]] = [(j, -c) for c, j in sorted(near)[:5]]
+    got: dict = {}
+    for r in catalog.QUERIES["cosine_pairs"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, pytest.approx(r.cosine, abs=2e-6)))
+        assert r["rank"] == len(got[r.query_id])
+    assert got == {i: x for i, x in want.items() if x} and len(got) > 50 and 903 in got and 902 not in got
