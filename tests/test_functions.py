@@ -40,6 +40,19 @@ def test_spans_and_shingles(spark):
     assert rows[0].w == ["Dette er", "er en", "en prøve"] and rows[1].w == []
 
 
+def test_unigrams_of_a_long_text(spark):
+    import time
+
+    odd = ["a\U0001d518e\u0301\n\0b", " x ", "", None, "prø..", "\t"]
+    long = "ab\u00f8\U0001d518" * 150_000
+    df = spark.createDataFrame([(t,) for t in [*odd, long]], "t string").select("t", X.unigrams("t").alias("u"))
+    assert all(r.u == list(r.t or "") for r in df.where(F.coalesce(F.length("t"), F.lit(0)) < 10).collect())
+    began = time.monotonic()
+    found = df.where("length(t) > 10").select(F.explode("u").alias("x")).groupBy("x").count().collect()
+    assert {r.x: r["count"] for r in found} == dict.fromkeys("ab\u00f8\U0001d518", 150_000)
+    assert time.monotonic() - began < 30  # one pass takes about a second, a quadratic one minutes
+
+
 def test_shingle_spans(spark):
     df = spark.createDataFrame([("Ny  snø, i\tdag",), ("ett",), ("",), (None,)], "t string").select(X.token_spans("t").alias("s"))
     rows = df.select(X.word_shingle_spans(F.col("s"), 3).alias("w"), X.word_shingle_spans(F.col("s"), 1).alias("o")).collect()
