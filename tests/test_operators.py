@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fjordex.functions import distance
 from fjordex.functions.text import py_terms
-from fjordex.operators import bloom, boolean, classify, extract, graph, index, metrics, ranked, strings, vectors
+from fjordex.operators import bags, bloom, boolean, classify, extract, graph, index, metrics, ranked, strings, vectors
 
 
 def docs(spark, *texts):
@@ -382,6 +382,25 @@ def test_logreg_trained(spark, tmp_path):
     assert got == pytest.approx(dict(zip(terms, w)), abs=2e-6)
 
 
+def test_logistic_of_bags(spark, monkeypatch):
+    from fjordex.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    packed = bags.bags(docs, "text", (F.lower("lang") == "en").cast("int"))
+    want = {r.term: r.weight for r in classify.logistic_regression(catalog._logreg_rows(spark, d), 4).collect()}
+    assert {r.term: r.weight for r in bags.logistic(packed, 4).collect()} == pytest.approx(want, abs=1e-9)
+    none = bags.bags(docs.where("lang is null"), "text", (F.lower("lang") == "en").cast("int"))
+    assert bags.logistic(none, 2).count() == 0 and bags.bags(docs, "text", most_terms=10) is None
+
+    def refuse(*_):
+        raise AssertionError("the terms came to the driver")
+
+    monkeypatch.setattr(classify, "_by_arrays", refuse)
+    monkeypatch.setattr(bags.logistic, "__defaults__", (2, 0.5))
+    assert {r.term for r in catalog.QUERIES["logreg_trained"](spark, d).collect()} == set(want)
+
+
 def test_cosine_pairs(spark, tmp_path):
     import numpy as np
 
