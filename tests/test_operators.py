@@ -423,3 +423,28 @@ def test_cosine_pairs(spark, tmp_path):
         got.setdefault(r.query_id, []).append((r.doc_id, pytest.approx(r.cosine, abs=2e-6)))
         assert r["rank"] == len(got[r.query_id])
     assert got == {i: x for i, x in want.items() if x} and len(got) > 50 and 903 in got and 902 not in got
+
+
+def test_nearest_of_bags(spark, monkeypatch):
+    from fjordex.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    v = catalog.vec_(spark, d)
+    c = vectors.cosines(v.withColumnRenamed("doc_id", "query_id"), v, "query_id", "doc_id").where("query_id <> doc_id").withColumn("cosine", F.round("cosine", 6))
+    want = pairs(vectors.top_k(c, "cosine", 5, "doc_id", "query_id"), "query_id", "doc_id", "cosine", "rank")
+
+    def refuse(*_):
+        raise AssertionError("pairs are shuffled")
+
+    with monkeypatch.context() as m:
+        m.setattr(vectors, "cosines", refuse)
+        assert pairs(catalog.QUERIES["cosine_pairs"](spark, d), "query_id", "doc_id", "cosine", "rank") == want
+    # terms within and outside the bounds, several rounds, and the other way for very many terms
+    packed = bags.bags(docs, "text")
+    monkeypatch.setattr(bags, "_FREQUENT", 40)
+    assert pairs(bags.nearest(packed, 5, block_bytes=20_000), "query_id", "near_id", "score", "rank") == want
+    assert bags.nearest(bags.bags(docs.limit(0), "text")).count() == 0
+    few = bags.bags(docs, "text", most_terms=10)
+    monkeypatch.setattr(bags, "bags", lambda *_: few)
+    assert few is None and pairs(catalog.QUERIES["cosine_pairs"](spark, d), "query_id", "doc_id", "cosine", "rank") == want
